@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import media, packing
+from tessella.llm import media, mixing, packing, secret_scan, sharding
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,7 +24,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), TOKENIZER)
 
 
-QUERIES = [op1_media_columns, op2_best_fit_packing]
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(_docs(spark, sf_dir))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(_docs(spark, sf_dir))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(_docs(spark, sf_dir))
+
+
+QUERIES = [op1_media_columns, op2_best_fit_packing, op4_secret_scan, op8_source_mixing, op9_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
