@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import media, mixing, packing, secret_scan, sharding
+from tessella.llm import line_dedup, media, mixing, packing, quality_rules, secret_scan, sharding
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,10 +24,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), TOKENIZER)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.page_lines(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(_docs(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules_digest(_docs(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(_docs(spark, sf_dir))
 
@@ -36,7 +44,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_docs(spark, sf_dir))
 
 
-QUERIES = [op1_media_columns, op2_best_fit_packing, op4_secret_scan, op8_source_mixing, op9_sharding]
+QUERIES = [op1_media_columns, op2_best_fit_packing, op3_line_dedup, op4_secret_scan, op6_quality_rules, op8_source_mixing, op9_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -44,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.ORACLE}
