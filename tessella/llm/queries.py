@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import line_dedup, media, mixing, packing, quality_rules, secret_scan, sharding
+from tessella.llm import line_dedup, media, mixing, near_dup, packing, quality_rules, secret_scan, sharding
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -36,6 +36,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_digest(_docs(spark, sf_dir))
 
 
+def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.dedup_digest(_docs(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(_docs(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_docs(spark, sf_dir))
 
 
-QUERIES = [op1_media_columns, op2_best_fit_packing, op3_line_dedup, op4_secret_scan, op6_quality_rules, op8_source_mixing, op9_sharding]
+QUERIES = [op1_media_columns, op2_best_fit_packing, op3_line_dedup, op4_secret_scan, op6_quality_rules, op7_minhash_near_dup, op8_source_mixing, op9_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
