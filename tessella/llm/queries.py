@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import line_dedup, media, mixing, near_dup, packing, quality_rules, secret_scan, sharding
+from tessella.llm import line_dedup, media, mixing, near_dup, packing, quality_model, quality_rules, secret_scan, sharding
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,6 +16,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_docs(spark, sf_dir))
 
@@ -32,6 +36,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(_docs(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_digest(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_digest(_docs(spark, sf_dir))
 
@@ -48,7 +56,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_docs(spark, sf_dir))
 
 
-QUERIES = [op1_media_columns, op2_best_fit_packing, op3_line_dedup, op4_secret_scan, op6_quality_rules, op7_minhash_near_dup, op8_source_mixing, op9_sharding]
+QUERIES = [op1_media_columns, op2_best_fit_packing, op3_line_dedup, op4_secret_scan, op5_quality_classifier, op6_quality_rules, op7_minhash_near_dup, op8_source_mixing, op9_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
