@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import line_dedup, media, mixing, near_dup, packing, quality_model, quality_rules, secret_scan, sharding
+from tessella.llm import line_dedup, media, mixing, near_dup, packing, quality_model, quality_rules, secret_scan, sharding, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,7 +56,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_docs(spark, sf_dir))
 
 
-QUERIES = [op1_media_columns, op2_best_fit_packing, op3_line_dedup, op4_secret_scan, op5_quality_classifier, op6_quality_rules, op7_minhash_near_dup, op8_source_mixing, op9_sharding]
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = [op1_media_columns, op2_best_fit_packing, op3_line_dedup, op4_secret_scan, op5_quality_classifier, op6_quality_rules, op7_minhash_near_dup, op8_source_mixing, op9_sharding, op10_toxicity, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
