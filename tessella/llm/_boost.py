@@ -38,11 +38,14 @@ class Boost:
     roots: list[Node] = field(default_factory=list)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boost:
+        if not len(x):
+            self.start, self.roots = 0.0, []
+            return self
         rng = np.random.default_rng(self.seed)
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         # Rare positive values get cuts of their own: a count that is mostly zero has no other quantile.
         cuts = [np.unique(np.concatenate([k, np.quantile(c[c > c.min()], np.linspace(0, 1, 9)[:-1]), [c.min()]])) if (c > c.min()).any() else k for k, c in zip(cuts, x.T, strict=True)]
-        codes = np.stack([np.searchsorted(k, c, side="left") for k, c in zip(cuts, x.T, strict=True)], 1) if len(x) else np.zeros(x.shape, int)
+        codes = np.stack([np.searchsorted(k, c, side="left") for k, c in zip(cuts, x.T, strict=True)], 1)
         p = (y.sum() + 1) / (len(y) + 2)
         self.start, self.roots = float(np.log(p / (1 - p))), []
         z = np.full(len(y), self.start)
