@@ -131,25 +131,34 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(nid, text) to (nid, bag): the sorted occurrences as bytes."""
+    """(nid, text) to (nid, bag): the sorted occurrences."""
     for batch in batches:
-        bags = [occurrences(*bag(text)).tobytes() for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["nid", "bag"])
+        bags = [occurrences(*bag(text)) for text in batch.column(1).to_pylist()]
+        offsets = np.cumsum([0, *map(len, bags)]).astype(np.int32)
+        flat = np.concatenate(bags) if bags else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["nid", "bag"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, bag_a, bag_b) to the pairs of at least the similarity."""
     for batch in batches:
         stay = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        (x, at_x), (y, at_y) = ((c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
+        for i in range(batch.num_rows):
+            p, q = x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]
             p, q = (p, q) if len(p) <= len(q) else (q, p)
-            at = np.searchsorted(q, p) if len(q) else np.zeros(0, np.int64)
-            both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
+            both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
             stay.append(SIMILAR[1] * both >= SIMILAR[0] * (len(p) + len(q) - both))
         yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
 
+def _own(bags: DataFrame, among: DataFrame) -> DataFrame:
+    """(nid, own): how many occurrences of a text no other text of `among` (nid) has."""
+    held = bags.join(among, "nid", "left_semi").select("nid", F.explode("bag").alias("h"))
+    single = held.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("nid").alias("nid")).filter("k = 1")
+    return single.groupBy("nid").agg(F.count(F.lit(1)).alias("own"))
+
+
 def text_key(text):
     """Names a text; null counts as empty."""
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
@@ -165,40 +174,48 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     Copies are one node each. In each bucket of a band, leaders are compared with all members that are not connected yet
     and then leave it; a bucket is done when its members are connected or compared. So a bucket of k near copies costs k
-    comparisons, not k squared, and no pair of a bucket is skipped unless its texts are connected already."""
+    comparisons, not k squared, and no pair of a bucket is skipped unless its texts are connected already or cannot be
+    alike: what a text shares with another is at most its occurrences less those that it has alone."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"), F.col("text").cast("string").alias("text"))
     rows = keep(texts.mapInArrow(_sketches, "doc_id long, tkey string, n long, bands array<long>"), "sketches")
     nodes = keep(rows.groupBy("tkey").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("nid", "n", F.explode("bands").alias("key"))
-    shared = keep(banded.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key"), "shared")
+    shared = keep(banded.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "shared")
     left = keep(banded.join(shared, "key"), "buckets")
+    # The text that meets most others leads: in a group of near copies that is the one in its middle.
+    central = left.groupBy("nid").agg(F.sum("k").alias("met"))
+    left = keep(left.drop("k").join(central, "nid").withColumn("o", F.col("n")), "buckets")
     need = left.select("nid").distinct().join(nodes.select("nid", "tkey"), "nid")
     held = texts.groupBy("tkey").agg(F.any_value("text").alias("text")).join(keep(need, "need"), "tkey")
-    bags = keep(held.select("nid", "text").mapInArrow(_bags, "nid long, bag binary"), "bags")
+    bags = keep(held.select("nid", "text").mapInArrow(_bags, "nid long, bag array<long>"), "bags")
     links = spark.createDataFrame([], "a long, b long")
     label = spark.createDataFrame([], "node long, label long")
     wave = 0
     while True:
         # Members whose bucket still joins different components.
-        marked = left.join(label, left["nid"] == label["node"], "left").select("key", "nid", "n", F.coalesce("label", "nid").alias("label"))
-        marked = keep(marked, "marked")
+        marked = keep(left.join(label, left["nid"] == label["node"], "left").select("key", "nid", "n", "o", "met", F.coalesce("label", "nid").alias("label")), "marked")
         mixed = keep(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"), "mixed")
         if mixed.isEmpty():
             break
         marked = marked.join(mixed, "key")
+        if wave == 1:
+            marked = keep(marked, "mixed")
+            own = keep(_own(bags, marked.select("nid").distinct()), "own")
+            marked = marked.join(own, "nid", "left").withColumn("o", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
         salts = 1 if wave == 0 else 4 << wave
         marked = keep(marked.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(salts))), "open")
-        lead = keep(marked.groupBy("key", "salt").agg(F.min("nid").alias("leader")).select("key", "leader"), "leaders")
-        about = marked.select(F.col("nid").alias("leader"), F.col("n").alias("leader_n"), F.col("label").alias("leader_label")).distinct()
-        lead = keep(lead.join(about, "leader"), "leaders")
-        tried = marked.join(lead, "key").filter((F.col("nid") != F.col("leader")) & (F.col("label") != F.col("leader_label")) & (F.least("n", "leader_n") * SIMILAR[1] >= F.greatest("n", "leader_n") * SIMILAR[0]))
+        first = F.max(F.struct("met", "nid", "n", "o", "label")).alias("first")
+        lead = keep(marked.groupBy("key", "salt").agg(first).select("key", F.col("first.nid").alias("leader"), F.col("first.n").alias("leader_n"), F.col("first.o").alias("leader_o"), F.col("first.label").alias("leader_label")), "leaders")
+        most = F.least("o", "leader_o")  # of what they share
+        able = (SIMILAR[0] + SIMILAR[1]) * most >= SIMILAR[0] * (F.col("n") + F.col("leader_n"))
+        tried = marked.join(lead, "key").filter((F.col("nid") != F.col("leader")) & (F.col("label") != F.col("leader_label")) & able)
         pairs = keep(tried.select(F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b")).distinct(), "pairs")
         full = pairs.join(bags.select(F.col("nid").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("nid").alias("b"), F.col("bag").alias("bag_b")), "b")
         found = full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, "a long, b long")
         links = keep(links.unionByName(found), "links")
         label = keep(components(links), "labels")
-        left = keep(marked.select("key", "nid", "n").join(lead.select("key", F.col("leader").alias("nid")), ["key", "nid"], "left_anti"), "buckets")
+        left = keep(marked.drop("salt", "label").join(lead.select("key", F.col("leader").alias("nid")), ["key", "nid"], "left_anti"), "buckets")
         wave += 1
     ends = links.select(F.col("a").alias("nid")).unionByName(links.select(F.col("b").alias("nid"))).groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
     named = nodes.select("tkey", "nid").join(label, nodes["nid"] == label["node"], "left").join(ends, "nid", "left")

@@ -51,7 +51,7 @@ def _fill(rows: DataFrame, loads: list[int], total: int, key: list[str], seed: i
     return placed.withColumn("shard", shard.cast("int")).drop("idx", "before")
 
 
-def balanced_shards(docs: DataFrame, link: str, size: str, key: list[str], shards: int = 8, rounds: int = 4, seed: int = 5) -> DataFrame:
+def balanced_shards(docs: DataFrame, link: str, size: str, key: list[str], shards: int = 8, rounds: int = 8, seed: int = 5) -> DataFrame:
     """Add shard (int, 0..shards-1). Documents with the same non-null `link` are neighbours; `size` is a positive long;
     `key` columns tell documents apart (rows that tie in all of them are interchangeable).
 
@@ -65,11 +65,12 @@ def balanced_shards(docs: DataFrame, link: str, size: str, key: list[str], shard
     total = state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     quota = -(-total // shards)
     linked, single = state.filter("linked"), state.filter("not linked")
+    full: set[int] = set()  # shards that had to refuse someone
     for turn in range(rounds):
         loads = _loads(linked, shards)
         wide = linked.groupBy(link).agg(F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)]).alias("_n"))
         wide = keep(wide.select(F.col(link).alias("_link"), "_n"), "votes")
-        open_ = [n < quota for n in loads]
+        open_ = [n < quota and s not in full for s, n in enumerate(loads)]
         asked = linked.join(wide, F.col(link) == F.col("_link")).withColumn("_to", _vote(F.col("_n"), open_, F.col("shard"))).drop("_link", "_n")
         asked = keep(asked, "asked")
         away = asked.filter("_to <> shard")
@@ -79,6 +80,7 @@ def balanced_shards(docs: DataFrame, link: str, size: str, key: list[str], shard
         if not income:
             break
         room = {s: max(0, quota - loads[s] + (outgo.get(s, 0) if income.get(s, 0) <= quota - loads[s] + outgo.get(s, 0) else 0)) for s in range(shards)}
+        full |= {s for s in room if income.get(s, 0) > room[s]}
         limit = F.element_at(F.array(*[F.lit(room[s]).cast("long") for s in range(shards)]), F.col("_to") + 1)
         going = numbered(away, ["_to"], [link, *key], "size", seed=seed + turn)
         going = going.withColumn("shard", F.when(F.col("before") + F.col("size") <= limit, F.col("_to")).otherwise(F.col("shard"))).drop("idx", "before")
