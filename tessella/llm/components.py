@@ -15,7 +15,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = keep(near.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "least")
+    least = near.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+    if large:  # only here a node can have very many neighbours
+        least = keep(least, "least")
     joined = near.join(least, "a")
     out = joined.filter("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:

@@ -117,17 +117,41 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+def nibbles(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each component, sixteen to a word."""
+    low = np.zeros(-(-len(sig) // 16) * 16, np.uint64)
+    low[: len(sig)] = sig & _U(15)
+    return (low.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * _U(4))).sum(1, dtype=np.uint64)
+
+
+def _apart(a: str, b: str, words: int = -(-BANDS * ROWS // 16)):
+    """In how many components two sketches differ (those that differ in their four bits)."""
+    out = F.lit(0)
+    for i in range(words):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        out = out + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
+#: Two alike texts differ in 26 of 140 sketched components on average; in more than this with a probability of 6e-5
+MOST_APART = 44
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tkey, text) to (doc_id, tkey, n, bands)."""
+    """(doc_id, tkey, text) to (doc_id, tkey, n, bands, sketch)."""
     for batch in batches:
-        n, bands, offsets = [], [], [0]
+        n, bands, offsets, sketches = [], [], [0], []
         for text in batch.column(2).to_pylist():
             shingles, counts = bag(text)
             n.append(int(counts.sum()))
-            bands.append(band_keys(signature(shingles, counts)) if len(shingles) else np.zeros(1, np.uint64))
+            sig = signature(shingles, counts) if len(shingles) else np.zeros(BANDS * ROWS, np.uint64)
+            bands.append(band_keys(sig) if len(shingles) else np.zeros(1, np.uint64))
+            sketches.append(nibbles(sig).view(np.int64))
             offsets.append(offsets[-1] + len(bands[-1]))
         flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "tkey", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "tkey", "n", "bands", "sketch"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +183,19 @@ def _own(bags: DataFrame, among: DataFrame) -> DataFrame:
     return single.groupBy("nid").agg(F.count(F.lit(1)).alias("own"))
 
 
+def _relabelled(label: DataFrame, new: DataFrame) -> DataFrame:
+    """Components (node, label) after new links: only the components that the links join are walked."""
+    known = label
+    for side in ("a", "b"):
+        new = new.join(known.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left").withColumn(f"{side}_label", F.coalesce(f"{side}_label", side))
+    new = keep(new, "joined")
+    moved = keep(components(new.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))), "moved")
+    ends = new.select(F.col("a").alias("node"), F.col("a_label").alias("label")).unionByName(new.select(F.col("b").alias("node"), F.col("b_label").alias("label")))
+    every = label.unionByName(ends).distinct()
+    target = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return keep(every.join(target, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def text_key(text):
     """Names a text; null counts as empty."""
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
@@ -174,18 +211,21 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     Copies are one node each. In each bucket of a band, leaders are compared with all members that are not connected yet
     and then leave it; a bucket is done when its members are connected or compared. So a bucket of k near copies costs k
-    comparisons, not k squared, and no pair of a bucket is skipped unless its texts are connected already or cannot be
-    alike: what a text shares with another is at most its occurrences less those that it has alone."""
+    comparisons, not k squared, and no pair of a bucket is skipped unless its texts are connected already, meet in an
+    earlier band, or cannot be alike: what a text shares with another is at most its occurrences less those that it has
+    alone. Past the first wave a sketch of the signatures, too, rules out pairs far from alike; like the bands it misses
+    an alike pair less than once in ten thousand. The number of leaders grows from wave to wave, so a bucket of unlike
+    texts takes few waves."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"), F.col("text").cast("string").alias("text"))
-    rows = keep(texts.mapInArrow(_sketches, "doc_id long, tkey string, n long, bands array<long>"), "sketches")
-    nodes = keep(rows.groupBy("tkey").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    rows = keep(texts.mapInArrow(_sketches, "doc_id long, tkey string, n long, bands array<long>, sketch array<long>"), "sketches")
+    nodes = keep(rows.groupBy("tkey").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("nid", "n", F.explode("bands").alias("key"))
     shared = keep(banded.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "shared")
-    left = keep(banded.join(shared, "key"), "buckets")
+    found = keep(banded.join(shared, "key"), "found")
     # The text that meets most others leads: in a group of near copies that is the one in its middle.
-    central = left.groupBy("nid").agg(F.sum("k").alias("met"))
-    left = keep(left.drop("k").join(central, "nid").withColumn("o", F.col("n")), "buckets")
+    central = found.groupBy("nid").agg(F.sum("k").alias("met"))
+    left = keep(found.drop("k").join(central, "nid").withColumn("o", F.col("n")), "buckets")
     need = left.select("nid").distinct().join(nodes.select("nid", "tkey"), "nid")
     held = texts.groupBy("tkey").agg(F.any_value("text").alias("text")).join(keep(need, "need"), "tkey")
     bags = keep(held.select("nid", "text").mapInArrow(_bags, "nid long, bag array<long>"), "bags")
@@ -193,30 +233,36 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     label = spark.createDataFrame([], "node long, label long")
     wave = 0
     while True:
-        # Members whose bucket still joins different components.
-        marked = keep(left.join(label, left["nid"] == label["node"], "left").select("key", "nid", "n", "o", "met", F.coalesce("label", "nid").alias("label")), "marked")
-        mixed = keep(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"), "mixed")
-        if mixed.isEmpty():
+        marked = left.join(label, left["nid"] == label["node"], "left").select(left["*"], F.coalesce("label", "nid").alias("label"))
+        marked = marked.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(1 if wave == 0 else 4 ** wave // 2)))
+        columns = ["nid", "n", "o", "label", *(["bands", "sketch"] if wave else [])]
+        ahead = F.max(F.struct("met", *columns)).alias("first")
+        heads = keep(marked.groupBy("key", "salt").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), ahead), "heads")
+        # Buckets that still join different components.
+        mixed = heads.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("key")
+        lead = keep(heads.join(mixed, "key").select("key", *[F.col(f"first.{c}").alias(f"leader_{c}") for c in columns]), "leaders")
+        if lead.isEmpty():
             break
-        marked = marked.join(mixed, "key")
-        if wave == 1:
-            marked = keep(marked, "mixed")
-            own = keep(_own(bags, marked.select("nid").distinct()), "own")
-            marked = marked.join(own, "nid", "left").withColumn("o", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-        salts = 1 if wave == 0 else 4 << wave
-        marked = keep(marked.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(salts))), "open")
-        first = F.max(F.struct("met", "nid", "n", "o", "label")).alias("first")
-        lead = keep(marked.groupBy("key", "salt").agg(first).select("key", F.col("first.nid").alias("leader"), F.col("first.n").alias("leader_n"), F.col("first.o").alias("leader_o"), F.col("first.label").alias("leader_label")), "leaders")
         most = F.least("o", "leader_o")  # of what they share
         able = (SIMILAR[0] + SIMILAR[1]) * most >= SIMILAR[0] * (F.col("n") + F.col("leader_n"))
-        tried = marked.join(lead, "key").filter((F.col("nid") != F.col("leader")) & (F.col("label") != F.col("leader_label")) & able)
-        pairs = keep(tried.select(F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b")).distinct(), "pairs")
+        fit = (F.col("nid") != F.col("leader_nid")) & (F.col("label") != F.col("leader_label")) & able
+        if wave:
+            fit = fit & (_apart("sketch", "leader_sketch") <= MOST_APART) & (F.array_intersect("bands", "leader_bands")[0] == F.col("key"))
+        tried = marked.join(lead, "key").filter(fit)
+        pairs = keep(tried.select(F.least("nid", "leader_nid").alias("a"), F.greatest("nid", "leader_nid").alias("b")).distinct(), "pairs")
         full = pairs.join(bags.select(F.col("nid").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("nid").alias("b"), F.col("bag").alias("bag_b")), "b")
-        found = full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, "a long, b long")
-        links = keep(links.unionByName(found), "links")
-        label = keep(components(links), "labels")
-        left = keep(marked.drop("salt", "label").join(lead.select("key", F.col("leader").alias("nid")), ["key", "nid"], "left_anti"), "buckets")
+        new = keep(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, "a long, b long"), "links")
+        links = links.unionByName(new)
+        label = _relabelled(label, new)
+        done = lead.select("key", F.col("leader_nid").alias("nid"))
+        left = marked.drop("salt", "label").join(lead.select("key").distinct(), "key", "left_semi").join(done, ["key", "nid"], "left_anti")
+        if wave == 0:
+            left = keep(left, "buckets")
+            own = keep(_own(bags, left.select("nid").distinct()), "own")
+            left = left.join(own, "nid", "left").withColumn("o", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").join(nodes.select("nid", "bands", "sketch"), "nid")
+        left = keep(left, "buckets")
         wave += 1
+    links = keep(links, "all-links")
     ends = links.select(F.col("a").alias("nid")).unionByName(links.select(F.col("b").alias("nid"))).groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
     named = nodes.select("tkey", "nid").join(label, nodes["nid"] == label["node"], "left").join(ends, "nid", "left")
     named = keep(named.select("tkey", F.coalesce("label", "nid").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "named")
