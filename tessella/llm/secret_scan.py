@@ -127,3 +127,23 @@ def secret_digest(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    """The digest in DuckDB SQL: between the pieces of a split and the matches lie all positions."""
+    spans = []
+    for i, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        part = f"regexp_extract_all(t, '{p}', {r.group})"
+        spans.append(f"""select doc_id, {i} as kind, unnest(list_transform(range(1, len(regexp_extract_all(t, '{p}', 0)) + 1), lambda i: {{'s': list_sum(list_transform(string_split_regex(t, '{p}')[1:i], lambda g: length(g)))
+      + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}', 0)[1:i - 1], lambda h: length(h))), 0), 'n': length(regexp_extract_all(t, '{p}', 0)[i]), 'part': length({part}[i])}})) as x from d where regexp_matches(t, '{p}')""")
+    names = ", ".join(f"'{r.kind}'" for r in RULES)
+    least = ", ".join(str(r.least) for r in RULES)
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents), raw as ({' union all '.join(spans)}),
+ok as (select doc_id, kind, cast(x.s as bigint) as s, cast(x.s + x.n as bigint) as e from raw where x.part >= [{least}][kind + 1]),
+g as (select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
+  string_agg([{names}][kind + 1] || ':' || s || ':' || e, ',' order by s, kind) as spans, coalesce(string_agg([{names}][kind + 1] || ':' || s || ':' || e, ',' order by s, kind) filter (where kind < 3), '') as base from ok group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g on d.doc_id = g.doc_id"""
+
+
+ORACLE = _oracle()

@@ -56,3 +56,15 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     added = [r.rules for r in spark.read.parquet(ledger).collect()]
     assert len(added) == 5 and sum(r == ["hex@2"] for r in added) == 2
     assert [s.kind for s in out["a1"]] == [0, 2] and [s.kind for s in out["c1"]] == [1]
+
+
+def test_digest_equals_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    rel = con.sql(secret_scan.ORACLE)
+    names = list(rel.columns)
+    got = secret_scan.secret_digest(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(rel.fetchall())
