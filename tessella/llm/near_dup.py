@@ -234,7 +234,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     wave = 0
     while True:
         marked = left.join(label, left["nid"] == label["node"], "left").select(left["*"], F.coalesce("label", "nid").alias("label"))
-        marked = marked.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(1 if wave == 0 else 4 ** wave // 2)))
+        marked = marked.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(1 if wave == 0 else 16**wave // 2)))
         columns = ["nid", "n", "o", "label", *(["bands", "sketch"] if wave else [])]
         ahead = F.max(F.struct("met", *columns)).alias("first")
         heads = keep(marked.groupBy("key", "salt").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), ahead), "heads")
@@ -259,7 +259,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         if wave == 0:
             left = keep(left, "buckets")
             own = keep(_own(bags, left.select("nid").distinct()), "own")
-            left = left.join(own, "nid", "left").withColumn("o", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").join(nodes.select("nid", "bands", "sketch"), "nid")
+            left = left.join(own, "nid", "left").withColumn("o", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+            # Even a text that lies wholly within this one shares too little where so much of it is its own.
+            left = left.filter(SIMILAR[1] * F.col("o") >= SIMILAR[0] * F.col("n")).join(nodes.select("nid", "bands", "sketch"), "nid")
         left = keep(left, "buckets")
         wave += 1
     links = keep(links, "all-links")
