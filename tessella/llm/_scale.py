@@ -20,13 +20,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+#: Rows of an Arrow batch, where rows hold whole texts or their shingles.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def keep(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: short lineage that survives lost executors.
 
-    The table is removed when the application ends."""
+    batch_rows: at most so many rows an Arrow batch in this job. Batches pass through direct buffers that grow with
+    them, so wide rows need short batches. The table is removed when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(BATCH_ROWS, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

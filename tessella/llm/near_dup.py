@@ -23,6 +23,7 @@ from tessella.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 28, 5
 SIMILAR = (4, 5)  # 0.8
+BATCH = 400  # rows of an Arrow batch of texts or bags
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 
@@ -41,7 +42,7 @@ class _Hashes(dict):
         import xxhash
 
         h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -218,7 +219,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     texts takes few waves."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"), F.col("text").cast("string").alias("text"))
-    rows = keep(texts.mapInArrow(_sketches, "doc_id long, tkey string, n long, bands array<long>, sketch array<long>"), "sketches")
+    rows = keep(texts.mapInArrow(_sketches, "doc_id long, tkey string, n long, bands array<long>, sketch array<long>"), "sketches", BATCH)
     nodes = keep(rows.groupBy("tkey").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("nid", "n", F.explode("bands").alias("key"))
     shared = keep(banded.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "shared")
@@ -228,7 +229,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     left = keep(found.drop("k").join(central, "nid").withColumn("o", F.col("n")), "buckets")
     need = left.select("nid").distinct().join(nodes.select("nid", "tkey"), "nid")
     held = texts.groupBy("tkey").agg(F.any_value("text").alias("text")).join(keep(need, "need"), "tkey")
-    bags = keep(held.select("nid", "text").mapInArrow(_bags, "nid long, bag array<long>"), "bags")
+    bags = keep(held.select("nid", "text").mapInArrow(_bags, "nid long, bag array<long>"), "bags", BATCH)
     links = spark.createDataFrame([], "a long, b long")
     label = spark.createDataFrame([], "node long, label long")
     wave = 0
@@ -251,7 +252,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         tried = marked.join(lead, "key").filter(fit)
         pairs = keep(tried.select(F.least("nid", "leader_nid").alias("a"), F.greatest("nid", "leader_nid").alias("b")).distinct(), "pairs")
         full = pairs.join(bags.select(F.col("nid").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("nid").alias("b"), F.col("bag").alias("bag_b")), "b")
-        new = keep(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, "a long, b long"), "links")
+        new = keep(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, "a long, b long"), "links", BATCH)
         links = links.unionByName(new)
         label = _relabelled(label, new)
         done = lead.select("key", F.col("leader_nid").alias("nid"))
