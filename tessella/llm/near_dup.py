@@ -244,19 +244,22 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         lead = keep(heads.join(mixed, "key").select("key", *[F.col(f"first.{c}").alias(f"leader_{c}") for c in columns]), "leaders")
         if lead.isEmpty():
             break
+        done = lead.select("key", F.col("leader_nid").alias("nid"))
+        marked = marked.join(lead.select("key").distinct(), "key", "left_semi")
+        if wave:  # two leaders of a bucket meet once
+            marked = keep(marked.join(done.withColumn("leads", F.lit(True)), ["key", "nid"], "left"), "marked")
         most = F.least("o", "leader_o")  # of what they share
         able = (SIMILAR[0] + SIMILAR[1]) * most >= SIMILAR[0] * (F.col("n") + F.col("leader_n"))
         fit = (F.col("nid") != F.col("leader_nid")) & (F.col("label") != F.col("leader_label")) & able
         if wave:
-            fit = fit & (_apart("sketch", "leader_sketch") <= MOST_APART) & (F.array_intersect("bands", "leader_bands")[0] == F.col("key"))
+            fit = fit & (F.col("leads").isNull() | (F.col("nid") > F.col("leader_nid"))) & (_apart("sketch", "leader_sketch") <= MOST_APART) & (F.array_intersect("bands", "leader_bands")[0] == F.col("key"))
         tried = marked.join(lead, "key").filter(fit)
         pairs = keep(tried.select(F.least("nid", "leader_nid").alias("a"), F.greatest("nid", "leader_nid").alias("b")).distinct(), "pairs")
         full = pairs.join(bags.select(F.col("nid").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("nid").alias("b"), F.col("bag").alias("bag_b")), "b")
         new = keep(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, "a long, b long"), "links", BATCH)
         links = links.unionByName(new)
         label = _relabelled(label, new)
-        done = lead.select("key", F.col("leader_nid").alias("nid"))
-        left = marked.drop("salt", "label").join(lead.select("key").distinct(), "key", "left_semi").join(done, ["key", "nid"], "left_anti")
+        left = marked.filter("leads is null").drop("salt", "label", "leads") if wave else marked.drop("salt", "label").join(done, ["key", "nid"], "left_anti")
         if wave == 0:
             left = keep(left, "buckets")
             own = keep(_own(bags, left.select("nid").distinct()), "own")
