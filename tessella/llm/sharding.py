@@ -1,32 +1,38 @@
-"""Sharding by balanced label propagation.
+"""Sharding that keeps linked documents together.
 
-Documents that share a link (here: equal text) should meet in one shard. Every document starts in a hashed shard;
-in each round, linked documents vote for the shard where most of their neighbours are and move there while the shard's
-quota lasts. Unlinked documents cut no edge wherever they are, so they even out the sizes at the end.
+Documents that share a link (here: equal text) should meet in one shard. Equal links form cliques, so the label that
+their members vote for is one for all: a group is placed whole, against a quota. Large groups go one by one, the largest
+first, to the shard with the least load; small ones are dealt in a seeded order to one level. Only a group beyond a
+shard's quota is split, into pieces of a quota. Unlinked documents cut no edge wherever they are, so they even out the
+sizes at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm._scale import keep, numbered
 
 
+#: Groups above this part of a quota are placed one by one on the driver: fewer than LARGE times the shards.
+LARGE = 512
+
+
 def _loads(rows: DataFrame, shards: int) -> list[int]:
     found = {r[0]: r[1] for r in rows.groupBy("shard").agg(F.sum("size")).collect()}
     return [found.get(s, 0) for s in range(shards)]
 
 
-def _vote(counts: Column, open_: list[bool], own: Column) -> Column:
-    """The open shard with most neighbours; the lowest of several. The own shard always counts as open."""
-    best = F.lit(-1).cast("long")
-    at = F.lit(None).cast("int")
-    for s, free in enumerate(open_):
-        n = F.when(F.lit(free) | (own == s), counts[s]).otherwise(F.lit(-1))
-        at = F.when(n > best, F.lit(s)).otherwise(at)
-        best = F.greatest(best, n)
-    return at
+def _place(units: list[tuple], loads: list[int]) -> list[int]:
+    """A shard for each unit (size first), in the order given: that of the least load, the lowest of several. Adds to loads."""
+    out = []
+    for unit in units:
+        out.append(min(range(len(loads)), key=lambda s: (loads[s], s)))
+        loads[out[-1]] += unit[0]
+    return out
 
 
 def _fill(rows: DataFrame, loads: list[int], total: int, key: list[str], seed: int) -> DataFrame:
@@ -51,40 +57,47 @@ def _fill(rows: DataFrame, loads: list[int], total: int, key: list[str], seed: i
     return placed.withColumn("shard", shard.cast("int")).drop("idx", "before")
 
 
-def balanced_shards(docs: DataFrame, link: str, size: str, key: list[str], shards: int = 8, rounds: int = 8, seed: int = 5) -> DataFrame:
+def balanced_shards(docs: DataFrame, link: str, size: str, key: list[str], shards: int = 8, seed: int = 5) -> DataFrame:
     """Add shard (int, 0..shards-1). Documents with the same non-null `link` are neighbours; `size` is a positive long;
     `key` columns tell documents apart (rows that tie in all of them are interchangeable).
 
     Column names size, shard, all and names that begin with _ are reserved. No link is cut unless its documents exceed
-    a shard's quota, an equal part of the total."""
-    rows = docs.withColumn("size", F.col(size).cast("long")).withColumn("all", F.lit(0))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(shards)).cast("int"))
-    many = keep(rows.filter(F.col(link).isNotNull()).groupBy(link).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(F.col(link).alias("_link")), "links")
-    state = rows.join(many, F.col(link) == F.col("_link"), "left").withColumn("linked", F.col("_link").isNotNull()).drop("_link")
-    state = keep(state, "docs")
-    total = state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    a shard's quota, an equal part of the total; this comes before even sizes, so where large groups do not fit side by
+    side a shard can exceed its quota."""
+    rows = keep(docs.withColumn("size", F.col(size).cast("long")).withColumn("all", F.lit(0)), "docs")
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     quota = -(-total // shards)
-    linked, single = state.filter("linked"), state.filter("not linked")
-    full: set[int] = set()  # shards that had to refuse someone
-    for turn in range(rounds):
-        loads = _loads(linked, shards)
-        wide = linked.groupBy(link).agg(F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)]).alias("_n"))
-        wide = keep(wide.select(F.col(link).alias("_link"), "_n"), "votes")
-        open_ = [n < quota and s not in full for s, n in enumerate(loads)]
-        asked = linked.join(wide, F.col(link) == F.col("_link")).withColumn("_to", _vote(F.col("_n"), open_, F.col("shard"))).drop("_link", "_n")
-        asked = keep(asked, "asked")
-        away = asked.filter("_to <> shard")
-        # Quotas: what leaves a shard makes room for what comes; who comes first is a matter of the seeded order.
-        outgo = {r[0]: r[1] for r in away.groupBy("shard").agg(F.sum("size")).collect()}
-        income = {r[0]: r[1] for r in away.groupBy("_to").agg(F.sum("size")).collect()}
-        if not income:
-            break
-        room = {s: max(0, quota - loads[s] + (outgo.get(s, 0) if income.get(s, 0) <= quota - loads[s] + outgo.get(s, 0) else 0)) for s in range(shards)}
-        full |= {s for s in room if income.get(s, 0) > room[s]}
-        limit = F.element_at(F.array(*[F.lit(room[s]).cast("long") for s in range(shards)]), F.col("_to") + 1)
-        going = numbered(away, ["_to"], [link, *key], "size", seed=seed + turn)
-        going = going.withColumn("shard", F.when(F.col("before") + F.col("size") <= limit, F.col("_to")).otherwise(F.col("shard"))).drop("idx", "before")
-        linked = keep(asked.filter("_to = shard").unionByName(going).drop("_to"), "moved")
+    groups = rows.filter(F.col(link).isNotNull()).groupBy(F.col(link).alias("_link")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("_k"))
+    groups = keep(groups.filter("_k > 1").drop("_k").withColumn("all", F.lit(0)), "links")
+    is_large = F.col("size") * (LARGE * shards) > total
+    large = {r["_link"]: r["size"] for r in groups.filter(is_large).collect()}
+    beyond = [x for x, n in large.items() if n > quota]
+    units = [(n, x, 0) for x, n in large.items() if n <= quota]
+    within_piece = F.floor((F.col("before") + F.col("size") / 2) / quota).cast("int")
+    is_beyond = F.coalesce(F.col(link).isin(beyond), F.lit(False)) if beyond else F.lit(False)
+    if beyond:
+        pieces = keep(numbered(rows.filter(is_beyond), [link], key, "size", seed=seed).withColumn("_piece", within_piece).drop("idx", "before"), "pieces")
+        units += [(r["n"], r[link], r["_piece"]) for r in pieces.groupBy(link, "_piece").agg(F.sum("size").alias("n")).collect()]
+    units.sort(key=lambda u: (-u[0], *u[1:]))
+    loads = [0] * shards
+    placed = [(x, p, s) for (_, x, p), s in zip(units, _place(units, loads), strict=True)]
+    # Through Arrow the list becomes a local relation; a list of tuples would pass through Python on the executors.
+    columns = zip(*placed, strict=True) if placed else ([], [], [])
+    kinds = (to_arrow_type(groups.schema["_link"].dataType), pa.int32(), pa.int32())
+    places = rows.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["_link", "_at", "shard"]))
+    small = groups.filter(~is_large)
+    small_total = small.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    small = keep(_fill(small, loads, small_total, ["_link"], seed).select("_link", "shard"), "small")
+    # The large groups' rows meet their few places by broadcast, so no task gets a whole one.
+    mine = F.col(link) == F.col("_link")
+    found = rows.filter(~is_beyond).join(F.broadcast(places.drop("_at")), mine, "left").drop("_link")
+    rest = found.filter("shard is null").drop("shard")
+    state = rest.filter(F.col(link).isNotNull()).join(small, mine, "left").drop("_link")
+    state = state.unionByName(rest.filter(F.col(link).isNull()).withColumn("shard", F.lit(None).cast("int"))).unionByName(found.filter("shard is not null"))
+    if beyond:
+        state = state.unionByName(pieces.join(F.broadcast(places), mine & (F.col("_piece") == F.col("_at"))).drop("_link", "_piece", "_at"))
+    state = keep(state, "groups")
+    linked, single = state.filter("shard is not null"), state.filter("shard is null").drop("shard")
     # Unlinked documents fill up: large ones first, so that small ones level the rest.
     loads, parts = _loads(linked, shards), [linked]
     steps = single.select(F.floor(F.log2("size")).cast("int").alias("c"), "size").groupBy("c").agg(F.sum("size").alias("w")).collect()
@@ -107,7 +120,7 @@ def balanced_shards(docs: DataFrame, link: str, size: str, key: list[str], shard
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.drop("all", "linked")
+    return out.drop("all")
 
 
 def shard_digest(docs: DataFrame, shards: int = 8) -> DataFrame:

@@ -88,6 +88,31 @@ def test_a_group_beyond_a_shard_is_cut_least(spark):
     assert full >= 2  # it fills shards one by one instead of being spread over all
 
 
+@pytest.mark.parametrize(("hot", "pairs", "alone"), [(10_000, 5_000, 10_000), (10_000, 8_000, 4_000), (0, 15_000, 0)])
+def test_groups_that_fit_a_shard_stay_whole(spark, hot, pairs, alone):
+    i = F.col("id")
+    link = F.when(i < hot, F.lit("hot")).when(i < hot + 2 * pairs, F.concat(F.lit("p"), F.floor((i - hot) / 2).cast("string")))
+    df = spark.range(hot + 2 * pairs + alone).select(i.alias("doc_id"), link.alias("link"), F.lit(1).alias("w"))
+    out = sharding.balanced_shards(df, "link", "w", ["doc_id"]).collect()
+    where, load = defaultdict(set), Counter(r.shard for r in out)
+    for r in out:
+        where[r.link].add(r.shard)
+    assert len({r.doc_id for r in out}) == len(out) == hot + 2 * pairs + alone
+    assert not [x for x, s in where.items() if x not in (None, "hot") and len(s) > 1]
+    assert max(load.values()) - min(load[s] for s in range(8)) <= 0.01 * len(out) / 8
+    assert len(where["hot"]) <= -(-8 * hot // len(out)) + 1
+
+
+def test_large_groups_stay_whole_when_they_do_not_fit_side_by_side(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 660, F.floor(F.col("id") / 66).cast("string")).alias("link"), F.lit(1).alias("w"))
+    out = sharding.balanced_shards(df, "link", "w", ["doc_id"]).collect()
+    where, load = defaultdict(set), Counter(r.shard for r in out)
+    for r in out:
+        where[r.link].add(r.shard)
+    assert all(len(s) == 1 for x, s in where.items() if x is not None)
+    assert len(out) == 1000 and max(load.values()) == 132 and min(load[s] for s in range(8)) >= 120
+
+
 def test_odd_shards(spark):
     out = sharding.shard_digest(docs(spark)).collect()
     assert len(out) == len(rows()) and {r.size for r in out if r.doc_id in (1, 2)} == {1}
