@@ -23,7 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on more than a tenth of a source's documents go; the documents stay, n_chars is counted anew."""
+    """Lines that stand on more than a tenth of a source's documents go (sentences: a twentieth), and passages from five
+    unlike documents on, but for the first of them; the documents stay, n_chars is counted anew."""
     return line_dedup.text_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -6,10 +6,12 @@ line stays on other sites.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._scale import keep
+from tessella.llm._scale import WORD, keep
 
 #: Elements without text, elements that end a line, and what is trimmed from a line.
 HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
@@ -37,21 +39,23 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def drop_site_lines(pages: DataFrame, host: str, lines: str, max_ratio: float = 0.1, min_pages: int = 5, has_word: str = r"[^\x20\x09-\x0D]") -> DataFrame:
+def drop_site_lines(pages: DataFrame, host: str, lines: str, max_ratio: float | Callable[[Column], Column] = 0.1, min_pages: int = 5, has_word: str = r"[^\x20\x09-\x0D]") -> DataFrame:
     """Replace the array column `lines` by the lines that stay, and add n_lines and n_dropped (long).
 
     A line is dropped from every page of a host if more than max_ratio of the host's pages, and at least min_pages, hold
     it; small hosts thus lose nothing. Pages with a null host keep all lines, as do lines without a word; repeated rows
-    are pages of their own. Column names host_lines, n_lines and n_dropped are replaced.
+    are pages of their own. max_ratio may depend on the line. Column names host_lines, n_lines and n_dropped are replaced.
 
     Each page gives a line's hash once; counts are combined before the shuffle. A host has at most (lines a page) /
     max_ratio boilerplate lines, so the list that is joined back is short."""
     pages = pages.drop("host_lines", "n_lines", "n_dropped")
     sites = pages.filter(F.col(host).isNotNull())
     totals = sites.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
-    held = sites.select(F.col(host).alias("_host"), F.explode(F.transform(F.array_distinct(F.filter(F.col(lines), lambda x: x.rlike(has_word))), _key)).alias("_key"))
-    often = held.groupBy("_host", "_key.a", "_key.b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_pages)
-    often = often.join(totals, "_host").filter(F.col("_n") > max_ratio * F.col("_pages"))
+    told = (lambda x: F.struct(_key(x).alias("k"), max_ratio(x).alias("most"))) if callable(max_ratio) else (lambda x: F.struct(_key(x).alias("k")))
+    held = sites.select(F.col(host).alias("_host"), F.explode(F.transform(F.array_distinct(F.filter(F.col(lines), lambda x: x.rlike(has_word))), told)).alias("_key"))
+    by = ["_host", "_key.k.a", "_key.k.b", *["_key.most"] * callable(max_ratio)]
+    often = held.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_pages)
+    often = often.join(totals, "_host").filter(F.col("_n") > (F.col("most") if callable(max_ratio) else max_ratio) * F.col("_pages"))
     listed = keep(often.groupBy("_host").agg(F.collect_list(F.struct("a", "b")).alias("host_lines")), "site-lines")
     joined = pages.join(listed, F.col(host) == F.col("_host"), "left").withColumn("_old", F.col(lines))
     stays = F.when(F.col("host_lines").isNull(), F.col("_old")).otherwise(F.filter("_old", lambda x: ~F.array_contains("host_lines", _key(x)) | ~x.rlike(has_word)))
@@ -84,8 +88,50 @@ select page_id, host, cast(len(lines) as bigint) as n_lines, cast(len(lines) - l
 """
 
 
+#: Plain texts: from so many words on a line is less likely to be common by chance, or is a passage.
+SENTENCE, PASSAGE = 8, 20
+
+
+def n_words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(WORD))
+
+
+def drop_passages(docs: DataFrame, host: str, lines: str, key: str = "doc_id", least: int = 5) -> DataFrame:
+    """Drop lines of at least PASSAGE words that stand in `least` or more unlike documents of a host, whatever its size,
+    from all of these but the first by `key` (nulls last). Adds n_passages (long).
+
+    Documents are unlike if the smallest hash of their other lines differs; equal texts count once. Copies with small
+    edits mostly share that hash, so a line counts as a passage only if more than half of its texts are unlike: near
+    copies are left whole for the stage that finds them. The first document keeps the passage, so no content is lost,
+    and a document of nothing but passages stays whole, since its copies are near duplicates.
+
+    Lines meet documents as rows of hashes, since a host may have any number of passages."""
+    hashes = F.array_sort(F.array_distinct(F.transform(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x))))
+    marked = docs.withColumn("_text", _key(F.array_join(lines, "\n")))
+    long_ = F.transform(F.filter(F.array_distinct(lines), lambda x: n_words(x) >= PASSAGE), _key)
+    sent = marked.filter(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.col(key).alias("_id"), "_text", F.slice(hashes, 1, 2).alias("_least"), F.explode(long_).alias("_line"))
+    other = F.filter("_least", lambda h: h != F.col("_line.a"))
+    sent = keep(sent.select("_host", "_id", "_text", "_line", F.when(F.size(other) > 0, other[0]).alias("_other")), "passages")
+    texts = sent.groupBy("_host", "_line", "_other", "_text").agg(F.min("_id").alias("_id"))
+    unlike = texts.groupBy("_host", "_line", "_other").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id"))
+    found = unlike.groupBy("_host", "_line").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_unlike"), F.min("_id").alias("_first"))
+    found = found.filter((F.col("_unlike") >= least) & (2 * F.col("_unlike") > F.col("_n"))).select("_host", "_line", "_first")
+    gone = sent.join(found, ["_host", "_line"]).filter(F.col("_first").isNotNull() & F.coalesce(F.col("_id") > F.col("_first"), F.lit(True)))
+    gone = keep(gone.groupBy("_host", "_id", "_text").agg(F.collect_set("_line").alias("_gone")).withColumnRenamed("_text", "_of"), "gone")
+    same = (F.col(host) == F.col("_host")) & F.col(key).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of"))
+    out = marked.join(gone, same, "left")
+    stays = F.filter(lines, lambda x: ~F.array_contains("_gone", _key(x)))
+    some = F.col("_gone").isNotNull() & F.exists(stays, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("_stays", F.when(some, stays).otherwise(F.col(lines))).withColumn("n_passages", (F.greatest(F.size(lines), F.lit(0)) - F.greatest(F.size("_stays"), F.lit(0))).cast("long"))
+    return out.withColumn(lines, F.col("_stays")).drop("_stays", "_text", "_of", "_gone", "_host", "_id")
+
+
 def text_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """The same for plain texts: lines end at \\n, the source is the site. Null texts stay null; columns are kept."""
+    """The same for plain texts: lines end at \\n, the source is the site. Null texts stay null; columns are kept.
+
+    A source is far larger than a site, so the ratio falls with the length of a line: max_ratio under SENTENCE words,
+    half of it below PASSAGE words; passages also go from min_pages unlike documents on (drop_passages)."""
     cut = docs.withColumn("_lines", F.split(F.col(text), "\n", -1))
-    out = drop_site_lines(cut, host, "_lines", max_ratio, min_pages)
+    out = drop_site_lines(cut, host, "_lines", lambda x: F.when(n_words(x).between(SENTENCE, PASSAGE - 1), F.lit(max_ratio / 2)).otherwise(F.lit(max_ratio)), min_pages)
+    out = drop_passages(out, host, "_lines", least=min_pages).withColumn("n_dropped", F.col("n_dropped") + F.col("n_passages")).drop("n_passages")
     return out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_lines", "\n")).otherwise(F.col(text))).drop("_lines")

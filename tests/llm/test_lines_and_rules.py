@@ -40,6 +40,24 @@ def test_texts_keep_columns_and_nulls(spark):
     assert {r.text for r in line_dedup.text_lines(many).collect()} == {f"body {i}\n\n" for i in range(9)}
 
 
+def test_passages_go_from_unlike_documents_of_a_hot_source(spark):
+    passage = " ".join(f"planted{j}" for j in range(60))
+    own = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    unlike = [(i, f"{own(i, 30)}\n{passage}\n{own(-i, 9)}" if i % 100 == 7 else own(i, 30) + "\nYes.", "hot") for i in range(2000)]
+    shared = "\n".join(own(10**6 + k, 25) for k in range(12))
+    near = [(5000 + i, shared + f"\nedit {i}", "hot") for i in range(3)] + [(6000 + i, shared, "hot") for i in range(30)]
+    few = [(7000 + i, f"{own(7000 + i, 30)}\n{passage}", "cold") for i in range(4)]
+    notice = " ".join(f"notice{j}" for j in range(9))
+    lined = [(8000 + i, f"{own(8000 + i, 30)}\n{notice if i < 14 else 'x'}\n{'Oh my.' if i % 14 == 0 else 'y'}", "lined") for i in range(200)]
+    bare = [(9000 + i, passage, "hot") for i in range(3)]
+    given = unlike + near + few + lined + bare
+    got = {r.doc_id: r.text for r in line_dedup.text_lines(spark.createDataFrame(given, "doc_id long, text string, source string")).collect()}
+    assert [i for i, x in got.items() if i < 2000 and passage in x] == [7]
+    assert all(got[i] == f"{own(i, 30)}\n{own(-i, 9)}" for i in range(107, 2000, 100)) and all("Yes." not in got[i] for i in (0, 1999))
+    assert all(got[i] == x for i, x, _ in near + few + bare)
+    assert not any(notice in got[8000 + i] for i in range(14)) and sum("Oh my." in x for x in got.values()) == 15
+
+
 def reference(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
