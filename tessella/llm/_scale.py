@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,36 +15,75 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one gets a folder of its
+    own; on a cluster a machine's own disk would not be shared, so that is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours."""
+    where, files = _place(spark, path)
+    files.delete(where, True)
+
+
 #: Rows of an Arrow batch, where rows hold whole texts or their shingles.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: The setting above belongs to the session, so of the writes that change it one runs at a time.
+_ONE_WRITE = threading.Lock()
 
 
 def keep(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: short lineage that survives lost executors.
 
     batch_rows: at most so many rows an Arrow batch in this job. Batches pass through direct buffers that grow with
-    them, so wide rows need short batches. The table is removed when the application ends."""
+    them, so wide rows need short batches. The table is removed by drop(), or when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_ROWS)
-    try:
-        if batch_rows:
+    if batch_rows:
+        with _ONE_WRITE:
+            before = spark.conf.get(BATCH_ROWS)
             spark.conf.set(BATCH_ROWS, str(batch_rows))
+            try:
+                df.write.parquet(path)
+            finally:
+                spark.conf.set(BATCH_ROWS, before)
+    else:
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, before)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def drop(*kept: DataFrame) -> None:
+    """Delete tables of keep() that nothing reads any more."""
+    for df in kept:
+        remove(df.sparkSession, df._kept)
+
+
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a JSON constant of the plan, so that no row passes through Python on an executor."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = ", ".join(f"{n}: {f.strip().split(' ', 1)[1]}" for n, f in zip(names, schema.split(","), strict=True))
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{kind}>>")).alias("r")).select("r.*")
+
+
+def spread(rows: int) -> int:
+    """Buckets for numbered(): enough that each holds half a million rows at most, and no fewer than 256."""
+    return max(256, -(-rows // 500_000))
 
 
 def numbered(df: DataFrame, by: list[str], key: list[str], weight: str | None = None, buckets: int = 256, seed: int = 0) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._scale import keep, scratch_dir
+from tessella.llm._scale import keep, remove, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -42,38 +42,29 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
 )
 FINDING = "array<struct<start:bigint,kind:int,end:bigint>>"
+MATCH = "array<struct<kind:int,pos:int,gap:int,hit:int,part:int>>"
+LEDGER = "blob string, rules array<string>, findings array<struct<start:bigint,rule:string,end:bigint>>"
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Spans in code points. The pieces between the matches and the matches themselves add up to the positions."""
+def _matches(text: Column, rule: Rule, order: int) -> Column:
+    """The matches in order, as lengths in code points: of the text since the one before, of the match itself and of its
+    checked group. Positions are their running sums, taken later over rows: a list that grows match by match would be
+    copied match by match."""
     pattern = F.lit(rule.pattern)
     matched = F.regexp_extract_all(text, pattern, F.lit(0))
     checked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.least else matched
     parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matched.alias("hit"), checked.alias("part"))
-    step = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(FINDING).alias("found")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))).cast("bigint").alias("at"),
-            F.when(
-                F.length(p["part"]) >= rule.least,
-                F.concat(s["found"], F.array(F.struct((s["at"] + F.length(p["gap"])).cast("bigint").alias("start"), F.lit(order).alias("kind"), (s["at"] + F.length(p["gap"]) + F.length(p["hit"])).cast("bigint").alias("end")))),
-            )
-            .otherwise(s["found"])
-            .alias("found"),
-        ),
-        lambda s: s["found"],
-    )
+    out = F.transform(F.filter(parts, lambda p: p["hit"].isNotNull()), lambda p, i: F.struct(F.lit(order).alias("kind"), i.alias("pos"), F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("hit"), F.length(p["part"]).alias("part")))
     some = text.contains(rule.hint) if rule.hint else text.rlike(rule.pattern)
-    return F.when(some, step).otherwise(F.array().cast(FINDING))
+    return F.when(some, out).otherwise(F.array().cast(MATCH))
 
 
-def _read(spark: SparkSession, ledger: str) -> DataFrame | None:
+def _read(spark: SparkSession, ledger: str) -> DataFrame:
     try:
-        return spark.read.parquet(ledger)
+        return spark.read.schema(LEDGER).parquet(ledger)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], LEDGER)
         raise
 
 
@@ -82,8 +73,10 @@ def scan(versions: DataFrame, content: str, ledger: str, rules: tuple[Rule, ...]
     exclusive, kind as the rule's place in `rules`; ordered by start, then kind).
 
     `ledger` is a Parquet folder to which one row per newly scanned blob is appended: blob, rules (name@version scanned
-    then) and their findings. Running again scans nothing; a new rule version scans each blob once for that rule. All
-    rows of `versions` and its other columns are kept; the names blob and spans are replaced."""
+    then) and their findings. Running again scans nothing; a new rule version scans each blob once for that rule; what
+    two runs appended at the same time counts once. All rows of `versions` and its other columns are kept; the names
+    blob and spans are replaced. Time is linear in the text and its matches: a text's matches are rows, sorted in the
+    task that holds the text."""
     spark = versions.sparkSession
     versions = versions.drop("blob", "spans")
     body = F.coalesce(F.col(content).cast("string"), F.lit(""))
@@ -91,21 +84,23 @@ def scan(versions: DataFrame, content: str, ledger: str, rules: tuple[Rule, ...]
     names = [r.name for r in rules]
     # One text per blob, combined before the shuffle: copies cost one scan however many there are.
     blobs = versions.groupBy("blob").agg(F.any_value(body).alias("_text"))
-    known = _read(spark, ledger)
-    if known is not None:
-        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("_seen"))
-        blobs = blobs.join(seen, "blob", "left")
-    else:
-        blobs = blobs.withColumn("_seen", F.lit(None).cast("array<string>"))
+    seen = _read(spark, ledger).filter("rules is not null").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("_seen"))
+    blobs = blobs.join(seen, "blob", "left")
     todo = F.array_except(F.array(*map(F.lit, names)), F.coalesce("_seen", F.array().cast("array<string>")))
     blobs = blobs.withColumn("rules", todo).filter(F.size("rules") > 0)
-    found = F.concat(*[F.when(F.array_contains("rules", r.name), _spans(F.col("_text"), r, i)).otherwise(F.array().cast(FINDING)) for i, r in enumerate(rules)])
-    named = F.transform(found, lambda f: F.struct(f["start"].alias("start"), F.element_at(F.array(*map(F.lit, names)), f["kind"] + 1).alias("rule"), f["end"].alias("end")))
-    blobs.select("blob", "rules", named.alias("findings")).write.mode("append").parquet(ledger)
+    found = [F.when(F.array_contains("rules", r.name), _matches(F.col("_text"), r, i)).otherwise(F.array().cast(MATCH)) for i, r in enumerate(rules)]
+    mark = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("pos"), F.lit(0).alias("gap"), F.lit(0).alias("hit"), F.lit(0).alias("part"))).cast(MATCH)
+    rows = blobs.select("blob", "rules", F.explode(F.concat(mark, *found)).alias("m")).select("blob", F.when(F.col("m.kind") < 0, F.col("rules")).alias("rules"), "m.*")
+    so_far = Window.partitionBy("blob", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # the blob's partitioning serves
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(so_far))
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("kind") + 1)
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1)
+    finding = F.when(F.when(F.col("kind") >= 0, F.col("part") >= least), F.struct((F.col("end") - F.col("hit")).alias("start"), name.alias("rule"), F.col("end").alias("end")))
+    rows.withColumn("f", finding).groupBy("blob").agg(F.max("rules").alias("rules"), F.collect_list("f").alias("findings")).write.mode("append").parquet(ledger)
     # Join back only the blobs with findings, of the rule versions asked for.
     place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    hits = spark.read.parquet(ledger).filter(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).filter(F.col("f.rule").isin(names))
-    hits = hits.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(F.col("f.start").alias("start"), place[F.col("f.rule")].alias("kind"), F.col("f.end").alias("end")))).alias("spans"))
+    hits = _read(spark, ledger).filter(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).select("blob", "f.*").filter(F.col("rule").isin(names)).distinct()
+    hits = hits.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", place[F.col("rule")].alias("kind"), "end"))).cast(FINDING).alias("spans"))
     return versions.join(keep(hits, "hits"), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(FINDING)))
 
 
@@ -118,12 +113,16 @@ def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def secret_digest(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """One row per document: counts of the base kinds, the digest of their spans and all spans.
 
-    Null and empty texts have no spans; repeated rows give repeated rows; other columns are ignored. Without a ledger
-    folder an empty one in the shared folder is used, so every text is scanned."""
+    Null and empty texts have no spans; repeated rows give repeated rows; other columns are ignored; an empty table
+    gives no rows. Without a ledger folder an empty one in the shared folder is used, so every text is scanned; it is
+    removed once its findings are joined."""
     import uuid
 
+    own = ledger is None
     ledger = ledger or f"{scratch_dir(docs.sparkSession)}/ledger-{uuid.uuid4().hex}"
     out = scan(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "text", ledger)
+    if own:
+        remove(docs.sparkSession, ledger)
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -68,3 +68,28 @@ def test_digest_equals_sql(spark):
     names = list(rel.columns)
     got = secret_scan.secret_digest(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert sorted(tuple(r[n] for n in names) for r in got) == sorted(rel.fetchall())
+
+
+def test_many_matches_in_one_text(spark):
+    """Time is linear in the matches: 64,000 access keys, then as many assignments of which every other fails."""
+    import time
+
+    keys = " ".join(f"AKIA{i:016d}" for i in range(64_000))
+    pairs = " ".join(f"token=v{'alue' * (i % 2)}{i % 10}" for i in range(64_000))
+    df = spark.createDataFrame([(1, keys), (2, pairs)], "doc_id long, text string")
+    secret_scan.secret_digest(df.limit(0)).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.secret_digest(df).collect()}
+    assert time.time() - began < 16
+    for i, text in ((1, keys), (2, pairs)):
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256) == reference(text)
+
+
+def test_a_ledger_appended_twice_gives_no_double_findings(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    df = spark.createDataFrame([("a", "token=abcdef AKIA" + "B" * 16)], "path string, body string")
+    want = secret_scan.scan(df, "body", ledger).first().spans
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-copy")
+    spark.read.parquet(ledger + "-copy").write.mode("append").parquet(ledger)
+    assert spark.read.parquet(ledger).count() == 2
+    assert secret_scan.scan(df, "body", ledger).first().spans == want and len(want) == 2
