@@ -8,8 +8,10 @@ declared type, every further one is carved.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,113 +37,199 @@ MAGIC = [
 RIFF_FORMS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
 
 
-def _png(b: bytes, at: int) -> int:
-    p = at + 8
-    first = True
-    while p + 12 <= len(b):
-        n = int.from_bytes(b[p : p + 4], "big")
-        end = p + 12 + n
-        if end > len(b) or (first and (b[p + 4 : p + 8] != b"IHDR" or n != 13)):
-            return 0
-        if zlib.crc32(b[p + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
-            return 0
-        if b[p + 4 : p + 8] == b"IEND":
-            return end - at
-        first, p = False, end
-    return 0
-
-
-def _jpeg(b: bytes, at: int) -> int:
-    p, frame = at + 2, False
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        kind = b[p + 1]
-        if kind == 0xFF:
-            p += 1
-            continue
-        n = int.from_bytes(b[p + 2 : p + 4], "big")
-        if n < 2 or kind in (0x00, 0x01, 0xD8, 0xD9) or 0xD0 <= kind <= 0xD7:
-            return 0
-        frame |= kind in (0xC0, 0xC1, 0xC2)
-        p += 2 + n
-        if kind == 0xDA:  # entropy-coded data: ends at a marker that is neither stuffing nor a restart
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
-                p += 2
-            if p < 0 or p + 1 >= len(b):
-                return 0
-            if b[p + 1] == 0xD9:
-                return p + 2 - at if frame else 0
-    return 0
-
-
-def _gif(b: bytes, at: int) -> int:
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1 if p < len(b) else -1
-
+class Content:
+    """Bytes under inspection, with what validators learn about them. A text can hold a magic number at every few
+    places, so nothing may walk or search the rest of the content once per magic number: places of a needle are found
+    once, and every step of a walk is taken once, whichever start it belongs to."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        self._known: dict = {}
+
+    def once(self, name, make):
+        if name not in self._known:
+            self._known[name] = make()
+        return self._known[name]
+
+    def places(self, pattern: bytes) -> list[int]:
+        return self.once(pattern, lambda: [m.start() for m in re.finditer(pattern, self.raw)])
+
+    def first(self, pattern: bytes, at: int, end: int | None = None) -> int:
+        """The first match that begins in at..end-1, or -1."""
+        found = self.places(pattern)
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) and (end is None or found[i] < end) else -1
+
+    def walk(self, step, state) -> int:
+        """step(state) gives (next state, None) or (None, result); the result of the walk from `state`."""
+        seen, path = self.once(step, dict), []
+        while state not in seen:
+            path.append(state)
+            state, result = step(self.raw, state) if step not in _WITH_CONTENT else step(self, state)
+            if state is None:
+                break
+        else:
+            result = seen[state]
+        for s in path:
+            seen[s] = result
+        return result
+
+
+def _png_step(b: bytes, p: int):
+    n = int.from_bytes(b[p : p + 4], "big")
+    end, kind = p + 12 + n, b[p + 4 : p + 8]
+    if p + 12 > len(b) or end > len(b) or not kind.isalpha() or zlib.crc32(b[p + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
+        return None, 0
+    return (None, end) if kind == b"IEND" else (end, None)
+
+
+def _png(c: Content, at: int) -> int:
+    head = c.raw[at + 8 : at + 16]
+    return max(0, c.walk(_png_step, at + 8) - at) if head == b"\0\0\0\rIHDR" else 0
+
+
+#: A marker in entropy-coded data: neither stuffing nor a restart.
+_JPEG_MARKER = rb"\xff(?=[^\x00\xd0-\xd7])"
+
+
+def _jpeg_step(c: Content, state: tuple[int, bool]):
+    b, (p, frame) = c.raw, state
+    if p + 4 > len(b) or b[p] != 0xFF:
+        return None, 0
+    kind = b[p + 1]
+    if kind == 0xFF:
+        return (p + 1, frame), None
+    n = int.from_bytes(b[p + 2 : p + 4], "big")
+    if n < 2 or kind in (0x00, 0x01, 0xD8, 0xD9) or 0xD0 <= kind <= 0xD7:
+        return None, 0
+    frame |= kind in (0xC0, 0xC1, 0xC2)
+    p += 2 + n
+    if kind == 0xDA:
+        p = c.first(_JPEG_MARKER, p)
+        if p < 0:
+            return None, 0
+        if b[p + 1] == 0xD9:
+            return None, p + 2 if frame else 0
+    return (p, frame), None
+
+
+def _jpeg(c: Content, at: int) -> int:
+    return max(0, c.walk(_jpeg_step, (at + 2, False)) - at)
+
+
+def _gif_block(b: bytes, p: int):
+    """The end of a chain of sub-blocks, or -1."""
+    if p >= len(b):
+        return None, -1
+    return (p + 1 + b[p], None) if b[p] else (None, p + 1)
+
+
+def _gif_step(c: Content, state: tuple[int, bool]):
+    b, (p, image) = c.raw, state
+    if not 0 <= p < len(b):
+        return None, 0
+    if b[p] == 0x3B:
+        return None, p + 1 if image else 0
+    if b[p] == 0x21:
+        return (c.walk(_gif_block, p + 2), image), None
+    if b[p] == 0x2C and p + 10 < len(b):
+        return (c.walk(_gif_block, p + 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0)), True), None
+    return None, 0
+
+
+def _gif(c: Content, at: int) -> int:
+    b = c.raw
     if at + 13 > len(b):
         return 0
-    p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    image = False
-    while 0 <= p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 - at if image else 0
-        if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            p, image = blocks(p + 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0)), True
-        else:
-            return 0
-    return 0
+    return max(0, c.walk(_gif_step, (at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0), False)) - at)
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(c: Content, at: int) -> int:
+    b = c.raw
     if at + 30 > len(b) or b[at + 6 : at + 10] != b"\0\0\0\0":
         return 0
     size, pixels, header = struct.unpack_from("<I4xII", b, at + 2)
     return size if header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= pixels <= size <= len(b) - at else 0
 
 
-def _riff(b: bytes, at: int) -> int:
+class _Chunks:
+    """RIFF chunks that begin at even (or odd) places, as a tree of next chunks: every node also knows one far ahead, so
+    that the last chunk before a given end is found in logarithmic time."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.node = raw, {}
+
+    def after(self, p: int) -> int:
+        q = p + 8 + int.from_bytes(self.raw[p + 4 : p + 8], "little")
+        return q + ((q ^ p) & 1)
+
+    def last(self, p: int, most: int) -> int:
+        """The last chunk from p on that begins at `most` or before (p itself does)."""
+        path, node = [], self.node
+        q = p
+        while q not in node:
+            path.append(q)
+            if q + 8 > len(self.raw):
+                node[path.pop()] = (q, q, 0)
+                break
+            q = self.after(q)
+        for q in reversed(path):
+            ahead = self.after(q)
+            _, far, depth = node[ahead]
+            far_depth = node[far][2]
+            jump = node[far][1] if depth - far_depth == far_depth - node[node[far][1]][2] else ahead
+            node[q] = (ahead, jump, depth + 1)
+        while True:
+            ahead, far, depth = node[p]
+            if depth and far <= most:
+                p = far
+            elif depth and ahead <= most:
+                p = ahead
+            else:
+                return p
+
+
+def _riff(c: Content, at: int) -> int:
+    b = c.raw
     if at + 12 > len(b) or b[at + 8 : at + 12] not in RIFF_FORMS:
         return 0
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
-    p, chunks = at + 12, 0
-    if end > len(b):
+    if end > len(b) or at + 20 > end:
         return 0
-    while p + 8 <= end:
-        p += 8 + int.from_bytes(b[p + 4 : p + 8], "little")
-        p += p & 1 ^ at & 1
-        chunks += 1
-    return end - at if chunks and p in (end, end + 1) else 0
-
-
-def _flac(b: bytes, at: int) -> int:
-    p, first = at + 4, True
-    while p + 4 <= len(b):
-        last, kind, n = b[p] >> 7, b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
-        if (first and (kind != 0 or n != 34)) or kind > 6:
-            return 0
-        first, p = False, p + 4 + n
-        if last:  # frames follow up to the end: their number is not written in the header
-            return len(b) - at if p <= len(b) and (p == len(b) or b[p : p + 1] == b"\xff") else 0
-    return 0
-
-
-def _ogg(b: bytes, at: int) -> int:
-    p = at
-    while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
-        n = b[p + 26]
-        end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p + 27 + n > len(b) or end > len(b):
-            return 0
-        if b[p + 5] & 4:
-            return end - at
-        p = end
-    return 0
+    chunks = c.once("chunks", lambda: _Chunks(b))
+    return end - at if chunks.after(chunks.last(at + 12, end - 8)) in (end, end + 1) else 0
+
+
+def _flac_step(b: bytes, p: int):
+    if p + 4 > len(b) or b[p] & 0x7F > 6:
+        return None, 0
+    q = p + 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+    if b[p] >> 7:  # frames follow up to the end: their number is not written in the header
+        return None, len(b) if q <= len(b) and (q == len(b) or b[q] == 0xFF) else 0
+    return q, None
+
+
+def _flac(c: Content, at: int) -> int:
+    first = c.raw[at + 4 : at + 8]
+    return max(0, c.walk(_flac_step, at + 4) - at) if len(first) == 4 and first[0] & 0x7F == 0 and first[1:] == b"\0\0\x22" else 0
 
 
-def _midi(b: bytes, at: int) -> int:
+def _ogg_step(b: bytes, p: int):
+    if b[p : p + 5] != b"OggS\0" or p + 27 > len(b):
+        return None, 0
+    n = b[p + 26]
+    end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+    if p + 27 + n > len(b) or end > len(b):
+        return None, 0
+    return (None, end) if b[p + 5] & 4 else (end, None)
+
+
+def _ogg(c: Content, at: int) -> int:
+    return max(0, c.walk(_ogg_step, at) - at)
+
+
+def _midi(c: Content, at: int) -> int:
+    b = c.raw
     if at + 14 > len(b) or b[at + 4 : at + 8] != b"\0\0\0\6":
         return 0
     tracks, p = int.from_bytes(b[at + 10 : at + 12], "big"), at + 14
@@ -152,39 +240,61 @@ def _midi(b: bytes, at: int) -> int:
     return p - at if tracks and p <= len(b) else 0
 
 
-def _mp4(b: bytes, at: int) -> int:
-    known = (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"moof", b"mfra", b"sidx", b"meta", b"uuid", b"styp", b"pdin")
-    p, kinds = at, set()
-    while p + 8 <= len(b) and b[p + 4 : p + 8] in known:
+_BOXES = (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"moof", b"mfra", b"sidx", b"meta", b"uuid", b"styp", b"pdin")
+
+
+def _mp4_step(b: bytes, state: tuple[int, bool, bool]):
+    """state: place, whether ftyp was seen, whether media was."""
+    p, kind, media = state
+    found = b[p + 4 : p + 8]
+    if p + 8 <= len(b) and found in _BOXES:
         n = int.from_bytes(b[p : p + 4], "big")
         n = int.from_bytes(b[p + 8 : p + 16], "big") if n == 1 else n or len(b) - p
-        if n < 8 or p + n > len(b):
-            break
-        kinds.add(b[p + 4 : p + 8])
-        p += n
-    return p - at if b"ftyp" in kinds and kinds & {b"moov", b"mdat", b"moof"} else 0
+        if n >= 8 and p + n <= len(b):
+            return (p + n, kind or found == b"ftyp", media or found in (b"moov", b"mdat", b"moof")), None
+    return None, p if kind and media else 0
+
 
+def _mp4(c: Content, at: int) -> int:
+    return max(0, c.walk(_mp4_step, (at, False, False)) - at)
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    if not b[at + 5 : at + 6].isdigit() or end < 0 or b.find(b"startxref", at, end) < 0:
+
+def _pdf_ends(c: Content) -> list[int]:
+    """For each end mark the last one that belongs to the same file: updates append a startxref and an end mark."""
+    ends = c.places(rb"%%EOF")
+    out = list(ends)
+    for i in range(len(ends) - 2, -1, -1):
+        if c.first(rb"startxref", ends[i], ends[i + 1] - 8) >= 0 and c.first(rb"%PDF-", ends[i], ends[i + 1] - 4) < 0:
+            out[i] = out[i + 1]
+    return out
+
+
+def _pdf(c: Content, at: int) -> int:
+    ends = c.places(rb"%%EOF")
+    i = bisect_left(ends, at)
+    if not c.raw[at + 5 : at + 6].isdigit() or i == len(ends) or c.first(rb"startxref", at, ends[i] - 8) < 0:
         return 0
-    while (more := b.find(b"%%EOF", end + 5)) > 0 and 0 <= b.find(b"startxref", end, more) and b.find(b"%PDF-", end, more) < 0:
-        end = more
-    return end + 5 - at
+    return c.once("pdf", lambda: _pdf_ends(c))[i] + 5 - at
 
 
-def _zip(b: bytes, at: int) -> int:
-    p = at
-    while (p := b.find(b"PK\x05\x06", p)) >= 0:
+def _zip_ends(c: Content) -> dict[int, int]:
+    """Where archives end, by their beginning: every end record names the place of its directory."""
+    b, out = c.raw, {}
+    for p in c.places(rb"PK\x05\x06"):
         if p + 22 <= len(b):
             size, start, note = struct.unpack_from("<IIH", b, p + 12)
-            if at + start + size == p and p + 22 + note <= len(b) and b[at + start : at + start + 4] == b"PK\x01\x02":
-                return p + 22 + note - at
-        p += 4
-    return 0
+            at = p - start - size
+            if at >= 0 and p + 22 + note <= len(b) and b[at + start : at + start + 4] == b"PK\x01\x02":
+                out.setdefault(at, p + 22 + note)
+    return out
+
+
+def _zip(c: Content, at: int) -> int:
+    return max(0, c.once("zip", lambda: _zip_ends(c)).get(at, 0) - at)
 
 
+#: Steps that need more than the bytes.
+_WITH_CONTENT = frozenset((_jpeg_step, _gif_step))
 VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "riff": _riff, "audio/flac": _flac, "audio/ogg": _ogg, "audio/midi": _midi, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip}
 
 
@@ -206,9 +316,10 @@ def sniff(content: bytes | None) -> list[tuple[str, int, int]]:
     out, done = [], 0
     if not content:
         return out
+    held = Content(content)
     starts = sorted((end - back, kind) for end, (back, kind) in _automaton().iter(content.decode("latin-1")) if end >= back)
     for at, kind in starts:
-        if at >= done and (n := VALIDATORS[kind](content, at)):
+        if at >= done and (n := VALIDATORS[kind](held, at)):
             out.append((RIFF_FORMS[content[at + 8 : at + 12]] if kind == "riff" else kind, at, n))
             done = at + n
     return out

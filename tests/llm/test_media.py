@@ -68,3 +68,89 @@ def test_digest(spark):
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
     assert media.media_digest(empty(spark)).count() == 0
+
+
+def test_many_magic_numbers_take_linear_time():
+    """A few megabytes of starts that all look far ahead, or walk the same chain."""
+    import time
+
+    units = (b"%PDF-1 ", b"PK\x03\x04", b"%PDF-1 startxref %%EOF", b"GIF89a0000000!00", b"\0\0\0\x08ftyp", b"\xff\xd8\xff\xc0\x00\x04xy\xff\xda\x00\x02", b"RIFF\xf0\xff\x0f\0WAVEAAAA\0\0\0\0", b"fLaC\0\0\0\x22" + b"\0" * 34, b"OggS\0" + b"\0" * 22)
+    for unit in units:
+        raw = unit * (4_000_000 // len(unit))
+        began = time.time()
+        found = media.sniff(raw)
+        assert time.time() - began < 5, unit
+        assert len(found) == (4_000_000 // len(unit) if b"startxref" in unit else 0)
+
+
+def naive(raw):
+    """PDF, ZIP and RIFF files by looking from each place to the end."""
+    out, done = [], 0
+    for at in range(len(raw)):
+        n, kind = 0, None
+        if raw[at : at + 5] == b"%PDF-" and raw[at + 5 : at + 6].isdigit():
+            end = raw.find(b"%%EOF", at)
+            if end >= 0 and raw.find(b"startxref", at, end) >= 0:
+                while (more := raw.find(b"%%EOF", end + 5)) > 0 and raw.find(b"startxref", end, more) >= 0 and raw.find(b"%PDF-", end, more) < 0:
+                    end = more
+                n, kind = end + 5 - at, "application/pdf"
+        elif raw[at : at + 4] == b"PK\x03\x04":
+            for p in range(at, len(raw) - 21):
+                size, start, note = struct.unpack_from("<IIH", raw, p + 12)
+                if raw[p : p + 4] == b"PK\x05\x06" and at + start + size == p and p + 22 + note <= len(raw) and raw[at + start : at + start + 4] == b"PK\x01\x02":
+                    n, kind = p + 22 + note - at, "application/zip"
+                    break
+        elif raw[at : at + 4] == b"RIFF" and raw[at + 8 : at + 12] == b"WAVE":
+            end, p, chunks = at + 8 + int.from_bytes(raw[at + 4 : at + 8], "little"), at + 12, 0
+            while end <= len(raw) and p + 8 <= end:
+                p += 8 + int.from_bytes(raw[p + 4 : p + 8], "little")
+                p, chunks = p + ((p - at) & 1), chunks + 1
+            if chunks and end <= len(raw) and p in (end, end + 1):
+                n, kind = end - at, "audio/wav"
+        if n and at >= done:
+            out.append((kind, at, n))
+            done = at + n
+    return out
+
+
+def test_equals_a_naive_search():
+    import io
+    import random
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a", "t")
+    pieces = [media.to_wav(b"abc"), media.to_wav(b"abcd")[:-3], b"%PDF-1 ", b"startxref", b"%%EOF", held.getvalue(), b"PK\x03\x04", b"PK\x05\x06", b"RIFF\x18\0\0\0WAVE", b"aaaa\x01\0\0\0", b"data\0\0\0\0", b"x"]
+    rng, hits = random.Random(4), 0
+    for _ in range(1500):
+        raw = bytearray(b"".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            raw[rng.randrange(len(raw))] = rng.choice([0, 1, 8, 255])
+        found = naive(bytes(raw))
+        assert media.sniff(bytes(raw)) == found, bytes(raw)
+        hits += len(found)
+    assert hits > 500
+
+
+def test_every_column_of_the_digest(spark):
+    """media_bytes, media_sha256 and feature against the standard library's WAV module."""
+    import io
+    import wave
+
+    got = sorted(map(tuple, media.media_digest(docs(spark)).collect()), key=str)
+    want = []
+    for r in rows():
+        raw = (r[1] or "").encode()
+        payload = raw + b"\0" * ((-len(raw)) % 64 or (64 if not raw else 0))
+        held = io.BytesIO()
+        with wave.open(held, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(8000)
+            w.writeframes(payload)
+        x = [b - 128 for b in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+        feature = f"type=audio/wav;samples={len(x)};sum={sum(x)};power={sum(v * v for v in x)};crossings={crossings};low={min(x)};high={max(x)};carved=0"
+        want.append((r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(held.getvalue()), hashlib.sha256(held.getvalue()).hexdigest(), feature))
+    assert got == sorted(want, key=str)
