@@ -118,3 +118,53 @@ def test_odd_shards(spark):
     assert len(out) == len(rows()) and {r.size for r in out if r.doc_id in (1, 2)} == {1}
     check_shards(out)
     assert sharding.shard_digest(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(("group", "share", "sized"), [(2, 0.75, False), (2, 0.9, True), (2, 1.0, False), (2, 1.0, True), (20, 0.9, False), (20, 1.0, False), (3000, 0.9, False)])
+def test_many_links(spark, group, share, sized):
+    i = F.col("id")
+    link = F.when(i < int(8000 * share), F.floor(i / group).cast("string"))
+    df = spark.range(8000).select(i.alias("doc_id"), link.alias("link"), (F.pmod(F.xxhash64("id"), F.lit(3000)) + 1 if sized else F.lit(1)).cast("long").alias("w"))
+    out = sharding.balanced_shards(df, "link", "w", ["doc_id"]).collect()
+    where, load, size = defaultdict(set), Counter(), Counter()
+    for r in out:
+        where[r.link].add(r.shard)
+        load[r.shard] += r.w
+        size[r.link] += r.w
+    mean = sum(load.values()) / 8
+    assert len(out) == 8000 and max(load.values()) <= 1.01 * mean and min(load[s] for s in range(8)) >= 0.99 * mean
+    assert not [x for x, s in where.items() if x is not None and len(s) > 1 and size[x] <= mean]
+    assert all(len(s) <= size[x] // mean + 2 for x, s in where.items() if x is not None)
+
+
+def test_shards_against_all_placements(spark):
+    """Few whole groups over three shards: the largest load is that of the best of all placements, or a third above."""
+    import itertools
+    import random
+
+    rng, same = random.Random(6), 0
+    for _ in range(6):
+        sizes = [rng.randrange(2, 40) for _ in range(7)]
+        rows_ = [(100 * g + k, f"g{g}", 1) for g, n in enumerate(sizes) for k in range(n)]
+        out = sharding.balanced_shards(spark.createDataFrame(rows_, "doc_id long, link string, w long"), "link", "w", ["doc_id"], shards=3).collect()
+        quota = -(-sum(sizes) // 3)
+        load, where = Counter(r.shard for r in out), defaultdict(set)
+        for r in out:
+            where[r.link].add(r.shard)
+        assert all(len(where[f"g{g}"]) == 1 for g, n in enumerate(sizes) if n <= quota)
+        best = min(max(sum(n for n, s in zip(sizes, at, strict=True) if s == k) for k in range(3)) for at in itertools.product(range(3), repeat=7))
+        if max(sizes) <= quota:
+            assert best <= max(load.values()) <= 4 / 3 * best
+        same += max(load.values()) <= best
+    assert same >= 3
+
+
+def test_shards_do_not_depend_on_partitions_and_keep_clashing_columns(spark):
+    i = F.col("id")
+    df = spark.range(600).select(i.alias("doc_id"), F.when(i < 400, F.floor(i / 4).cast("string")).alias("link"), (i % 7 + 1).alias("size"), F.lit("a").alias("all"), F.lit("b").alias("_size"), F.lit("c").alias("_h"), F.lit("d").alias("idx"), F.lit("e").alias("shard"))
+    found = []
+    for n in (1, 3, 11):
+        out = sharding.balanced_shards(df.repartition(n), "link", "size", ["doc_id"]).collect()
+        assert {(r["all"], r["_size"], r["_h"], r["idx"]) for r in out} == {("a", "b", "c", "d")}
+        found.append(sorted((r.doc_id, r["size"], r.shard) for r in out))
+    assert found[0] == found[1] == found[2] and all(n == d % 7 + 1 for d, n, _ in found[0])
