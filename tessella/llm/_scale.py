@@ -92,18 +92,18 @@ def numbered(df: DataFrame, by: list[str], key: list[str], weight: str | None =
     Adds idx (long, from 0 without gaps within `by`) and, with a weight, before (the weights of the rows that come
     earlier in the group). The order is by bucket, then hash, then the key columns, so a group of any size is spread over
     `buckets` tasks; only one row per group and bucket meets in the prefix sum. `by` must hold no nulls. Rows that tie
-    in all key columns are interchangeable."""
+    in all key columns are interchangeable. Column names that begin with _nr_ are reserved."""
     h = F.xxhash64(F.lit(seed), *key)
-    marked = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
+    marked = df.withColumn("_nr_h", h).withColumn("_nr_b", F.pmod(F.col("_nr_h"), F.lit(buckets)).cast("int"))
     amount = F.col(weight).cast("long") if weight else F.lit(0).cast("long")
-    sums = marked.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_w"))
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*by, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w0"))
-    local = Window.partitionBy(*by, "_b").orderBy("_h", *key)
-    out = marked.withColumn("_i", F.row_number().over(local) - 1)
+    sums = marked.groupBy(*by, "_nr_b").agg(F.count(F.lit(1)).alias("_nr_n"), F.sum(amount).alias("_nr_w"))
+    earlier = Window.partitionBy(*by).orderBy("_nr_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, "_nr_b", F.coalesce(F.sum("_nr_n").over(earlier), F.lit(0)).alias("_nr_n0"), F.coalesce(F.sum("_nr_w").over(earlier), F.lit(0)).alias("_nr_w0"))
+    local = Window.partitionBy(*by, "_nr_b").orderBy("_nr_h", *key)
+    out = marked.withColumn("_nr_i", F.row_number().over(local) - 1)
     if weight:
-        out = out.withColumn("_c", F.sum(amount).over(local.rowsBetween(Window.unboundedPreceding, 0)) - amount)
-    out = out.join(offsets, [*by, "_b"]).withColumn("idx", F.col("_n0") + F.col("_i"))
+        out = out.withColumn("_nr_c", F.sum(amount).over(local.rowsBetween(Window.unboundedPreceding, 0)) - amount)
+    out = out.join(offsets, [*by, "_nr_b"]).withColumn("idx", F.col("_nr_n0") + F.col("_nr_i"))
     if weight:
-        out = out.withColumn("before", F.col("_w0") + F.col("_c"))
-    return out.drop("_h", "_b", "_i", "_c", "_n0", "_w0")
+        out = out.withColumn("before", F.col("_nr_w0") + F.col("_nr_c"))
+    return out.drop("_nr_h", "_nr_b", "_nr_i", "_nr_c", "_nr_n0", "_nr_w0")

@@ -168,3 +168,109 @@ def test_shards_do_not_depend_on_partitions_and_keep_clashing_columns(spark):
         assert {(r["all"], r["_size"], r["_h"], r["idx"]) for r in out} == {("a", "b", "c", "d")}
         found.append(sorted((r.doc_id, r["size"], r.shard) for r in out))
     assert found[0] == found[1] == found[2] and all(n == d % 7 + 1 for d, n, _ in found[0])
+
+
+def all_flows(passes, rooms, quota):
+    """(words in all, least cost) over every way to send whole words."""
+    import itertools
+
+    edges = list(rooms)
+    best = (-1, 0)
+    for sent in itertools.product(*[range(rooms[e] + 1) for e in edges]):
+        by_source, by_pattern = Counter(), Counter()
+        for (p, s), n in zip(edges, sent, strict=True):
+            by_source[s] += n
+            by_pattern[p] += n
+        if any(by_source[s] > quota[s] for s in quota) or any(n > sum(passes[p]) for p, n in by_pattern.items()):
+            continue
+        cost = 0
+        for p, n in by_pattern.items():
+            for r, words in enumerate(passes[p]):
+                cost += r * min(n, words)
+                n -= min(n, words)
+        best = max(best, (sum(sent), -cost))
+    return best
+
+
+def test_route_costs_least():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(60):
+        patterns = {"A": "a", "B": "b", "AB": "ab", "ABC": "abc"}
+        chosen = rng.sample(sorted(patterns), rng.choice([2, 3]))
+        rooms = {(p, s): rng.randrange(4) for p in chosen for s in patterns[p]}
+        passes = {p: mixing.widening(rng.randrange(1, 3), sum(n for (q, _), n in rooms.items() if q == p)) for p in chosen}
+        quota = {s: rng.randrange(6) for s in "abc"}
+        got = mixing.route(passes, rooms, quota)
+        by_pattern, by_source = Counter(), Counter()
+        for (p, s), n in got.items():
+            assert 0 <= n <= rooms[p, s]
+            by_pattern[p] += n
+            by_source[s] += n
+        cost = 0
+        for p, n in by_pattern.items():
+            for r, words in enumerate(passes[p]):
+                cost += r * min(n, words)
+                n -= min(n, words)
+            assert n == 0
+        assert all(by_source[s] <= quota[s] for s in quota)
+        assert (sum(got.values()), -cost) == all_flows(passes, rooms, quota)
+
+
+def test_widening():
+    assert mixing.widening(10, 95) == [10, 10, 20, 40, 15] and mixing.widening(5, 5) == [5] and mixing.widening(0, 0) == []
+    assert sum(mixing.widening(3, 10**9)) == 10**9 and len(mixing.widening(3, 10**9)) < 32
+
+
+def test_shared_texts_are_taken_once_before_they_repeat(spark):
+    """Source a holds 100 texts of its own, b only what a holds too: a takes its own, b the shared ones."""
+    own = [(i, f"own {i} " + "x " * 8, "a") for i in range(100)]
+    both = [(200 + i, f"both {i} " + "y " * 8, "a") for i in range(100)] + [(400 + i, f"both {i} " + "y " * 8, "b") for i in range(100)]
+    df = spark.createDataFrame(own + both, "doc_id long, text string, source string")
+    slim = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.sha2("text", 256).alias("text"))
+    held = mixing.with_members(slim, "text", "source", "size")
+    assert {(r.source, tuple(sorted(r.members)), r.alike) for r in held.collect()} == {("a", ("a",), 1), ("a", ("a", "b"), 2), ("b", ("a", "b"), 2)}
+    out = mixing.mix(held, "members", "size", ["doc_id"], weights=(1, 1), share=2 / 3, home="source", alike="alike").collect()
+    assert all(r.copies == (1 if r.doc_id < 100 or r.doc_id >= 400 else 0) for r in out)
+
+
+def test_sources_come_near_their_targets_with_copies_across_them(spark):
+    """Families of two to a thousand copies over seven sources, every text against its count of members by hand."""
+    import random
+
+    rng = random.Random(3)
+    data, i = [], 0
+    for k in range(400):
+        for _ in range(rng.choice([1, 1, 2, 3, 9]) if k else 1000):
+            data.append((i, f"t{k} " + "w " * rng.choice([5]) + "z " * (k % 37), rng.choice(["a", "b", "c", "d", "e", None, "g"])))
+            i += 1
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = mixing.mix_digest(df).collect()
+    taken, size, want = Counter(), Counter(), {}
+    source = {d: s for d, _, s in data}
+    for r in out:
+        taken[source[r.doc_id]] += r.taken
+        size[source[r.doc_id]] += r.size
+        want[source[r.doc_id]] = r.target
+        assert r.taken in (0, r.size, 2 * r.size)
+    assert want == pytest.approx(mixing.targets(size)) and len(out) == len(data)
+    assert all(abs(taken[s] - want[s]) <= max(60, 0.02 * want[s]) for s in want)
+    again = mixing.mix_digest(df.repartition(5)).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
+
+
+def test_documents_are_repeated_as_the_mix_takes_them(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    df = df.unionByName(df.filter("doc_id < 20")).unionByName(df.filter("doc_id < 10").withColumn("lang", F.lit("xx")))
+    out = mixing.mix_documents(df)
+    assert out.columns == df.columns
+    got = Counter(r.doc_id for r in out.collect())
+    total = sum(len(r.text.split()) for r in out.collect())
+    assert abs(total - 1.5 * sum(len(r.text.split()) for r in df.collect())) <= 0.02 * total
+    most = Counter(r.doc_id for r in df.collect())
+    assert all(got[i] <= 2 * n for i, n in most.items())
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix_documents(df.repartition(5)).collect()))
+    odd = mixing.mix_documents(docs(spark))
+    assert odd.columns == docs(spark).columns and {r.doc_id for r in odd.collect()} <= {4, 5, 6, None, 7, 8, 9}
+    assert mixing.mix_documents(empty(spark)).count() == 0
