@@ -35,9 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), F.array(F.col("source").cast("string")).alias("members"), mixing.word_count(F.col("text")).alias("size"))
-    mixed = mixing.mix(held, "members", "size", ["doc_id", "crc"])
-    return mixed.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+    return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
