@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op4_secret_scan": secret_scan.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op4_secret_scan": secret_scan.ORACLE, "op6_quality_rules": quality_rules.ORACLE}

@@ -96,3 +96,41 @@ def test_kept_is_right_on_labels(spark):
     df = quality_rules.rules_digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     n = {(r.quality, r.kept): r["count"] for r in df.filter("not base_failed").groupBy("quality", "kept").count().collect()}
     assert n.get((1, False), 0) == 0 and n[0, False] > n.get((0, True), 0)
+
+
+def test_rules_equal_sql(spark):
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    rel = con.sql(quality_rules.ORACLE)
+    names = list(rel.columns)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted(rel.fetchall())
+    for n in (1, 7):
+        got = sorted(tuple(r[c] for c in names) for r in quality_rules.rules_digest(df.repartition(n)).collect())
+        assert got == want
+
+
+def test_fences_equal_exact_quantiles(spark):
+    """Own fences of (lang, source) groups on the larger table against quartiles of the ratios themselves: a fence is off
+    by no more than the widths of the bins that go into it."""
+    import math
+
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    counted = quality_rules.text_counts(df, "text").filter("n_words >= 50 and 2 * n_repeat_words <= n_words")
+    measured = counted.selectExpr("lang", "source", *[f"cast({m.bin} as bigint) as {m.name}" for m in quality_rules.MEASURES], *[f"{m.part} / {m.whole} as x_{m.name}" for m in quality_rules.MEASURES])
+    ratios = {}
+    for r in measured.collect():
+        ratios.setdefault((r.lang, r.source), []).append(r)
+    own = 0
+    for f in quality_rules.fences(measured, ["lang", "source"]).collect():
+        held = ratios[f.lang, f.source]
+        if len(held) < 200:
+            continue
+        own += 1
+        for m, fence in zip(quality_rules.MEASURES, f._fences, strict=True):
+            x = sorted(r[f"x_{m.name}"] for r in held)
+            q25, q75 = x[math.ceil(len(x) / 4) - 1], x[math.ceil(3 * len(x) / 4) - 1]
+            spread = max(q75 - q25, m.least / m.resolution)
+            assert abs(fence.hi / m.resolution - (q75 + 4 * spread)) <= 9 / m.resolution
+            assert not m.both or abs(fence.lo / m.resolution - (q25 - 4 * spread)) <= 9 / m.resolution
+    assert own >= 1
