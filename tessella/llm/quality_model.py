@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm._boost import Boost, Node, sigmoid
-from tessella.llm._scale import keep
 
 #: A model is fitted on at most so many labelled rows, chosen by the hash of their ids.
 MOST_TRAINED = 20_000
@@ -135,20 +134,23 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % by
 
 
-def train(stats: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> RuleEnsemble:
-    """Fit on the labelled rows whose remainder by 3 is not 1, at most `most` of them by the hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> RuleEnsemble:
+    """Fit on the labelled rows whose remainder by 3 is not 1, at most `most` of them by the hash of the id (of rows with
+    one id the smallest statistics, of its labels the larger). Only the texts of these rows are read for it."""
     names = list(STATISTICS)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = stats.select("doc_id", *names).join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("quality", *names)).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # at most `most` rows
+    rows = statistics(rows).groupBy("doc_id").agg(F.min(F.struct("quality", *names)).alias("r")).select("doc_id", "r.*").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(len(rows), len(names))
     return fit_rules(x, np.array([r["quality"] for r in rows], dtype=int), names)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> DataFrame:
     """Per row of `docs`: doc_id, held_out, score and predicted; see quality_digest."""
-    stats = keep(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text"), "statistics")
-    score = train(stats, labels, most).column()
+    score = train(docs, labels, most).column()
+    stats = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text")
     held = remainder(F.col("doc_id"), 3) == 1
     return stats.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -161,9 +163,7 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> DataFrame:
-    """The rows of `docs` with a score of at least 0.5; all columns are kept."""
-    names = list(STATISTICS)
-    columns = docs.columns
-    held = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    model = train(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", *names), labels, most)
+    """The rows of `docs` with a score of at least 0.5; all columns are kept. Empty and null texts are scored as empty."""
+    model = train(docs, labels, most)
+    held = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text")))
     return held.filter(model.column() >= 0.5).select("_row.*")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,11 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm._boost import Boost, isotonic
+from tessella.llm._scale import drop, keep
 from tessella.llm.quality_model import remainder
 
 #: A model is fitted on at most so many labelled texts, chosen by the hash of their ids.
 MOST_TRAINED = 8_000
 FOLDS = 4
+#: A stem must occur in so many toxic texts to be learned.
+LEAST_TOXIC = 4
+#: Tasks over the training texts, and rows of an Arrow batch of them.
+TRAIN_TASKS, BATCH = 24, 200
 
 #: Insults and second-person words of everyday language.
 SEED = frozenset("idiot idiots moron morons stupid loser losers trash scum scumbag worthless pathetic disgusting clown dumb dumbass fool garbage jerk bastard bitch asshole shit shitty crap fuck fucking retard retarded ugly filthy vermin pig hate kill die imbecile dimwit cretin idiotisch dumm arschloch scheisse wichser idiota estúpido imbécil basura mierda idiote stupide connard salaud merde ordure".split())
@@ -35,6 +41,9 @@ FEATURES = ("seed_density", "seed_count", "learned_density", "learned_count", "l
 _WORD = re.compile(r"[^\W\d_]+")
 _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 _INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$!|*]+(?=[^\W\d_])")
+#: What a disguised word is made of; white space and all other punctuation end it.
+_TOKEN = re.compile(r"(?:[^\W_]|[@$!|*])+")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _SHORTEST, _LONGEST = 4, 8
 
 
@@ -58,16 +67,19 @@ class Lookup(dict):
         return found
 
 
+def is_code(token: str) -> bool:
+    """Whether a token looks like a key or a digest: hexadecimal, or letters of both cases and digits in quick change."""
+    if len(token) < 16:
+        return False
+    kinds = [c.isdigit() + 2 * c.isupper() for c in token]
+    return bool(_HEX.fullmatch(token)) or 3 * sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= len(token)
+
+
 def _disguised(text: str) -> list[str]:
-    """Words with digits or signs between letters, undisguised."""
-    out, end = [], 0
-    for m in _INSIDE.finditer(text):
-        if m.start() >= end:
-            start = max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
-            end = min((e for e in (text.find(" ", m.end()), text.find("\n", m.end())) if e >= 0), default=len(text))
-            if end - start <= 40:
-                out.append(text[start:end].lower().translate(DISGUISE).strip(".,;:?\"'()"))
-    return out
+    """Words with digits or signs between letters, undisguised, whatever their length; keys and digests are none."""
+    if not _INSIDE.search(text):
+        return []
+    return [t.lower().translate(DISGUISE) for t in _TOKEN.findall(text) if _INSIDE.search(t) and not is_code(t)]
 
 
 def features(text: str | None, lookup: Lookup) -> list[float]:
@@ -100,7 +112,7 @@ def features(text: str | None, lookup: Lookup) -> list[float]:
     return [seeds / n, seeds, learned / n, learned, most, total, near, second / n, sum(capitals) / letters, sum(k > 2 for k in capitals) / n, (text.count("!") + text.count("?")) / n, sum(map(text.count, ".,;:*#$%&|")) / n, len(plain) / n, hits, math.log1p(len(words))]
 
 
-def learn(counts: list[tuple[Counter, Counter, int, int]], least: int = 4, odds: float = 2.2) -> dict[str, float]:
+def learn(counts: list[tuple[Counter, Counter, int, int]], least: int = LEAST_TOXIC, odds: float = 2.2) -> dict[str, float]:
     """Words and beginnings that toxic texts hold far more often: smoothed log odds of at least `odds`, in at least
     `least` toxic texts. A beginning counts only if it says more than all longer ones together."""
     toxic, clean = Counter(), Counter()
@@ -130,40 +142,76 @@ class ToxicityModel:
         return np.clip(np.interp(self.boost.decide(x), self.knots, self.values), 0, 1)
 
 
-def fit(texts: list[str | None], y: np.ndarray, folds: int = FOLDS) -> ToxicityModel:
-    """Fit on the driver. Equal texts share a fold. With one class only (or no rows) the score is constant."""
-    import zlib
-
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: dict[str, float]) -> ToxicityModel:
+    """Fit on the driver over dense rows (out-of-fold lexicon features). With one class only (or no rows) the score is
+    constant."""
     if len(set(y.tolist())) < 2:
         p = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
         return ToxicityModel({}, Boost(trees=0).fit(np.zeros((0, len(FEATURES))), np.zeros(0)), np.zeros(1), np.array([p]))
-    fold = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % folds for t in texts])
-    counts = []
-    for k in range(folds):
-        toxic, clean = Counter(), Counter()
-        for i in np.flatnonzero(fold == k):
-            found = {s for w in set(_WORD.findall((texts[i] or "").lower())) for s in stems(w)}
-            (toxic if y[i] else clean).update(found)
-        counts.append((toxic, clean, int(y[fold == k].sum()), int((1 - y[fold == k]).sum())))
-    x = np.zeros((len(texts), len(FEATURES)))
-    for k in range(folds):
-        own = Lookup(learn(counts[:k] + counts[k + 1 :]))
-        for i in np.flatnonzero(fold == k):
-            x[i] = features(texts[i], own)
-    z = np.zeros(len(texts))
-    for k in range(folds):
+    z = np.zeros(len(y))
+    for k in range(FOLDS):
         if (fold == k).any():
             z[fold == k] = Boost().fit(x[fold != k], y[fold != k]).decide(x[fold == k])
     knots, values = isotonic(z, y)
-    return ToxicityModel(learn(counts), Boost().fit(x, y), knots, values)
+    return ToxicityModel(lexicon, Boost().fit(x, y), knots, values)
+
+
+def fold_of(text: str) -> int:
+    """Equal texts share a fold."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) to (stem, fold, toxic, n): in how many texts of a batch a stem occurs. The stem null counts texts."""
+    for batch in batches:
+        found: Counter = Counter()
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            k = fold_of(text)
+            found[None, k, y] += 1
+            found.update((s, k, y) for s in {s for w in set(_WORD.findall(text.lower())) for s in stems(w)})
+        columns = zip(*[(*key, n) for key, n in found.items()], strict=True) if found else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["stem", "fold", "toxic", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> ToxicityModel:
-    """Fit on the labelled rows whose remainder by 5 is not 0, at most `most` of them by the hash of the id."""
+    """Fit on the labelled rows whose remainder by 5 is not 0, at most `most` of them by the hash of the id (of texts with
+    one id the smallest, of its labels the larger).
+
+    Texts stay on the executors: the driver gets the stems that occur in enough toxic texts, with their counts by fold,
+    and one dense row per training text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=int))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(known), "doc_id")  # at most `most` rows
+    rows = keep(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).repartition(TRAIN_TASKS, "doc_id"), "training", BATCH)
+    by_stem = rows.select("text", "toxic").mapInArrow(_counted, "stem string, fold int, toxic int, n long")
+    each = [F.coalesce(F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == y), F.col("n"))), F.lit(0)).alias(f"n{y}{k}") for y in (1, 0) for k in range(FOLDS)]
+    by_stem = by_stem.groupBy("stem").agg(*each)
+    by_stem = by_stem.filter(F.col("stem").isNull() | (sum(F.col(f"n1{k}") for k in range(FOLDS)) >= LEAST_TOXIC)).collect()
+    counts = [(Counter(), Counter(), 0, 0)] * FOLDS
+    for r in by_stem:
+        if r["stem"] is None:
+            counts = [(Counter(), Counter(), r[f"n1{k}"], r[f"n0{k}"]) for k in range(FOLDS)]
+    for r in by_stem:
+        for k in range(FOLDS):
+            if r["stem"] is not None:
+                for side, y in ((0, 1), (1, 0)):
+                    if r[f"n{y}{k}"]:
+                        counts[k][side][r["stem"]] = r[f"n{y}{k}"]
+    lexicons = docs.sparkSession.sparkContext.broadcast([learn(counts[:k] + counts[k + 1 :]) for k in range(FOLDS)])  # as large as the sample's vocabulary
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookups = [Lookup(x) for x in lexicons.value]
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            folds = list(map(fold_of, texts))
+            x = [features(t, lookups[k]) for t, k in zip(texts, folds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(folds, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "fold", "x"])
+
+    held = sorted(rows.select("doc_id", "text", "toxic").mapInArrow(dense, "doc_id long, toxic int, fold int, x array<double>").collect(), key=lambda r: r["doc_id"])
+    drop(rows)
+    x = np.array([r["x"] for r in held], dtype=float).reshape(len(held), len(FEATURES))
+    return fit(x, np.array([r["toxic"] for r in held], dtype=int), np.array([r["fold"] for r in held], dtype=int), learn(counts))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -86,3 +86,70 @@ def test_odd_rows(spark):
         assert digest(empty(spark), labels).count() == 0
     kept = quality_model.drop_low_quality(docs(spark), labels.limit(0))
     assert kept.columns == docs(spark).columns and kept.count() == len(rows())
+
+
+def plain_features(text, lexicon):
+    """The features again, word by word, from their definitions."""
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    n = max(1, len(words))
+    starts = lambda w: [w + "$"] + [w[:k] for k in range(4, 9) if k <= len(w)]
+    seeds = [i for i, w in enumerate(words) if w in toxicity.SEED]
+    weight = {i: max([lexicon.get(s, 0.0) for s in starts(w)], default=0.0) for i, w in enumerate(words)}
+    learned = [i for i in weight if weight[i] > 0]
+    second = [i for i, w in enumerate(words) if w in toxicity.SECOND]
+    hits = sorted(set(seeds) | set(learned))
+    near = sum(any(0 <= i - j <= 5 for j in second) for i in hits) + sum(any(0 < i - j <= 5 for j in hits) for i in second)
+    capitals = [len(c) for c in re.findall("[A-ZÀ-ÖØ-Þ]+", text)]
+    letters = max(1, sum(map(len, words)))
+    signs = [t for t in re.split(r"[^\w@$!|*]|_", text) if re.search(r"[^\W\d_][0-9@$!|*]+[^\W\d_]", t) and not toxicity.is_code(t)]
+    plain = [t.lower().translate(toxicity.DISGUISE) for t in signs]
+    found = sum(w in toxicity.SEED or any(s in lexicon for s in starts(w)) for w in plain)
+    return [len(seeds) / n, len(seeds), len(learned) / n, len(learned), max(weight.values(), default=0.0), sum(weight.values()), near, len(second) / n, sum(capitals) / letters, sum(k > 2 for k in capitals) / n, sum(c in "!?" for c in text) / n, sum(c in ".,;:*#$%&|" for c in text) / n, len(plain) / n, found, np.log1p(len(words))]
+
+
+def test_features_equal_their_definitions(spark):
+    lexicon = {"worth": 3.0, "trash$": 2.5, "nation": 2.2}
+    texts = ["You worthless tr4sh, YOU are a m0r0n!", "", None, "a\tst p1d/you/1d10t " + "x" * 90 + "0" + "y" * 90, "f00dcafe" * 8 + " aB3dE5fG7hI9jK1lM3", "WHY?? du Idiot; Nation"]
+    texts += [r.text for r in tables(spark).orderBy("doc_id").limit(300).collect()]
+    lookup = toxicity.Lookup(lexicon)
+    for text in texts:
+        assert np.allclose(toxicity.features(text, lookup), plain_features(text, lexicon), atol=1e-9), text
+    long_ = dict(zip(toxicity.FEATURES, toxicity.features("x" * 50 + " " + "l0ser" + " " + "z" * 60 + "1" + "z" * 60, lookup), strict=True))
+    assert long_["disguised_hits"] == 1 and long_["disguised"] > 0
+
+
+def test_training_rows_are_determined(spark):
+    """Ids that stand with several texts and labels, under other partitionings: the same scores."""
+    labels = tables(spark, "labels")
+    some = tables(spark).filter("doc_id < 1200")
+    twice = some.unionByName(some.filter("doc_id % 3 = 0").selectExpr("doc_id", "concat('zz ', text) as text", "lang", "source", "n_chars"))
+    both = labels.unionByName(labels.filter("doc_id % 4 = 0").selectExpr("doc_id", "1 - quality as quality", "1 - toxic as toxic"))
+    for digest in (quality_model.quality_digest, toxicity.toxicity_digest):
+        a, b = (sorted(map(tuple, digest(twice.repartition(n), both.repartition(m)).collect())) for n, m in ((1, 3), (5, 2)))
+        assert a == b
+
+
+def test_quality_statistics_and_scores_equal_plain_python(spark):
+    """Every statistic from its definition, and the compiled column against the rules on them."""
+    import re
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_model.train(df, labels)
+    names = list(quality_model.STATISTICS)
+    stats = {r.doc_id: [r[n] for n in names] for r in quality_model.statistics(df).collect()}
+    x = []
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for i, t in sorted(texts.items()):
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+        w, bare = max(1, len(words)), max(1, sum(map(len, words)))
+        pairs = len(set(zip(words, words[1:], strict=False))) if len(words) > 1 else len(words)
+        own = [len(words), sum(map(len, words)) / w, pairs / max(1, len(words) - 1), len(re.findall(r"[#*$%&|<>=@~^_+]", t)) / bare, len(re.findall("[!?]", t)) / w, len(re.findall("[A-ZÀ-ÖØ-Þ]", t)) / bare, len(re.findall("[0-9]", t)) / bare, len(re.findall("[.,;:]", t)) / w, len(lines) / w, len(set(lines)) / len(lines)]
+        assert np.allclose(stats[i], own, atol=1e-12), i
+        x.append(stats[i])
+    score = dict(zip(sorted(texts), model.decide(np.array(x)), strict=True))
+    for r in quality_model.quality_digest(df, labels).collect():
+        assert abs(r.score - score[r.doc_id]) < 1e-9 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
