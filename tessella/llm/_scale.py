@@ -43,33 +43,56 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ONE_WRITE = threading.Lock()
 
 
+def _write(spark: SparkSession, write, batch_rows: int | None) -> None:
+    if not batch_rows:
+        write()
+        return
+    with _ONE_WRITE:
+        before = spark.conf.get(BATCH_ROWS)
+        spark.conf.set(BATCH_ROWS, str(batch_rows))
+        try:
+            write()
+        finally:
+            spark.conf.set(BATCH_ROWS, before)
+
+
+def _named(spark: SparkSession, name: str) -> str:
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
 def keep(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: short lineage that survives lost executors.
 
     batch_rows: at most so many rows an Arrow batch in this job. Batches pass through direct buffers that grow with
     them, so wide rows need short batches. The table is removed by drop(), or when the application ends."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if batch_rows:
-        with _ONE_WRITE:
-            before = spark.conf.get(BATCH_ROWS)
-            spark.conf.set(BATCH_ROWS, str(batch_rows))
-            try:
-                df.write.parquet(path)
-            finally:
-                spark.conf.set(BATCH_ROWS, before)
-    else:
-        df.write.parquet(path)
-    where, files = _place(spark, path)
-    files.deleteOnExit(where)
+    path = _named(spark, name)
+    _write(spark, lambda: df.write.parquet(path), batch_rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept = path
     return out
 
 
+def keep_buckets(df: DataFrame, name: str, key: str, rows: int, batch_rows: int | None = None) -> DataFrame:
+    """keep() in hash buckets of `key`: a join on it shuffles the other side only. `rows` is about the number of rows."""
+    spark = df.sparkSession
+    path = _named(spark, name)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 50_000))
+    made = path.rsplit("/", 1)[1].replace("-", "_")
+    _write(spark, lambda: df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(made), batch_rows)
+    out = spark.table(made)
+    out._kept, out._table = path, made
+    return out
+
+
 def drop(*kept: DataFrame) -> None:
     """Delete tables of keep() that nothing reads any more."""
     for df in kept:
+        if table := getattr(df, "_table", None):
+            df.sparkSession.sql(f"drop table if exists {table}")
         remove(df.sparkSession, df._kept)
 
 

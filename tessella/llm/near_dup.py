@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._scale import keep
+from tessella.llm._scale import drop, keep, keep_buckets, literal
 from tessella.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 28, 5
@@ -136,8 +136,9 @@ def _apart(a: str, b: str, words: int = -(-BANDS * ROWS // 16)):
     return out
 
 
-#: Two alike texts differ in 26 of 140 sketched components on average; in more than this with a probability of 6e-5
-MOST_APART = 44
+#: Two alike texts differ in 26 of 140 sketched components on average; in more than this with a probability of 1e-7, far
+#: below the share of such pairs that meet in no band (1.5e-5)
+MOST_APART = 52
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +195,9 @@ def _relabelled(label: DataFrame, new: DataFrame) -> DataFrame:
     ends = new.select(F.col("a").alias("node"), F.col("a_label").alias("label")).unionByName(new.select(F.col("b").alias("node"), F.col("b_label").alias("label")))
     every = label.unionByName(ends).distinct()
     target = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return keep(every.join(target, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    out = keep(every.join(target, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    drop(new, moved)
+    return out
 
 
 def text_key(text):
@@ -214,8 +217,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     and then leave it; a bucket is done when its members are connected or compared. So a bucket of k near copies costs k
     comparisons, not k squared, and no pair of a bucket is skipped unless its texts are connected already, meet in an
     earlier band, or cannot be alike: what a text shares with another is at most its occurrences less those that it has
-    alone. Past the first wave a sketch of the signatures, too, rules out pairs far from alike; like the bands it misses
-    an alike pair less than once in ten thousand. The number of leaders grows from wave to wave, so a bucket of unlike
+    alone. Past the first wave a sketch of the signatures, too, rules out pairs far from alike; it misses an alike pair
+    once in ten million, the bands once in seventy thousand. The number of leaders grows from wave to wave, so a bucket of unlike
     texts takes few waves."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"), F.col("text").cast("string").alias("text"))
@@ -224,15 +227,18 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     banded = nodes.select("nid", "n", F.explode("bands").alias("key"))
     shared = keep(banded.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "shared")
     found = keep(banded.join(shared, "key"), "found")
+    drop(shared)
     # The text that meets most others leads: in a group of near copies that is the one in its middle.
     central = found.groupBy("nid").agg(F.sum("k").alias("met"))
     left = keep(found.drop("k").join(central, "nid").withColumn("o", F.col("n")), "buckets")
-    need = left.select("nid").distinct().join(nodes.select("nid", "tkey"), "nid")
-    held = texts.groupBy("tkey").agg(F.any_value("text").alias("text")).join(keep(need, "need"), "tkey")
-    bags = keep(held.select("nid", "text").mapInArrow(_bags, "nid long, bag array<long>"), "bags", BATCH)
-    links = spark.createDataFrame([], "a long, b long")
-    label = spark.createDataFrame([], "node long, label long")
-    wave = 0
+    drop(found)
+    need = keep(left.select("nid").distinct().join(nodes.select("nid", "tkey"), "nid"), "need")
+    held = texts.groupBy("tkey").agg(F.any_value("text").alias("text")).join(need, "tkey")
+    bags = keep_buckets(held.select("nid", "text").mapInArrow(_bags, "nid long, bag array<long>"), "bags", "nid", need.count(), BATCH)
+    drop(need)
+    links = literal(spark, [], "a long, b long")
+    label = literal(spark, [], "node long, label long")
+    wave, spent = 0, []
     while True:
         marked = left.join(label, left["nid"] == label["node"], "left").select(left["*"], F.coalesce("label", "nid").alias("label"))
         marked = marked.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(1 if wave == 0 else 16**wave // 2)))
@@ -254,20 +260,30 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         if wave:
             fit = fit & (F.col("leads").isNull() | (F.col("nid") > F.col("leader_nid"))) & (_apart("sketch", "leader_sketch") <= MOST_APART) & (F.array_intersect("bands", "leader_bands")[0] == F.col("key"))
         tried = marked.join(lead, "key").filter(fit)
-        pairs = keep(tried.select(F.least("nid", "leader_nid").alias("a"), F.greatest("nid", "leader_nid").alias("b")).distinct(), "pairs")
-        full = pairs.join(bags.select(F.col("nid").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("nid").alias("b"), F.col("bag").alias("bag_b")), "b")
-        new = keep(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, "a long, b long"), "links", BATCH)
+        # Each pair once; a leader may be in very many, a member is in few, so members meet their bags without a shuffle
+        # of these, and leaders (few texts) by a join that is split where it is skewed.
+        met = tried.groupBy(F.least("nid", "leader_nid").alias("a"), F.greatest("nid", "leader_nid").alias("b")).agg(F.min("leader_nid").alias("head"))
+        pairs = keep(met.select("a", "b", "head", F.when(F.col("head") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member")), "pairs")
+        heads_of = keep(bags.join(pairs.select(F.col("head").alias("nid")).distinct(), "nid", "left_semi"), "leader-bags")
+        full = pairs.join(bags.select(F.col("nid").alias("member"), F.col("bag").alias("bag_m")), "member").join(heads_of.select(F.col("nid").alias("head"), F.col("bag").alias("bag_h")), "head")
+        new = keep(full.select("a", "b", "bag_m", "bag_h").mapInArrow(_verified, "a long, b long"), "links", BATCH)
         links = links.unionByName(new)
-        label = _relabelled(label, new)
-        left = marked.filter("leads is null").drop("salt", "label", "leads") if wave else marked.drop("salt", "label").join(done, ["key", "nid"], "left_anti")
+        before, label = label, _relabelled(label, new)
+        rest = marked.filter("leads is null").drop("salt", "label", "leads") if wave else marked.drop("salt", "label").join(done, ["key", "nid"], "left_anti")
         if wave == 0:
-            left = keep(left, "buckets")
-            own = keep(_own(bags, left.select("nid").distinct()), "own")
-            left = left.join(own, "nid", "left").withColumn("o", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+            rest = keep(rest, "rest")
+            spent.append(rest)
+            own = keep(_own(bags, rest.select("nid").distinct()), "own")
+            spent.append(own)
+            rest = rest.join(own, "nid", "left").withColumn("o", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
             # Even a text that lies wholly within this one shares too little where so much of it is its own.
-            left = left.filter(SIMILAR[1] * F.col("o") >= SIMILAR[0] * F.col("n")).join(nodes.select("nid", "bands", "sketch"), "nid")
-        left = keep(left, "buckets")
+            rest = rest.filter(SIMILAR[1] * F.col("o") >= SIMILAR[0] * F.col("n")).join(nodes.select("nid", "bands", "sketch"), "nid")
+        following = keep(rest, "buckets")
+        # Nothing reads this wave's tables any more.
+        drop(heads, lead, pairs, heads_of, left, *([marked, before] if wave else []), *spent)
+        left, spent = following, []
         wave += 1
+    drop(bags, left, heads, lead)
     links = keep(links, "all-links")
     ends = links.select(F.col("a").alias("nid")).unionByName(links.select(F.col("b").alias("nid"))).groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
     named = nodes.select("tkey", "nid").join(label, nodes["nid"] == label["node"], "left").join(ends, "nid", "left")
@@ -280,12 +296,15 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without those that repeat another one nearly: one row of each class stays, that of the smallest
-    doc_id; all columns are kept."""
+    doc_id; of several rows with its id and text the first as JSON text. All columns are kept, whatever their names.
+
+    Null counts as empty; texts without words are alike; a null doc_id comes after all others; an empty table gives no
+    rows."""
     picked = keep(near_duplicate_classes(docs).filter("stays").select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")), "picked")
     columns = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_tkey"))
     out = held.alias("h").join(picked.alias("p"), (F.col("h._tkey") == F.col("p._tkey")) & F.col("h._id").eqNullSafe(F.col("p._id")), "left_semi")
-    return out.groupBy("_tkey", "_id").agg(F.first("_row").alias("_row")).select("_row.*")
+    return out.groupBy("_tkey", "_id").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:

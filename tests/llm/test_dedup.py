@@ -118,3 +118,78 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(top)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def exact_links(texts):
+    """Pairs of at least the similarity: an exact set-similarity join by prefixes of rare occurrences."""
+    from collections import Counter
+
+    bags = [near_dup.occurrences(*near_dup.bag(t)).tolist() for t in texts]
+    often = Counter(h for b in bags for h in b)
+    index, links = defaultdict(list), set()
+    for i in sorted(range(len(bags)), key=lambda i: len(bags[i])):
+        own = sorted(bags[i], key=lambda h: (often[h], h))
+        n = len(own)
+        prefix = own[: n - -(-4 * n // 5) + 1]
+        met = {j for h in prefix for j in index[h] if 5 * len(bags[j]) >= 4 * n}
+        have = set(own)
+        for j in met:
+            both = len(have.intersection(bags[j]))
+            if 5 * both >= 4 * (n + len(bags[j]) - both):
+                links.add((min(i, j), max(i, j)))
+        for h in prefix:
+            index[h].append(i)
+    return links
+
+
+def linked(n, links):
+    top = list(range(n))
+
+    def find(x):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for a, b in links:
+        top[find(a)] = find(b)
+    return [find(i) for i in range(n)]
+
+
+def test_recall_against_an_exact_join(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = sorted((r.text, r.doc_id) for r in df.collect())
+    texts = sorted({t for t, _ in held})
+    links = exact_links(texts)
+    label = dict(zip(texts, linked(len(texts), links), strict=True))
+    want = defaultdict(list)
+    for t, i in held:
+        want[label[t]].append(i)
+    assert len(links) >= 3
+    assert grouped(near_dup.dedup_digest(df).collect()) == sorted(map(sorted, want.values()))
+
+
+def test_a_bucket_of_texts_just_under_the_threshold(spark):
+    """A family whose members share bands but are mostly not alike: compared, not skipped."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(250):
+        words = list(base)
+        for k in rng.sample(range(300), rng.choice([6, 8, 9])):
+            words[k] = f"x{i}y{k}"
+        texts.append(" ".join(words))
+    got = near_dup.dedup_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    label = linked(len(texts), exact_links(texts))
+    want = defaultdict(list)
+    for i, x in enumerate(label):
+        want[x].append(i)
+    assert grouped(got) == sorted(map(sorted, want.values()))
+
+
+def test_survivors_are_determined(spark):
+    """Rows with one id and one text: the same row stays whatever the partitions."""
+    rows_ = [(1, "one two three four five six", c) for c in "zyxwvut"] + [(2, "one two three four five six", "a"), (3, "other text", "b")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    found = {tuple(sorted(map(tuple, near_dup.drop_near_duplicates(df.repartition(n)).collect()))) for n in (1, 2, 5)}
+    assert found == {((1, "one two three four five six", "t"), (3, "other text", "b"))}
