@@ -1,47 +1,70 @@
-"""The Unicode tokenizer and its profiles, as one Arrow UDF; ASCII text never leaves the JVM with the minimal profile.
+"""The Unicode tokenizer and its profiles.
 
-NFKC, camel-case split, lower case, format characters dropped; then ASCII compounds (whole and parts) and words by
-script: compact scripts give grapheme n-grams only, morphological scripts the word and its trigrams, others the word and
-its folded form.
+NFKC, camel-case split, lower case, format characters dropped; then ASCII compounds (whole, path segments and parts) and
+words by script: compact scripts give grapheme n-grams only, morphological scripts the word and its n-grams, others the
+word and its folded form. Texts of ASCII and accented Latin letters are tokenized by JVM expressions; only the others
+pass through an Arrow UDF.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Scripts, which of them are compact (no spaces between words) and which inflect.
-SCRIPTS = ("Han", "Hiragana", "Katakana", "Hangul", "Thai", "Lao", "Khmer", "Myanmar", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Tamil", "Telugu", "Gujarati", "Gurmukhi", "Kannada", "Malayalam", "Sinhala", "Georgian", "Armenian", "Ethiopic", "Latin")
-COMPACT = frozenset("Han Hiragana Katakana Thai Lao Khmer Myanmar".split())
-INFLECTED = frozenset("Hangul Cyrillic Greek Arabic Hebrew Devanagari Bengali Tamil Telugu Gujarati Gurmukhi Kannada Malayalam Sinhala Georgian Armenian Ethiopic".split())
-#: Letters that fold into others beyond canonical decomposition.
-FOLDS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ς": "σ", "أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ک": "ك", "ך": "כ", "ם": "מ", "ן": "נ", "ף": "פ", "ץ": "צ", "ـ": ""})
+#: Scripts in the order in which they are looked for (Han and kana before these), which of them are compact
+#: (no spaces between words) and which inflect.
+SCRIPTS = ("Thai", "Lao", "Khmer", "Myanmar", "Hangul", "Arabic", "Hebrew", "Cyrillic", "Greek", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala", "Ethiopic", "Armenian", "Georgian", "Latin")
+COMPACT = frozenset("Han Japanese Thai Lao Khmer Myanmar".split())
+INFLECTED = frozenset("Arabic Armenian Bengali Cyrillic Devanagari Ethiopic Georgian Greek Gujarati Gurmukhi Hebrew Kannada Hangul Malayalam Sinhala Tamil Telugu".split())
+#: Letters that fold into others beyond canonical decomposition, by script.
+LATIN_FOLDS = {"ı": "i", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ø": "o", "æ": "ae", "œ": "oe", "ß": "ss"}
+ARABIC_FOLDS = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ک": "ك", "ـ": ""}
+HEBREW_FOLDS = {"ך": "כ", "ם": "מ", "ן": "נ", "ף": "פ", "ץ": "צ"}
+GREEK_FOLDS = {"ς": "σ"}
+#: ASCII compounds and what parts them. A compound stands next to no other letter, mark or number.
+COMPOUND = r"[a-z0-9]+(?:[._:/\\-][a-z0-9]+)*"
+SEGMENTS, PARTS = r"[/\\]+", r"[._:-]+"
 
 _CAMEL = regex.compile(r"([a-z0-9])([A-Z])")
 _FORMAT = regex.compile(r"\p{Cf}+")
-_COMPOUND = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[a-z0-9]+(?:[._:/\\-][a-z0-9]+)*(?![\p{L}\p{M}\p{N}])")
+_COMPOUND = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){COMPOUND}(?![\p{{L}}\p{{M}}\p{{N}}])")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _ASCII = regex.compile(r"[a-z0-9]+")
+_HAN, _KANA = regex.compile(r"\p{Script=Han}"), regex.compile(r"[\p{Script=Hiragana}\p{Script=Katakana}]")
 _SCRIPT = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in SCRIPTS]
+_LATIN_WORD = regex.compile(r"\p{Script=Latin}[\p{Script=Latin}\p{M}\p{N}]*")
 _GRAPHEME = regex.compile(r"\X")
+_MARKS = regex.compile(r"\p{M}+")
 
 
 @dataclass(frozen=True)
 class Profile:
-    """fold: add the folded form of a word; compact: n-gram widths of compact scripts; inflected: of inflected ones."""
+    """folds: none, latin or all scripts; compact: n-grams of compact scripts; inflected: n-gram widths of inflected ones."""
 
     name: str
-    fold: bool = True
-    compact: tuple[int, ...] = (2, 3)
+    folds: str = "multilingual"
+    compact: bool = True
     inflected: tuple[int, ...] = (3,)
-    least: int = 2
 
 
-PROFILES = {p.name: p for p in (Profile("default"), Profile("no-fold", fold=False), Profile("no-compact", compact=()), Profile("no-adaptive", inflected=()), Profile("broad-bigram", inflected=(2, 3)), Profile("trigram-only", compact=(3,)))}
+DEFAULT = "adaptive-script-v2"
+#: The profiles and their switches.
+PROFILES = {
+    p.name: p
+    for p in (
+        Profile("unicode-word-no-fold-v1", "none", False, ()),
+        Profile("unicode-word-fold-v1", "multilingual", False, ()),
+        Profile("legacy-compact-v1", "latin", True, ()),
+        Profile("adaptive-no-fold-v2", "none", True, (3,)),
+        Profile(DEFAULT),
+        Profile("broad-bigram-v2", "multilingual", True, (2, 3)),
+    )
+}
 
 
 def normalize(text: str | None) -> str:
@@ -50,18 +73,36 @@ def normalize(text: str | None) -> str:
 
 
 def script_of(word: str) -> str | None:
-    """The script of the first character that has one of the known scripts."""
-    for ch in word:
-        for name, pattern in _SCRIPT:
-            if pattern.match(ch):
-                return name
-    return None
-
-
-def fold(word: str) -> str:
-    """Without marks, ligatures and final forms."""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", word.translate(FOLDS)) if not unicodedata.combining(c))
-    return unicodedata.normalize("NFC", bare).translate(FOLDS)
+    """Han, Japanese (any kana), or the first of SCRIPTS that occurs anywhere in the word; None for other scripts."""
+    if _KANA.search(word):
+        return "Japanese"
+    if _HAN.search(word):
+        return "Han"
+    return next((name for name, pattern in _SCRIPT if pattern.search(word)), None)
+
+
+def fold(word: str, script: str | None = None) -> str:
+    """A word without marks, ligatures and final forms, as its script has them; the word itself where there is none."""
+    script = script or script_of(word)
+    swap = lambda table, s: "".join(table.get(c, c) for c in s)
+    if script == "Latin":
+        return swap(LATIN_FOLDS, _MARKS.sub("", unicodedata.normalize("NFKD", word))) if _LATIN_WORD.fullmatch(word) else word
+    if script == "Greek":
+        return swap(GREEK_FOLDS, word)
+    if script == "Arabic":
+        return swap(ARABIC_FOLDS, _MARKS.sub("", word))
+    if script == "Hebrew":
+        return swap(HEBREW_FOLDS, _MARKS.sub("", word))
+    return word
+
+
+def word_forms(word: str, profile: Profile = PROFILES[DEFAULT]) -> list[str]:
+    """The word and, where the profile folds its script, its folded form."""
+    script = script_of(word)
+    if profile.folds == "none" or profile.folds == "latin" and script != "Latin":
+        return [word]
+    folded = fold(word, script)
+    return [word, folded] if folded and folded != word else [word]
 
 
 def graphemes(word: str, widths: tuple[int, ...]) -> list[str]:
@@ -69,61 +110,133 @@ def graphemes(word: str, widths: tuple[int, ...]) -> list[str]:
     return ["".join(parts[i : i + n]) for n in widths for i in range(len(parts) - n + 1)]
 
 
-def tokenize(text: str | None, profile: Profile = PROFILES["default"]) -> list[str]:
-    """The multiset of tokens of a text, in order; null gives none."""
-    flat = _CAMEL.sub(r"\1 \2", unicodedata.normalize("NFKC", text or ""))
-    flat = _FORMAT.sub("", flat.lower())
+def tokenize(text: str | None, profile: Profile = PROFILES[DEFAULT]) -> list[str]:
+    """The multiset of tokens of a text, in order; null gives none. Tokens have two characters at least."""
+    flat = _FORMAT.sub("", _CAMEL.sub(r"\1 \2", unicodedata.normalize("NFKC", text or "")).lower())
     out: list[str] = []
-    for m in _COMPOUND.finditer(flat):
-        whole = m[0]
+    for whole in _COMPOUND.findall(flat):
         out.append(whole)
-        for segment in regex.split(r"[/\\]", whole):
+        for segment in filter(None, regex.split(SEGMENTS, whole)):
             if segment != whole:
                 out.append(segment)
-            out += [p for p in regex.split(r"[._:-]", segment) if p != segment]
-    for m in _WORD.finditer(flat):
-        word = m[0]
+            out += [p for p in regex.split(PARTS, segment) if p and p not in (segment, whole)]
+    for word in _WORD.findall(flat):
         if _ASCII.fullmatch(word):
             continue
-        script = script_of(word)
+        script, forms = script_of(word), word_forms(word, profile)
         if script in COMPACT:
-            out += graphemes(word, profile.compact)
-            continue
-        forms = [word, fold(word)] if profile.fold else [word]
-        made = list(dict.fromkeys(forms))
-        if script in INFLECTED:
-            made += [g for f in dict.fromkeys(forms) for g in graphemes(f, profile.inflected)]
-        out += [t for t in made if len(t) >= profile.least]
-    return out
+            out += [g for f in forms for g in graphemes(f, (2, 3))] if profile.compact else []
+        else:
+            out += forms
+            out += [g for f in forms for g in graphemes(f, profile.inflected)] if script in INFLECTED else []
+    return [t for t in out if len(t) > 1]
+
+
+#: Characters whose texts the JVM tokenizes: ASCII, Latin letters that NFKC leaves alone, and common signs.
+PLAIN = r"\A[\x00-\x7F\x{A1}-\x{A7}\x{A9}\x{AB}\x{AC}\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{12F}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2013}\x{2014}\x{2018}-\x{201E}\x{20AC}]*\z"
+#: A word with a letter beyond ASCII, in a plain text in lower case.
+ACCENTED = r"[a-z0-9]*[\x{DF}-\x{F6}\x{F8}-\x{17E}][a-z0-9\x{DF}-\x{F6}\x{F8}-\x{17E}]*"
+
+
+@lru_cache(1)
+def _latin_folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """From the rule: letters that fold into one (as two aligned strings) and those that fold into two."""
+    single, double = {}, []
+    for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x17F)]):
+        to = fold(c)
+        if c.islower() and to != c:
+            single[c] = to if len(to) == 1 else single.get(c)
+            if len(to) > 1:
+                double.append((c, to))
+                single.pop(c)
+    return "".join(single), "".join(single.values()), tuple(double)
+
+
+def fold_latin(word: Column) -> Column:
+    """fold() of a word of a plain text, in the JVM: a word that begins with a digit is no Latin word."""
+    before, after, double = _latin_folds()
+    folded = word
+    for c, to in double:
+        folded = F.replace(folded, F.lit(c), F.lit(to))
+    return F.when(word.rlike("^[0-9]"), word).otherwise(F.translate(folded, before, after))
+
+
+def _plain_tokens(text: Column, profile: Profile) -> Column:
+    """tokenize() of a plain text, in the JVM. Intermediate values are bound once, as lambda variables."""
+    flat = F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
 
+    def parts(whole: Column) -> Column:
+        segments = F.filter(F.split(whole, SEGMENTS), lambda s: s != "")
+        each = F.transform(segments, lambda s: F.concat(F.when(s != whole, F.array(s)).otherwise(F.array().cast("array<string>")), F.filter(F.split(s, PARTS), lambda p: (p != "") & (p != s) & (p != whole))))
+        return F.concat(F.array(whole), F.when(whole.rlike(r"[._:/\\-]"), F.flatten(each)).otherwise(F.array().cast("array<string>")))
 
-def tokens(text: Column, profile: str = "default") -> Column:
-    """Token arrays by an Arrow UDF."""
+    def forms(word: Column) -> Column:
+        return F.array(word) if profile.folds == "none" else F.array_distinct(F.array(word, fold_latin(word)))
+
+    def found(t: Column) -> Column:
+        accented = F.regexp_extract_all(t, F.lit(ACCENTED), F.lit(0))
+        compounds = F.regexp_extract_all(F.regexp_replace(t, ACCENTED, "\x01"), F.lit(COMPOUND), F.lit(0))
+        return F.filter(F.concat(F.flatten(F.transform(compounds, parts)), F.flatten(F.transform(accented, forms))), lambda x: F.length(x) > 1)
+
+    return F.transform(F.array(flat), found)[0]
+
+
+def is_plain(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(PLAIN)
+
+
+def plain_tokens(text: Column, profile: str = DEFAULT) -> Column:
+    """Tokens of texts that are known to be plain (is_plain); null gives none. No Python."""
+    return _plain_tokens(F.coalesce(text.cast("string"), F.lit("")), PROFILES[profile])
+
+
+def tokens(text: Column, profile: str = DEFAULT) -> Column:
+    """Token arrays; null gives an empty one. Plain texts stay in the JVM: the Arrow UDF sees null in their place."""
     from pyspark.sql.pandas.functions import pandas_udf
 
     chosen = PROFILES[profile]
 
     @pandas_udf("array<string>")
     def run(values):
-        return values.map(lambda v: tokenize(v, chosen))
+        return values.map(lambda v: tokenize(v, chosen), na_action="ignore")
+
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(is_plain(text), _plain_tokens(text, chosen)).otherwise(run(F.when(~is_plain(text), text)))
+
 
-    return run(text)
+def batch_tokenizer(batch: DataFrame, text: str, profile: str = DEFAULT):
+    """The tokenizer for a small batch (queries): without any Python where all its texts are plain."""
+    return (lambda c: plain_tokens(c, profile)) if batch.filter(~is_plain(F.col(text))).isEmpty() else (lambda c: tokens(c, profile))
 
 
 def normalized(text: Column) -> Column:
-    """NFKC and lower case; pure ASCII is lowered in the JVM's own pass and only the rest is normalized in Python."""
+    """NFKC and lower case; plain text is lowered in the JVM and only the rest is normalized in Python."""
     from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf("string")
     def run(values):
-        return values.map(lambda v: v if v is None else v.lower() if v.isascii() else normalize(v), na_action="ignore")
+        return values.map(normalize, na_action="ignore")
 
-    return run(text)
+    return F.when(is_plain(text), F.lower(text)).otherwise(run(F.when(~is_plain(text), text)))
 
 
 def script(word: Column) -> Column:
-    """The script of a word by a chain of JVM patterns (the first that matches anywhere)."""
+    """script_of() in the JVM."""
     out = F.lit(None).cast("string")
     for name in reversed(SCRIPTS):
         out = F.when(word.rlike(rf"\p{{Is{name}}}"), F.lit(name)).otherwise(out)
-    return out
+    return F.when(word.rlike(r"\p{IsHiragana}|\p{IsKatakana}"), F.lit("Japanese")).when(word.rlike(r"\p{IsHan}"), F.lit("Han")).otherwise(out)
+
+
+def sql_tokens(column: str) -> str:
+    """The default tokens of a plain text as a DuckDB expression (RE2 has no look-around, so accented words are cut out)."""
+    accented = "[a-z0-9]*[\\x{DF}-\\x{F6}\\x{F8}-\\x{17E}][a-z0-9\\x{DF}-\\x{F6}\\x{F8}-\\x{17E}]*"
+    compound, segments, parts = COMPOUND, SEGMENTS, PARTS
+    folded = "strip_accents(w)"
+    for c, to in LATIN_FOLDS.items():
+        folded = f"replace({folded}, '{c}', '{to}')"
+    folded = f"case when regexp_matches(w, '^[0-9]') then w else {folded} end"
+    return f"""list_transform([lower(regexp_replace(coalesce({column}, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))], lambda t: list_filter(
+  flatten(list_transform(regexp_extract_all(regexp_replace(t, '{accented}', chr(1), 'g'), '{compound}'), lambda w: [w] || flatten(list_transform(list_filter(string_split_regex(w, '{segments}'), lambda s: s <> ''),
+    lambda s: (case when s <> w then [s] else [] end) || list_filter(string_split_regex(s, '{parts}'), lambda p: p <> '' and p <> s and p <> w)))))
+  || flatten(list_transform(regexp_extract_all(t, '{accented}'), lambda w: case when {folded} <> w then [w, {folded}] else [w] end)), lambda x: length(x) > 1))[1]"""
