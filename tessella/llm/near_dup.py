@@ -156,13 +156,32 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "tkey", "n", "bands", "sketch"])
 
 
+#: Bits of a text's marks, in words of 64
+MARKS = 16
+
+
+def marks(bag_: np.ndarray) -> np.ndarray:
+    """One bit for each occurrence's hash. A bit that another text lacks stands for an occurrence that it lacks."""
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[(bag_ % _U(64 * MARKS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def _lacking(a: str, b: str):
+    """How many bits of a's marks b lacks: so many occurrences of a, at least, are not in b."""
+    out = F.lit(0)
+    for i in range(MARKS):
+        out = out + F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i])))
+    return out
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(nid, text) to (nid, bag): the sorted occurrences."""
+    """(nid, text) to (nid, bag, marks): the sorted occurrences and their marks."""
     for batch in batches:
         bags = [occurrences(*bag(text)) for text in batch.column(1).to_pylist()]
         offsets = np.cumsum([0, *map(len, bags)]).astype(np.int32)
         flat = np.concatenate(bags) if bags else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["nid", "bag"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))), pa.array([marks(b) for b in bags], pa.list_(pa.int64()))], ["nid", "bag", "marks"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +236,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     and then leave it; a bucket is done when its members are connected or compared. So a bucket of k near copies costs k
     comparisons, not k squared, and no pair of a bucket is skipped unless its texts are connected already, meet in an
     earlier band, or cannot be alike: what a text shares with another is at most its occurrences less those that it has
-    alone. Past the first wave a sketch of the signatures, too, rules out pairs far from alike; it misses an alike pair
+    alone, or whose mark the other lacks. Past the first wave a sketch of the signatures, too, rules out pairs far from alike; it misses an alike pair
     once in ten million, the bands once in seventy thousand. The number of leaders grows from wave to wave, so a bucket of unlike
     texts takes few waves."""
     spark = docs.sparkSession
@@ -234,7 +253,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     drop(found)
     need = keep(left.select("nid").distinct().join(nodes.select("nid", "tkey"), "nid"), "need")
     held = texts.groupBy("tkey").agg(F.any_value("text").alias("text")).join(need, "tkey")
-    bags = keep_buckets(held.select("nid", "text").mapInArrow(_bags, "nid long, bag array<long>"), "bags", "nid", need.count(), BATCH)
+    bags = keep_buckets(held.select("nid", "text").mapInArrow(_bags, "nid long, bag array<long>, marks array<long>"), "bags", "nid", need.count(), BATCH)
     drop(need)
     links = literal(spark, [], "a long, b long")
     label = literal(spark, [], "node long, label long")
@@ -242,7 +261,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     while True:
         marked = left.join(label, left["nid"] == label["node"], "left").select(left["*"], F.coalesce("label", "nid").alias("label"))
         marked = marked.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(1 if wave == 0 else 16**wave // 2)))
-        columns = ["nid", "n", "o", "label", *(["bands", "sketch"] if wave else [])]
+        columns = ["nid", "n", "o", "label", *(["bands", "sketch", "marks"] if wave else [])]
         ahead = F.max(F.struct("met", *columns)).alias("first")
         heads = keep(marked.groupBy("key", "salt").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), ahead), "heads")
         # Buckets that still join different components.
@@ -259,6 +278,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         fit = (F.col("nid") != F.col("leader_nid")) & (F.col("label") != F.col("leader_label")) & able
         if wave:
             fit = fit & (F.col("leads").isNull() | (F.col("nid") > F.col("leader_nid"))) & (_apart("sketch", "leader_sketch") <= MOST_APART) & (F.array_intersect("bands", "leader_bands")[0] == F.col("key"))
+            shared = F.least(F.col("n") - _lacking("marks", "leader_marks"), F.col("leader_n") - _lacking("leader_marks", "marks"))  # at most
+            fit = fit & ((SIMILAR[0] + SIMILAR[1]) * shared >= SIMILAR[0] * (F.col("n") + F.col("leader_n")))
         tried = marked.join(lead, "key").filter(fit)
         # Each pair once; a leader may be in very many, a member is in few, so members meet their bags without a shuffle
         # of these, and leaders (few texts) by a join that is split where it is skewed.
@@ -277,7 +298,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
             spent.append(own)
             rest = rest.join(own, "nid", "left").withColumn("o", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
             # Even a text that lies wholly within this one shares too little where so much of it is its own.
-            rest = rest.filter(SIMILAR[1] * F.col("o") >= SIMILAR[0] * F.col("n")).join(nodes.select("nid", "bands", "sketch"), "nid")
+            rest = rest.filter(SIMILAR[1] * F.col("o") >= SIMILAR[0] * F.col("n")).join(nodes.select("nid", "bands", "sketch"), "nid").join(bags.select("nid", "marks"), "nid")
         following = keep(rest, "buckets")
         # Nothing reads this wave's tables any more.
         drop(heads, lead, pairs, heads_of, left, *([marked, before] if wave else []), *spent)

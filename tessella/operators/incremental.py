@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.scratch import keep
+
 
 def source_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, sha) before and after: new, deleted, changed; unchanged paths are left out."""
@@ -16,20 +18,18 @@ def source_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def closure(changed: DataFrame, depends: DataFrame) -> DataFrame:
     """All ids that the changed ones (id) reach over depends (id, on), with their least depth; cycles are walked once.
 
-    A recursive CTE would walk every path of a diamond; here each round joins the new frontier only, and each round's
-    frontier is checkpointed, so lineage stays short and lost executors cost one round."""
-    spark = changed.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    seen = changed.select("id", F.lit(0).alias("depth")).distinct().checkpoint()
-    edge, depth = seen, 0
+    A recursive CTE would walk every path of a diamond; here each round joins the new frontier only. Every frontier is
+    written once to the shared folder, so lineage stays short and lost executors cost one round; what was seen is the
+    union of these tables and is never written again."""
+    edge = keep(changed.select("id", F.lit(0).alias("depth")).distinct(), "frontier")
+    seen, depth = edge, 0
     while True:
         depth += 1
         step = depends.join(edge.select(F.col("id").alias("on")), "on").select("id").distinct().join(seen, "id", "left_anti")
-        edge = step.select("id", F.lit(depth).alias("depth")).checkpoint()
+        edge = keep(step.select("id", F.lit(depth).alias("depth")), "frontier")
         if edge.isEmpty():
             return seen
-        seen = seen.unionByName(edge).checkpoint()
+        seen = seen.unionByName(edge)
 
 
 def digest(*parts: Column) -> Column:

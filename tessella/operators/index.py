@@ -11,7 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import tokenizer
 from tessella.functions.text import ascii_tokens
+from tessella.scratch import keep
 
 K1 = 1.2  # fixed value: term saturation
 
@@ -66,6 +68,55 @@ def bm25f(docs: DataFrame, key: str, fields: Mapping[str, Column], weights: Mapp
     return scored.join(asked, "term").groupBy("query_id", key).agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
+def build(docs: DataFrame, key: str, fields: Mapping[str, Column], tokenize=tokenizer.tokens) -> dict[str, DataFrame]:
+    """The tables of a stored index: postings (term, key, field, tf, len: the field's length in that document), sorted by
+    term; terms (term, df, idf); fields (field, n: all documents, avg_len: zeros count).
+
+    Texts are tokenized once: postings are written to the shared folder, and the statistics are taken from there."""
+    tokens = field_tokens(docs, key, fields, tokenize).select(key, "field", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
+    postings = keep(tokens.groupBy("term", key, "field", "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    names = docs.sparkSession.createDataFrame([(f,) for f in fields], "field string")
+    sums = postings.groupBy("field").agg(F.sum("tf").alias("total"))
+    averages = names.join(sums, "field", "left").crossJoin(n).select("field", "n", F.coalesce(F.col("total") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avg_len"))  # one row by a row per field
+    terms = term_statistics(postings, n, key)
+    return {"postings": postings.repartitionByRange("term").sortWithinPartitions("term", key), "terms": terms.repartitionByRange("term").sortWithinPartitions("term"), "fields": averages}
+
+
+#: Query terms up to this number are pushed down to the scan as a list; more are joined.
+PUSHED = 1_000
+
+
+def matching(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of a stored table (sorted by term) whose term a batch asks for."""
+    few = [r[0] for r in asked.select("term").distinct().limit(PUSHED + 1).collect()]
+    if len(few) <= PUSHED:
+        return table.filter(F.col("term").isin(few)) if few else table.limit(0)
+    return table.join(asked.select("term").distinct(), "term", "left_semi")
+
+
+def hits(stored: Mapping[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """(query_id, term, key, field, tf, len) of the stored postings that a batch (query_id, term) asks for."""
+    return matching(stored["postings"], asked).join(F.broadcast(asked) if asked.count() <= 100 * PUSHED else asked, "term")
+
+
+def term_scores(found: DataFrame, stored: Mapping[str, DataFrame], key: str, weights: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """(query_id, key, term, s, idf, fields): each term's part of BM25F, from hits."""
+    table = F.create_map(*[x for f, (w, b) in weights.items() for x in (F.lit(f), F.struct(F.lit(float(w)).alias("w"), F.lit(float(b)).alias("b")))])
+    part = found.filter(F.col("field").isin(list(weights))).join(F.broadcast(stored["fields"]), "field").withColumn("p", table[F.col("field")])  # a row per field
+    norm = F.greatest(1 - F.col("p.b") + F.col("p.b") * F.col("len") / F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0), F.lit(0.1))
+    per_term = part.groupBy("query_id", key, "term").agg(F.sum(F.col("p.w") * F.col("tf") / norm).alias("f"), F.array_sort(F.collect_set("field")).alias("fields"))
+    scored = per_term.join(matching(stored["terms"], found), "term")
+    return scored.withColumn("s", F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1)).drop("f")
+
+
+def bm25f_stored(stored: Mapping[str, DataFrame], key: str, weights: Mapping[str, tuple[float, float]], queries: DataFrame, tokenize=None) -> DataFrame:
+    """bm25f() from a stored index: no text is read."""
+    tokenize = tokenize or tokenizer.batch_tokenizer(queries, "query")
+    found = hits(stored, query_terms(queries, tokenize=tokenize))
+    return term_scores(found, stored, key, weights).groupBy("query_id", key).agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("matched"))
+
+
 def top_k(scored: DataFrame, key: str, k: int, score: str = "score") -> DataFrame:
     """The best k per query by the score (rounded to nine digits, so that the order of addition does not matter), then
     the key; adds rank from 1 and rounds the score to six digits."""

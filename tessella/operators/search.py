@@ -1,14 +1,17 @@
 """Direct search over fielded documents: BM25F, exact boosts, concepts, the accept rule and the relative cut.
 
-The long field table (doc_id, field, value) comes from topics or any documents; queries come in batches."""
+The long field table (doc_id, field, value) comes from topics or any documents; queries come in batches. Term scores are
+read from an index (operators/index.py), built from the fields where none is given."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import concepts, tokenizer
 from tessella.functions.text import ascii_tokens
 from tessella.operators import fusion, index
 
@@ -19,60 +22,112 @@ class Field:
     b: float
     exact: float
     high: bool = True
+    anchor: bool = False
 
 
-#: Weight, length normalisation and exact boost of each field; high: whether a match is high-signal.
+#: Weight, length normalisation and exact boost of each field; high: whether a match is high-signal;
+#: anchor: whether the field names things.
 FIELDS = {
     "name": Field(3.5, 0.0, 22),
     "hooks": Field(2.8, 0.25, 16),
     "description": Field(2.5, 0.35, 15),
-    "triggers": Field(3.4, 0.1, 25),
-    "codePath": Field(4.8, 0.1, 32),
-    "codeSymbol": Field(5.2, 0.1, 34),
-    "codeTest": Field(3.4, 0.1, 24),
+    "triggers": Field(3.4, 0.1, 25, anchor=True),
+    "codePath": Field(4.8, 0.1, 32, anchor=True),
+    "codeSymbol": Field(5.2, 0.1, 34, anchor=True),
+    "codeTest": Field(3.4, 0.1, 24, anchor=True),
     "authorityDocs": Field(1.8, 0.2, 12),
-    "scopes": Field(0.4, 0.0, 2, False),
-    "body": Field(1.0, 0.75, 7, False),
+    "scopes": Field(0.4, 0.0, 2, high=False),
+    "body": Field(1.0, 0.75, 7, high=False),
 }
+#: A concept's part of the score, and the thresholds of the accept rule (coverage by idf, score, counts).
+PER_CONCEPT = 4
+ACCEPT = {"body_coverage": 0.45, "anchor_terms": 1, "anchor_coverage": 0.34, "anchor_score": 7, "concepts": 2, "concept_score": 12, "terms": 5, "term_coverage": 0.24, "term_score": 20}
+#: Fixed value: what makes a query without white space an identifier.
+IDENTIFIER = r"[._:/\\-]|[a-z][A-Z]|\d"
+#: Queries that are looked for as they stand in one pass over the field values.
+BLOCK = 256
 
 
 def identifier_like(query: Column) -> Column:
     """No white space, and punctuation of identifiers, a digit or a change from lower to upper case."""
-    return ~query.rlike(r"\s") & query.rlike(r"[._:/\\-]|[a-z0-9][A-Z]|[0-9]")
-
-
-def score(fields: DataFrame, queries: DataFrame, specs: dict[str, Field] = FIELDS, stop: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, doc_id, score, coverage, matched, concepts, exact flags, accepted) of every document that holds a
-    query term or the whole query.
-
-    fields: (doc_id, field, value). A concept is a query term outside `stop` found in a high-signal field."""
-    held = fields.groupBy("doc_id").pivot("field", list(specs)).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n"))
-    held = held.select("doc_id", *[F.coalesce(f, F.lit("")).alias(f) for f in specs])
-    terms = index.bm25f(held, "doc_id", {f: F.col(f"`{f}`") for f in specs}, {f: (s.weight, s.b) for f, s in specs.items()}, queries)
-    size = queries.select("query_id", F.lower(F.trim("query")).alias("q"), "query", F.array_distinct(ascii_tokens(F.col("query"))).alias("terms"))
-    tokens = held.select("doc_id", ascii_tokens(F.concat_ws("\n", *[f for f, s in specs.items() if s.high])).alias("high_terms"), *specs)
-    both = terms.join(tokens, "doc_id").join(size, "query_id")
-    exact = {f: (F.length("q") > 0) & (F.instr(F.lower(F.col(f"`{f}`")), F.col("q")) > 0) for f in specs}
+    return ~query.rlike(r"\s") & query.rlike(IDENTIFIER)
+
+
+def joined_fields(fields: DataFrame, names) -> DataFrame:
+    """(doc_id, field, value) to one row per document with a text per field."""
+    held = fields.groupBy("doc_id").pivot("field", list(names)).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n"))
+    return held.select("doc_id", *[F.coalesce(f"`{f}`", F.lit("")).alias(f) for f in names])
+
+
+def build(fields: DataFrame, specs: Mapping[str, Field] = FIELDS, tokenize=tokenizer.tokens) -> dict[str, DataFrame]:
+    """The index of a long field table."""
+    held = joined_fields(fields, specs)
+    return index.build(held, "doc_id", {f: F.col(f"`{f}`") for f in specs}, tokenize)
+
+
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    rows = []
+    for r in queries.select("query_id", "q").orderBy("query_id").toLocalIterator():
+        rows.append(r)
+        if len(rows) == BLOCK:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def exact_fields(fields: DataFrame, queries: DataFrame, specs: Mapping[str, Field] = FIELDS) -> DataFrame:
+    """(query_id, doc_id, exact: fields): where a value holds the whole normalized query, or a path's or test's last part,
+    or a symbol's, is the query. A stated query set against all values: each block of queries is a constant of one pass
+    over them, so nothing is joined. (A query within a value covers the equality of a part of it.)"""
+    values = fields.filter(F.col("field").isin(list(specs))).select("doc_id", "field", tokenizer.normalized(F.col("value")).alias("v"))
+    asked = queries.select("query_id", tokenizer.normalized(F.col("query")).alias("q")).filter("q <> ''")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    out = None
+    for rows in _blocks(asked):
+        block = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.lit(r["q"]).alias("q")) for r in rows])
+        part = values.select("doc_id", "field", F.explode(F.filter(block, lambda x: F.contains(F.col("v"), x["q"]))).alias("x")).select(F.col("x.query_id").alias("query_id"), "doc_id", "field")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = fields.select(F.lit(None).cast(kind).alias("query_id"), "doc_id", "field").limit(0)
+    return out.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("field")).alias("exact"))
+
+
+def score(fields: DataFrame, queries: DataFrame, specs: Mapping[str, Field] = FIELDS, generic=concepts.GENERIC, stored: Mapping[str, DataFrame] | None = None, tokenize=None) -> DataFrame:
+    """(query_id, doc_id, score, coverage, matched, high_matched, concepts, anchor_terms, exact, accepted) of every
+    document that holds a query term or the whole query.
+
+    fields: (doc_id, field, value); stored: its index. Coverage weighs the query's terms by their idf; concepts are those
+    of terms that match in high-signal fields. Queries without a token find nothing."""
+    tokenize = tokenize or tokenizer.batch_tokenizer(queries, "query")
+    stored = stored or build(fields, specs, tokenizer.tokens)
+    asked = index.query_terms(queries, tokenize=tokenize)
+    found = index.term_scores(index.hits(stored, asked), stored, "doc_id", {f: (s.weight, s.b) for f, s in specs.items()})
+    n = F.broadcast(stored["fields"].agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")))  # one row
+    weighed = asked.join(index.matching(stored["terms"], asked), "term", "left").crossJoin(n).groupBy("query_id").agg(F.sum(F.coalesce("idf", index.idf(F.col("n"), F.lit(0)))).alias("query_weight"))
+    of = lambda pick: F.array(*[F.lit(f) for f, s in specs.items() if pick(s)]).cast("array<string>")
+    in_high, in_anchor = F.arrays_overlap("fields", of(lambda s: s.high)), F.arrays_overlap("fields", of(lambda s: s.anchor))
+    per_doc = found.groupBy("query_id", "doc_id").agg(F.sum("s").alias("bm25f"), F.sum("idf").alias("weight"), F.count(F.lit(1)).alias("matched"), F.array_sort(F.collect_set(F.when(in_high, F.col("term")))).alias("high_terms"), F.count_if(in_anchor).alias("anchor_terms"))
+    both = per_doc.join(exact_fields(fields, queries, specs), ["query_id", "doc_id"], "full_outer")
+    asks = concepts.with_segments(queries.select("query_id", "query"), generic=generic)
+    both = both.join(asks, "query_id").join(weighed, "query_id")
+    none = F.array().cast("array<string>")
+    both = both.withColumn("high_terms", F.coalesce("high_terms", none)).withColumn("exact", F.coalesce("exact", none)).fillna(0, ["bm25f", "weight", "matched", "anchor_terms"])
+    both = both.withColumn("concepts", concepts.count(F.col("segments"), F.col("high_terms"), generic, concepts.has_han(queries)))
     boost = F.lit(0.0)
     for f, s in specs.items():
-        boost = boost + F.when(exact[f], s.exact).otherwise(0.0)
-    high = F.lit(False)
-    for f, s in specs.items():
-        if s.high:
-            high = high | exact[f]
-    anchor = exact["codePath"] | exact["codeSymbol"] | exact["codeTest"] if {"codePath", "codeSymbol", "codeTest"} <= set(specs) else F.lit(False)
-    concepts = F.size(F.filter(F.array_intersect("terms", "high_terms"), lambda t: ~t.isin(*stop) if stop else F.lit(True)))
-    found = both.select("query_id", "doc_id", "matched", "query", "score", (F.col("matched") / F.size("terms")).alias("coverage"), concepts.alias("concepts"), boost.alias("boost"), anchor.alias("exact_anchor"), high.alias("exact_high"), exact["body"].alias("exact_body") if "body" in specs else F.lit(False).alias("exact_body"), identifier_like(F.col("query")).alias("identifier"))
-    found = found.withColumn("score", F.col("score") + F.col("boost") + 4 * F.col("concepts"))
+        boost = boost + F.when(F.array_contains("exact", f), float(s.exact)).otherwise(0.0)
+    both = both.withColumn("score", F.col("bm25f") + boost + PER_CONCEPT * F.col("concepts")).withColumn("coverage", F.coalesce(F.col("weight") / F.nullif("query_weight", F.lit(0.0)), F.lit(0.0)))
+    ident, a = identifier_like(F.trim("query")), ACCEPT
+    at_least = lambda c, k: F.round(c, 9) >= a[k]
     accept = (
-        F.col("exact_anchor")
-        | F.col("exact_high")
-        | (F.col("exact_body") & (F.col("identifier") | (F.col("coverage") >= 0.45)))
-        | (F.col("identifier") & (F.col("concepts") >= 1) & (F.col("coverage") >= 0.34) & (F.col("score") >= 7))
-        | ((F.col("concepts") >= 2) & (F.col("score") >= 12))
-        | ((F.col("matched") >= 5) & (F.col("coverage") >= 0.24) & (F.col("score") >= 20))
+        F.arrays_overlap("exact", of(lambda s: s.anchor or s.high))
+        | (F.array_contains("exact", "body") & (ident | at_least("coverage", "body_coverage")))
+        | (ident & (F.col("anchor_terms") >= a["anchor_terms"]) & at_least("coverage", "anchor_coverage") & at_least("score", "anchor_score"))
+        | ((F.col("concepts") >= a["concepts"]) & at_least("score", "concept_score"))
+        | ((F.col("matched") >= a["terms"]) & at_least("coverage", "term_coverage") & at_least("score", "term_score"))
     )
-    return found.withColumn("accepted", accept).drop("query", "boost")
+    return both.select("query_id", "doc_id", "score", "coverage", "matched", F.size("high_terms").alias("high_matched"), "concepts", "anchor_terms", "exact", accept.alias("accepted"))
 
 
 def search(fields: DataFrame, queries: DataFrame, limit: int = 5, **options) -> DataFrame:

@@ -193,3 +193,15 @@ def test_survivors_are_determined(spark):
     df = spark.createDataFrame(rows_, "doc_id long, text string, source string")
     found = {tuple(sorted(map(tuple, near_dup.drop_near_duplicates(df.repartition(n)).collect()))) for n in (1, 2, 5)}
     assert found == {((1, "one two three four five six", "t"), (3, "other text", "b"))}
+
+
+def test_marks_bound_what_two_texts_share():
+    rng = random.Random(9)
+    for _ in range(300):
+        words = [str(rng.randrange(60)) for _ in range(rng.choice([3, 30, 300, 3000]))]
+        other = [w if rng.random() < 0.9 else str(rng.randrange(60)) for w in words][: rng.randrange(1, len(words) + 1)]
+        p, q = (near_dup.occurrences(*near_dup.bag(" ".join(x))) for x in (words, other))
+        a, b = (near_dup.marks(x).view(np.uint64) for x in (p, q))
+        both = len(set(p.tolist()) & set(q.tolist()))
+        lacking = lambda x, y: sum(int(w).bit_count() for w in x & ~y)
+        assert both <= len(p) - lacking(a, b) and both <= len(q) - lacking(b, a)
