@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, text
+from tessella.functions.tokenizer import sql_tokens
 from tessella.operators import duplicates, evaluate, index, vectors
-from tessella.plans.retrieval import _bm25_sql
+from tessella.plans.retrieval import _bm25_sql, stored
 from tessella.session import table
 
 
@@ -39,7 +40,7 @@ def _golden(spark, sf_dir):
 def _hits(spark, sf_dir, b: float):
     docs = table(spark, sf_dir, "documents")
     cases = _golden(spark, sf_dir)
-    scored = index.bm25f(docs, "doc_id", {"body": F.col("text")}, {"body": (1.0, b)}, cases)
+    scored = index.bm25f_stored(stored(spark, sf_dir), "doc_id", {"body": (1.0, b)}, cases)
     ranked = index.top_k(scored, "doc_id", 10).select(F.col("query_id").alias("case_id"), "doc_id", "rank")
     held = docs.select(F.col("doc_id").alias("expected"), F.explode(F.array_distinct(text.ngrams(text.ascii_tokens(F.col("text")), 6))).alias("gram"))
     golden = cases.select(F.col("query_id").alias("case_id"), "gram").join(held, "gram").select("case_id", "expected")
@@ -123,10 +124,8 @@ STATES = "d as (select doc_id, sha256(text) as sha from documents), k as (select
 
 def _hits_sql(name: str, b: float) -> str:
     """CTEs that end in {name}(case_id, rank, group)."""
-    base = _bm25_sql(f"{name}_b", {"body": ("text", 1.0, b)})
-    # The literal queries give way to the golden cases.
-    head = f"{name}_b_q as (select query_id, unnest(list_distinct({TOK.format(c='query')})) as term from cases),\n" + base[base.index(f"{name}_b_t as (") :]
-    return f"""{head}, {name}_r as (select query_id as case_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from {name}_b),
+    base = _bm25_sql(f"{name}_b", {"body": (1.0, b)}, f"select query_id, unnest(list_distinct({sql_tokens('query')})) as term from cases")
+    return f"""{base}, {name}_r as (select query_id as case_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from {name}_b),
 {name} as (select g.case_id, min(r.rank) filter (where r.rank <= 10) as rank, case when g.case_id % 2 = 0 then 'even' else 'odd' end as "group" from golden g left join {name}_r r on r.case_id = g.case_id and r.doc_id = g.expected group by g.case_id)"""
 
 

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from tessella.functions import tokenizer
 from tessella.functions.text import ascii_tokens, first_line
 from tessella.operators import budget, index, runtime, search
+from tessella.operators import compile as compiler
 from tessella.plans.retrieval import docs_of, queries_of
+from tessella.scratch import scratch_dir
 from tessella.session import table
 from tessella.sources import logs, topics
 
+IDENTIFIERS = [(6, "src/fr"), (7, "v3")]
 SPECS = {"description": search.FIELDS["description"], "scopes": search.FIELDS["scopes"], "body": search.FIELDS["body"]}
 
 
@@ -19,13 +22,28 @@ def _fields(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), c.alias("value")) for k, c in parts.items()])).alias("f")).select("doc_id", "f.*")
 
 
+def _index(spark, sf_dir):
+    return compiler.open_index(spark, f"{scratch_dir(spark)}/fields", [f"{sf_dir}/documents.parquet"], lambda: search.build(_fields(spark, sf_dir), SPECS))
+
+
+def asked(spark):
+    """The literal queries, and two that look like identifiers."""
+    return queries_of(spark).unionByName(spark.createDataFrame(IDENTIFIERS, "query_id int, query string"))
+
+
+def direct_scores(spark, sf_dir):
+    """Every document that a query matches, with what the accept rule looks at."""
+    rows = search.score(_fields(spark, sf_dir), asked(spark), specs=SPECS, stored=_index(spark, sf_dir))
+    return rows.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "matched", "high_matched", "concepts", "anchor_terms", F.array_join("exact", ",").alias("exact"), "accepted")
+
+
 def direct_search(spark, sf_dir):
-    return search.search(_fields(spark, sf_dir), queries_of(spark), specs=SPECS).select("query_id", "doc_id", "score", "rank")
+    return search.search(_fields(spark, sf_dir), asked(spark), specs=SPECS, stored=_index(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
 def direct_recall(spark, sf_dir):
     phrasings = queries_of(spark).select(F.when(F.col("query_id") <= 2, 1).otherwise(2).alias("query_id"), F.col("query_id").alias("variant"), "query")
-    return search.recall(_fields(spark, sf_dir), phrasings, specs=SPECS)
+    return search.recall(_fields(spark, sf_dir), phrasings, specs=SPECS, stored=_index(spark, sf_dir))
 
 
 def best_excerpts(spark, sf_dir):
@@ -35,12 +53,11 @@ def best_excerpts(spark, sf_dir):
     held = docs.select("doc_id", F.explode(F.array_distinct(ascii_tokens(F.col("text")))).alias("term"))
     asked = index.query_terms(queries_of(spark))
     df = held.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n")))  # one row
-    out = search.best_excerpt(lines, queries_of(spark), df.select("term", index.idf(F.col("n"), F.col("df")).alias("idf")))
-    return out.withColumn("excerpt", F.substring("excerpt", 1, 80))
+    return search.best_excerpt(lines, queries_of(spark), df.select("term", index.idf(F.col("n"), F.col("df")).alias("idf")))
 
 
 def budget_envelopes(spark, sf_dir):
-    found = search.search(_fields(spark, sf_dir), queries_of(spark), specs=SPECS).join(queries_of(spark), "query_id").join(docs_of(spark, sf_dir).select("doc_id", "text", "lang"), "doc_id")
+    found = search.search(_fields(spark, sf_dir), queries_of(spark), specs=SPECS, stored=_index(spark, sf_dir)).join(queries_of(spark), "query_id").join(docs_of(spark, sf_dir).select("doc_id", "text", "lang"), "doc_id")
     rows = found.select("query_id", "query", "rank", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("excerpt"), ascii_tokens(F.col("query")).alias("terms"), F.array("lang").alias("authority"), F.array(F.concat(F.lit("score "), F.col("score").cast("string"))).alias("explanation"))
     return budget.budgeted(rows, "expanded")
 
@@ -73,7 +90,7 @@ def safe_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), runtime.safe_path(path).alias("safe"))
 
 
-QUERIES = {f.__name__: f for f in (direct_search, direct_recall, best_excerpts, budget_envelopes, unicode_token_counts, paragraph_chunks, query_ids, missing_query_vectors, lru_caps, safe_paths)}
+QUERIES = {f.__name__: f for f in (direct_scores, direct_search, direct_recall, best_excerpts, budget_envelopes, unicode_token_counts, paragraph_chunks, query_ids, missing_query_vectors, lru_caps, safe_paths)}
 
 TOK = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
 
@@ -86,26 +103,34 @@ h as (select distinct doc_id, unnest({TOK.format(c='text')}) as term from docume
 l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
 t as (select distinct doc_id, pos, line, unnest({TOK.format(c='line')}) as term from l),
 s as (select q.query_id, t.doc_id, t.pos, t.line, round(sum(df.idf), 9) as s from t join q on t.term = q.term join df on df.term = t.term group by 1, 2, 3, 4)
-select query_id, doc_id, substring(line, 1, 80) as excerpt from (select *, row_number() over (partition by query_id, doc_id order by s desc, pos) as r from s) where r = 1"""
+select query_id, doc_id, line as excerpt from (select *, row_number() over (partition by query_id, doc_id order by s desc, pos) as r from s) where r = 1"""
 
 
 def _search() -> str:
-    """CTEs that end in found(query_id, doc_id, score), accepted and cut."""
+    """CTEs that end in y (every score) and found(query_id, doc_id, score), accepted and cut: from the rule of direct search."""
+    from tessella.functions.concepts import sql_count
+    from tessella.functions.tokenizer import sql_tokens
     from tessella.plans.retrieval import TITLE, VALUES, _bm25_sql
 
-    base = _bm25_sql("ds", {"description": (TITLE, 2.5, 0.35), "scopes": ("lang", 0.4, 0.0), "body": ("text", 1.0, 0.75)})
-    return f"""with {base}, qs as (select query_id, query, lower(trim(query, ' ')) as q, list_distinct({TOK.format(c='query')}) as terms from (values {VALUES}) v(query_id, query)),
-x as (select d.query_id, d.doc_id, d.score, d.matched, d.matched / cast(len(terms) as double) as coverage, len(list_intersect(terms, {TOK.format(c=TITLE)})) as concepts,
-  contains(lower({TITLE}), q) as e_high, contains(lower(lang), q) as e_scope, contains(lower(text), q) as e_body, not regexp_matches(query, '\\s') and regexp_matches(query, '[._:/\\\\-]|[a-z0-9][A-Z]|[0-9]') as ident
-  from ds d join qs on qs.query_id = d.query_id join documents o on o.doc_id = d.doc_id),
-y as (select *, score + case when e_high then 15 else 0 end + case when e_scope then 2 else 0 end + case when e_body then 7 else 0 end + 4 * concepts as total from x),
-z as (select query_id, doc_id, total as score from y where e_high or (e_body and (ident or coverage >= 0.45)) or (ident and concepts >= 1 and coverage >= 0.34 and total >= 7) or (concepts >= 2 and total >= 12) or (matched >= 5 and coverage >= 0.24 and total >= 20)),
-found as (select query_id, doc_id, score from (select *, max(score) over (partition by query_id) as top from z) where round(score, 9) >= round(0.55::double * top, 9))"""
+    every = VALUES + ", " + ", ".join(f"({i}, '{q}')" for i, q in IDENTIFIERS)
+    base = _bm25_sql("ds", {f: (x.weight, x.b) for f, x in SPECS.items()}, f"select query_id, unnest(list_distinct({sql_tokens('query')})) as term from (values {every}) v(query_id, query)", {"description": TITLE, "scopes": "lang", "body": "text"})
+    a = search.ACCEPT
+    return f"""with {base}, n as (select count(*) as n from documents), qs as (select query_id, query, lower(query) as q from (values {every}) v(query_id, query)),
+idf as (select q.query_id, q.term, ln(1 + (n.n - coalesce(d.df, 0) + 0.5) / (coalesce(d.df, 0) + 0.5)) as idf from ds_q q cross join n left join ds_d d on d.term = q.term), qw as (select query_id, sum(idf) as qw from idf group by query_id),
+m as (select i.query_id, f.doc_id, i.term, any_value(i.idf) as idf, bool_or(f.field = 'description') as high from ds_f f join idf i on i.term = f.term group by i.query_id, f.doc_id, i.term),
+md as (select query_id, doc_id, sum(idf) as mw, count(*) as matched, list_filter(list(case when high then term end), lambda x: x is not null) as high from m group by query_id, doc_id),
+ee as (select query_id, doc_id, list_filter([case when contains(lower(coalesce(text, '')), q) then 'body' end, case when contains(lower({TITLE}), q) then 'description' end, case when contains(lower(coalesce(lang, '')), q) then 'scopes' end], lambda x: x is not null) as exact from documents, qs),
+x as (select ee.query_id, ee.doc_id, coalesce(ds.score, 0) as bm, coalesce(md.mw, 0) / qw.qw as coverage, coalesce(md.matched, 0) as matched, coalesce(md.high, []) as high, ee.exact, qs.query from ee join qs on qs.query_id = ee.query_id join qw on qw.query_id = ee.query_id left join md on md.query_id = ee.query_id and md.doc_id = ee.doc_id left join ds on ds.query_id = ee.query_id and ds.doc_id = ee.doc_id where md.matched > 0 or len(ee.exact) > 0),
+c as (select *, {sql_count('query', 'high')} as concepts from x),
+y0 as (select query_id, doc_id, bm + case when list_contains(exact, 'description') then 15 else 0 end + case when list_contains(exact, 'scopes') then 2 else 0 end + case when list_contains(exact, 'body') then 7 else 0 end + {search.PER_CONCEPT} * concepts as score, coverage, matched, len(high) as high_matched, concepts, exact, not regexp_matches(query, '\\s') and regexp_matches(query, '[._:/\\\\-]|[a-z][A-Z]|\\d') as ident from c),
+y as (select *, list_contains(exact, 'description') or (list_contains(exact, 'body') and (ident or round(coverage, 9) >= {a['body_coverage']})) or (concepts >= {a['concepts']} and round(score, 9) >= {a['concept_score']}) or (matched >= {a['terms']} and round(coverage, 9) >= {a['term_coverage']} and round(score, 9) >= {a['term_score']}) as accepted from y0),
+found as (select query_id, doc_id, score from (select *, max(score) over (partition by query_id) as top from y where accepted) where round(score, 9) >= round(0.55::double * top, 9))"""
 
 
 ORACLES = {
+    "direct_scores": _search() + " select query_id, doc_id, round(score, 6) as score, round(coverage, 6) as coverage, matched, high_matched, concepts, 0 as anchor_terms, array_to_string(exact, ',') as exact, accepted from y",
     "direct_search": _search() + " select query_id, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from found) where rank <= 5",
-    "direct_recall": _search() + ", r as (select case when query_id <= 2 then 1 else 2 end as query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from found) where rank <= 5), s as (select query_id, doc_id, sum(1.0::double / (10 + rank)) as score, min(rank) as best_rank, count(*) as variants from r group by query_id, doc_id) select query_id, doc_id, round(score, 6) as score, best_rank, variants, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 3",
+    "direct_recall": _search() + ", r as (select case when query_id <= 2 then 1 else 2 end as query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from found where query_id <= 5) where rank <= 5), s as (select query_id, doc_id, sum(1.0::double / (10 + rank)) as score, min(rank) as best_rank, count(*) as variants from r group by query_id, doc_id) select query_id, doc_id, round(score, 6) as score, best_rank, variants, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 3",
     "best_excerpts": _excerpts(),
     "missing_query_vectors": "with k as (select distinct sha256('m1' || chr(10) || sha256(lower(trim(text, ' ')))) as cache_key, conv_id from conversations) select distinct cache_key from k where cache_key not in (select cache_key from k where conv_id % 3 = 0)",
     "lru_caps": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as n from events) where n <= 3",

@@ -1,4 +1,6 @@
-"""Retrieval over `documents`: index, BM25F, lanes, fusion, confidence."""
+"""Retrieval over `documents` from a stored index: statistics, BM25F, lanes, fusion.
+
+The index is built by the first query that needs it and read by all others until the documents change."""
 
 from __future__ import annotations
 
@@ -6,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import ascii_tokens, first_line
+from tessella.functions.tokenizer import sql_tokens
+from tessella.operators import compile as compiler
 from tessella.operators import fusion, index, lanes
+from tessella.scratch import scratch_dir
 from tessella.session import table
 
 #: A batch of literal queries (query_id, query).
@@ -26,30 +31,30 @@ def _fields():
     return {"title": first_line(F.col("text")), "body": F.col("text")}
 
 
-def _body():
-    return {"body": F.col("text")}
+def stored(spark, sf_dir) -> dict[str, DataFrame]:
+    return compiler.open_index(spark, f"{scratch_dir(spark)}/documents", [f"{sf_dir}/documents.parquet"], lambda: index.build(docs_of(spark, sf_dir), "doc_id", _fields()))
 
 
 def tokens_tf(spark, sf_dir):
-    return index.term_frequencies(index.field_tokens(docs_of(spark, sf_dir), "doc_id", _body()), "doc_id").drop("field")
+    return stored(spark, sf_dir)["postings"].filter("field = 'body'").select("doc_id", "term", "tf")
 
 
 def field_lengths(spark, sf_dir):
-    return index.field_lengths(index.field_tokens(docs_of(spark, sf_dir), "doc_id", _fields()), "doc_id")
+    every = docs_of(spark, sf_dir).select("doc_id", F.explode(F.array(*map(F.lit, _fields()))).alias("field"))
+    held = stored(spark, sf_dir)["postings"].groupBy("doc_id", "field").agg(F.sum("tf").alias("len"))
+    return every.join(held, ["doc_id", "field"], "left").select("doc_id", "field", F.coalesce("len", F.lit(0)).alias("len"))
 
 
 def term_df_idf(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    tf = index.term_frequencies(index.field_tokens(docs, "doc_id", _fields()), "doc_id")
-    return index.term_statistics(tf, docs.agg(F.count(F.lit(1)).alias("n")), "doc_id").withColumn("idf", F.round("idf", 6))
+    return stored(spark, sf_dir)["terms"].withColumn("idf", F.round("idf", 6))
 
 
-def _bm25(spark, sf_dir):
-    return index.bm25f(docs_of(spark, sf_dir), "doc_id", _body(), {"body": (1.0, 0.75)}, queries_of(spark))
+def _bm25(spark, sf_dir, queries=None):
+    return index.bm25f_stored(stored(spark, sf_dir), "doc_id", {"body": (1.0, 0.75)}, queries or queries_of(spark))
 
 
 def _bm25f(spark, sf_dir):
-    return index.bm25f(docs_of(spark, sf_dir), "doc_id", _fields(), WEIGHTS, queries_of(spark))
+    return index.bm25f_stored(stored(spark, sf_dir), "doc_id", WEIGHTS, queries_of(spark))
 
 
 def bm25_topk(spark, sf_dir):
@@ -115,7 +120,7 @@ def graph_two_hop(spark, sf_dir):
 
 def _lanes(spark, sf_dir):
     body = index.top_k(_bm25(spark, sf_dir), "doc_id", 50).select("query_id", F.lit("body").alias("channel"), "doc_id", "rank")
-    title = index.top_k(index.bm25f(docs_of(spark, sf_dir), "doc_id", {"title": first_line(F.col("text"))}, {"title": (1.0, 0.35)}, queries_of(spark)), "doc_id", 50)
+    title = index.top_k(index.bm25f_stored(stored(spark, sf_dir), "doc_id", {"title": (1.0, 0.35)}, queries_of(spark)), "doc_id", 50)
     return body.unionByName(title.select("query_id", F.lit("title").alias("channel"), "doc_id", "rank"))
 
 
@@ -133,29 +138,6 @@ def multi_query_fusion(spark, sf_dir):
     return index.top_k(fused, "doc_id", 10)
 
 
-def _features(spark, sf_dir):
-    """Candidates with the lexical features that the driver's tables can give."""
-    matched = _bm25f(spark, sf_dir)
-    size = queries_of(spark).select("query_id", F.size(F.array_distinct(ascii_tokens(F.col("query")))).alias("asked"))
-    fused = _fused(spark, sf_dir).join(matched, ["query_id", "doc_id"]).join(size, "query_id")
-    return fused.select("query_id", "doc_id", "rrf", (F.col("matched") / F.col("asked")).alias("query_coverage"), F.least(F.lit(1.0), F.col("matched") / 5).alias("matched_terms"), (F.size("channels") / 2).alias("field_coverage"), (F.size("channels") / 2).alias("channel_diversity"), F.lit(0.0).alias("high_signal_concepts"), F.least(F.lit(1.0), F.when(F.array_contains("channels", "title"), F.col("matched")).otherwise(F.lit(0)) / 5).alias("high_signal_terms"))
-
-
-SCORED = {"query_coverage": 0.2, "matched_terms": 0.15, "field_coverage": 0.2, "high_signal_terms": 0.15, "channel_diversity": 0.05}
-
-
-def feature_score(spark, sf_dir):
-    scored = _features(spark, sf_dir).withColumn("score", fusion.weighted_score(SCORED))
-    return index.top_k(scored.select("query_id", "doc_id", "score", F.round("query_coverage", 6).alias("query_coverage")), "doc_id", 10)
-
-
-def confidence_abstain(spark, sf_dir):
-    scored = _features(spark, sf_dir).withColumn("confidence", F.greatest(fusion.branch(fusion.CONCEPT), fusion.branch(fusion.DENSITY)))
-    scored = scored.withColumn("least", fusion.threshold(F.array(F.lit("natural"), F.lit("mixed")))).withColumn("confidence", F.round("confidence", 9))
-    asked = queries_of(spark).unionByName(spark.createDataFrame([(6, "zzzz qqqq")], "query_id int, query string"))
-    return fusion.with_abstentions(asked, scored, "doc_id", "confidence", "least")
-
-
 def relative_score_cut(spark, sf_dir):
     return fusion.relative_cut(_bm25(spark, sf_dir).withColumn("matched", F.col("matched").cast("long"))).withColumn("score", F.round("score", 6))
 
@@ -175,45 +157,44 @@ def mmr_select(spark, sf_dir):
     return fusion.mmr(ranked, "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {f.__name__: f for f in (tokens_tf, field_lengths, term_df_idf, bm25_topk, bm25f_two_fields, exact_map_build, exact_anchor_match, path_suffix_join, trigger_containment, trigram_dice_join, fuzzy_edit_join, graph_two_hop, rrf_fusion, multi_query_fusion, feature_score, confidence_abstain, relative_score_cut, conflict_penalty, mmr_select)}
+QUERIES = {f.__name__: f for f in (tokens_tf, field_lengths, term_df_idf, bm25_topk, bm25f_two_fields, exact_map_build, exact_anchor_match, path_suffix_join, trigger_containment, trigram_dice_join, fuzzy_edit_join, graph_two_hop, rrf_fusion, multi_query_fusion, relative_score_cut, conflict_penalty, mmr_select)}
 
 VALUES = ", ".join(f"({i}, '{q}')" for i, q in LITERALS)
 TOK = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
 TITLE = "split_part(coalesce(text, ''), chr(10), 1)"
 
 
-def _bm25_sql(name: str, fields: dict[str, tuple[str, float, float]]) -> str:
-    """CTEs that end in {name}(query_id, doc_id, score, matched)."""
-    rows = " union all ".join(f"select doc_id, '{f}' as field, {TOK.format(c=c)} as tokens, cast({w} as double) as w, cast({b} as double) as b from documents" for f, (c, w, b) in fields.items())
-    return f"""{name}_q as (select query_id, unnest(list_distinct({TOK.format(c='query')})) as term from (values {VALUES}) v(query_id, query)),
-{name}_t as ({rows}), {name}_a as (select field, avg(len(tokens)) as avg_len from {name}_t group by field),
-{name}_x as (select doc_id, field, len(tokens) as len, w, b, unnest(tokens) as term from {name}_t),
-{name}_f as (select doc_id, field, len, w, b, term, count(*) as tf from {name}_x where term in (select term from {name}_q) group by all),
-{name}_p as (select f.doc_id, f.term, sum(f.w * f.tf / greatest(1 - f.b + f.b * f.len / case when a.avg_len > 0 then a.avg_len else 1 end, 0.1)) as f from {name}_f f join {name}_a a on f.field = a.field group by f.doc_id, f.term),
-{name}_d as (select term, count(*) as df from {name}_p group by term),
+def _bm25_sql(name: str, weights: dict[str, tuple[float, float]], asked: str | None = None, fields: dict[str, str] | None = None) -> str:
+    """CTEs that end in {name}(query_id, doc_id, score, matched): BM25F over `weights` of an index of `fields` (name: SQL)."""
+    fields = fields or {"title": TITLE, "body": "text"}
+    rows = " union all ".join(f"select doc_id, '{f}' as field, {sql_tokens(c)} as tokens from documents" for f, c in fields.items())
+    chosen = ", ".join(f"('{f}', {w}::double, {b}::double)" for f, (w, b) in weights.items())
+    return f"""{name}_q as ({asked or f"select query_id, unnest(list_distinct({sql_tokens('query')})) as term from (values {VALUES}) v(query_id, query)"}),
+{name}_t as ({rows}), {name}_w(field, w, b) as (values {chosen}), {name}_a as (select field, avg(len(tokens)) as avg_len from {name}_t group by field),
+{name}_x as (select doc_id, field, len(tokens) as len, unnest(tokens) as term from {name}_t),
+{name}_f as (select doc_id, field, len, term, count(*) as tf from {name}_x where term in (select term from {name}_q) group by all),
+{name}_p as (select f.doc_id, f.term, sum(w.w * f.tf / greatest(1 - w.b + w.b * f.len / case when a.avg_len > 0 then a.avg_len else 1 end, 0.1)) as f from {name}_f f join {name}_a a on f.field = a.field join {name}_w w on w.field = f.field group by f.doc_id, f.term),
+{name}_d as (select term, count(distinct doc_id) as df from {name}_f group by term),
 {name} as (select q.query_id, p.doc_id, sum(ln(1 + ((select count(*) from documents) - d.df + 0.5) / (d.df + 0.5)) * p.f * 2.2 / (p.f + 1.2)) as score, count(*) as matched
   from {name}_p p join {name}_d d on p.term = d.term join {name}_q q on q.term = p.term group by q.query_id, p.doc_id)"""
 
 
-BODY = _bm25_sql("bm", {"body": ("text", 1.0, 0.75)})
-BOTH = _bm25_sql("bf", {"title": (TITLE, 2.5, 0.35), "body": ("text", 1.0, 0.75)})
-HEAD = _bm25_sql("bt", {"title": (TITLE, 1.0, 0.35)})
+BODY = _bm25_sql("bm", {"body": (1.0, 0.75)})
+BOTH = _bm25_sql("bf", WEIGHTS)
+HEAD = _bm25_sql("bt", {"title": (1.0, 0.35)})
 RANK = "row_number() over (partition by query_id order by round({s}, 9) desc, doc_id)"
 LANES = f"""lanes as (select query_id, 'body' as channel, doc_id, r from (select *, {RANK.format(s='score')} as r from bm) where r <= 50
   union all select query_id, 'title', doc_id, r from (select *, {RANK.format(s='score')} as r from bt) where r <= 50),
 fused as (select query_id, doc_id, sum(case channel when 'body' then 16.0 else 8.0 end::double / (10 + r)) / (24.0::double / 11) as rrf, list_sort(list(distinct channel)) as channels from lanes group by query_id, doc_id)"""
-FEATURES = f"""feats as (select f.query_id, f.doc_id, f.rrf, m.matched / cast(s.asked as double) as query_coverage, least(1.0, m.matched / 5.0::double) as matched_terms, len(f.channels) / 2.0::double as cover,
-  least(1.0, case when list_contains(f.channels, 'title') then m.matched else 0 end / 5.0::double) as signal
-  from fused f join bf m on f.query_id = m.query_id and f.doc_id = m.doc_id join (select query_id, len(list_distinct({TOK.format(c='query')})) as asked from (values {VALUES}) v(query_id, query)) s on s.query_id = f.query_id)"""
 PATHS = "paths as (select page_id as doc_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) as path, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host from pages)"
 EXACT = PATHS + ", entries as (select 'path' as kind, path as value, doc_id from paths union all select 'basename', string_split(path, '/')[-1], doc_id from paths union all select 'host', host, doc_id from paths), exact as (select kind, lower(value) as normalized, min(value) as value, list_sort(list(distinct doc_id)) as documents from entries where value <> '' group by kind, lower(value))"
 PART_WORDS = "words as (select distinct unnest(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) as term from part)"
 GRAMS = "list_distinct(list_transform(range(1, greatest(len({x}) - 1, 1)), lambda i: {x}[i:i+2]))"
 
 ORACLES = {
-    "tokens_tf": f"select doc_id, term, count(*) as tf from (select doc_id, unnest({TOK.format(c='text')}) as term from documents) group by doc_id, term",
-    "field_lengths": f"select doc_id, 'title' as field, cast(len({TOK.format(c=TITLE)}) as bigint) as len from documents union all select doc_id, 'body', cast(len({TOK.format(c='text')}) as bigint) from documents",
-    "term_df_idf": f"with t as (select distinct doc_id, unnest({TOK.format(c='text')}) as term from documents), d as (select term, count(*) as df from t group by term) select term, df, round(ln(1 + ((select count(*) from documents) - df + 0.5) / (df + 0.5)), 6) as idf from d",
+    "tokens_tf": f"select doc_id, term, count(*) as tf from (select doc_id, unnest({sql_tokens('text')}) as term from documents) group by doc_id, term",
+    "field_lengths": f"select doc_id, 'title' as field, cast(len({sql_tokens(TITLE)}) as bigint) as len from documents union all select doc_id, 'body', cast(len({sql_tokens('text')}) as bigint) from documents",
+    "term_df_idf": f"with t as (select distinct doc_id, unnest({sql_tokens('text')}) as term from documents), d as (select term, count(*) as df from t group by term) select term, df, round(ln(1 + ((select count(*) from documents) - df + 0.5) / (df + 0.5)), 6) as idf from d",
     "bm25_topk": f"with {BODY} select query_id, doc_id, round(score, 6) as score, matched, rank from (select *, {RANK.format(s='score')} as rank from bm) where rank <= 10",
     "bm25f_two_fields": f"with {BOTH} select query_id, doc_id, round(score, 6) as score, matched, rank from (select *, {RANK.format(s='score')} as rank from bf) where rank <= 10",
     "exact_map_build": f"with {EXACT} select kind, normalized, value, array_to_string(documents, ',') as documents from exact",
@@ -225,8 +206,6 @@ ORACLES = {
     "graph_two_hop": "with e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst, 'supplies' as kind from lineitem union select distinct 'c' || o_custkey, 'p' || l_partkey, 'buys' from orders join lineitem on o_orderkey = l_orderkey), b as (select src, dst, kind from e union select dst, src, kind from e), f as (select src as seed, dst as via, kind from b where src in ('s1', 'c7')), h as (select seed, via as target, kind, 1 as hops, seed as through from f union all select f.seed, b.dst, b.kind, 2, f.via from (select distinct seed, via from f) f join b on b.src = f.via) select target, kind, hops, count(distinct through) as n from h where target not in ('s1', 'c7') group by target, kind, hops",
     "rrf_fusion": f"with {BODY}, {HEAD}, {LANES} select query_id, doc_id, round(rrf, 6) as rrf, array_to_string(channels, ',') as channels, rank from (select *, {RANK.format(s='rrf')} as rank from fused) where rank <= 10",
     "multi_query_fusion": f"with {BODY}, r as (select case when query_id <= 2 then 1 else 2 end as query_id, doc_id, r from (select *, {RANK.format(s='score')} as r from bm) where r <= 50), s as (select query_id, doc_id, sum(1.0::double / (10 + r)) as score, min(r) as best_rank, count(*) as variants from r group by query_id, doc_id) select query_id, doc_id, round(score, 6) as score, best_rank, variants, rank from (select *, {RANK.format(s='score')} as rank from s) where rank <= 10",
-    "feature_score": f"with {BODY}, {HEAD}, {BOTH}, {LANES}, {FEATURES}, s as (select query_id, doc_id, greatest(0.0, least(1.0, (rrf + query_coverage * 0.2 + matched_terms * 0.15 + cover * 0.2 + signal * 0.15 + cover * 0.05) / 1.75)) as score, round(query_coverage, 6) as query_coverage from feats) select query_id, doc_id, round(score, 6) as score, query_coverage, rank from (select *, {RANK.format(s='score')} as rank from s) where rank <= 10",
-    "confidence_abstain": f"with {BODY}, {HEAD}, {BOTH}, {LANES}, {FEATURES}, c as (select query_id, doc_id, round(greatest(signal * 0.2 + cover * 0.15 + query_coverage * 0.1, matched_terms * 0.55 + query_coverage * 0.35 + cover * 0.1), 9) as confidence from feats), s as (select query_id, count(*) as candidates, count(*) filter (where confidence >= 0.65) as trusted from c group by query_id), b as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by confidence desc, doc_id) as r from c where confidence >= 0.65) where r = 1), q as (select unnest([1, 2, 3, 4, 5, 6]) as query_id) select q.query_id, coalesce(candidates, 0) as candidates, coalesce(trusted, 0) as trusted, b.doc_id as best, coalesce(trusted, 0) = 0 as abstained, case when candidates is null then 'no-trusted-candidate' when trusted = 0 then 'below-threshold' end as reason from q left join s on q.query_id = s.query_id left join b on q.query_id = b.query_id",
     "relative_score_cut": f"with {BODY} select query_id, doc_id, round(score, 6) as score, matched from (select *, max(score) over (partition by query_id) as top from bm) where round(score, 9) >= round(0.55::double * top, 9)",
     "conflict_penalty": f"with {BODY}, c as (select query_id, doc_id from (select *, {RANK.format(s='score')} as r from bm) where r <= 50), p as (select a.query_id, b.doc_id, case when x.lang = y.lang then 'superseded' else 'authority-role' end as kind, case when x.lang = y.lang then 0.25 else 0.03 end::double as penalty from c a join c b on a.query_id = b.query_id and b.doc_id in (a.doc_id - 1, a.doc_id - 2) join documents x on x.doc_id = a.doc_id join documents y on y.doc_id = b.doc_id), w as (select query_id, doc_id, kind, max(penalty) as p from p group by query_id, doc_id, kind) select query_id, doc_id, round(sum(p), 6) as penalty, count(*) as kinds from w group by query_id, doc_id",
 }

@@ -37,3 +37,10 @@ def test_no_python_in_relational_plans(spark):
     for name in ("bm25_topk", "bm25f_two_fields", "delivery_funnel", "cohort_latency", "session_windows", "audit_rules", "query_classify"):
         plan = explained(registry.queries()[name](spark, SF))
         assert not any(node in plan for node in ("EvalPython", "InPandas", "InArrow")), name
+
+
+def test_retrieval_reads_stored_postings_by_term(spark):
+    for name in ("bm25_topk", "rrf_fusion", "relative_score_cut"):
+        plan = explained(registry.queries()[name](spark, SF))
+        assert "In(term, [" in plan, name
+        assert "documents.parquet" not in plan and "text:string" not in plan, name
