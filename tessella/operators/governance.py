@@ -115,3 +115,106 @@ def health(docs: DataFrame, key: str, kind: str, scope: str, size: str) -> DataF
     parts = docs.groupingSets([[], [F.col(kind)], [F.col(scope)]], F.col(kind), F.col(scope)).agg(F.count(F.lit(1)).alias("documents"), F.sum(size).cast("long").alias("bytes"), F.grouping(kind).alias("gk"), F.grouping(scope).alias("gs"))
     metric = F.when(F.col("gk") == 0, F.lit(kind)).when(F.col("gs") == 0, F.lit(scope)).otherwise("all")
     return parts.select(metric.alias("metric"), F.coalesce(kind, scope).alias("name"), "documents", "bytes")
+
+
+#: Limits of index files, hook lines and topics, and what a topic's file is named.
+INDEX_BYTES, L1_LINES, L2_LINES, HOOK_LENGTH, TOPIC_BYTES = 25 * 1024, 200, 120, 160, 16 * 1024
+TOPIC_FILE = r"^[a-z0-9]+(?:_[a-z0-9]+)*\.md$"
+
+
+def file_issues(files: DataFrame) -> DataFrame:
+    """(level, code, subject) of scanned Markdown files (sources/topics.scan; `file`, `kind`, `active`, `bytes`, `content`):
+    a missing first index, indexes and topics beyond their limits, long hooks, topics that are not in snake case."""
+    rows = files.filter("active").withColumn("lines", F.size(F.split("content", "\n", -1)))
+    long_hooks = F.size(F.filter(F.split("content", "\r?\n", -1), lambda x: F.startswith(x, F.lit("- [")) & (F.length(x) > HOOK_LENGTH)))
+    found = [
+        ("l1-bytes", (F.col("kind") == "catalog") & (F.col("bytes") > INDEX_BYTES)), ("l1-lines", (F.col("kind") == "catalog") & (F.col("lines") > L1_LINES)), ("l2-bytes", (F.col("kind") == "l2") & (F.col("bytes") > INDEX_BYTES)), ("l2-lines", (F.col("kind") == "l2") & (F.col("lines") > L2_LINES)),
+        ("l2-hook-length", (F.col("kind") == "l2") & (long_hooks > 0)), ("topic-filename", (F.col("kind") == "topic") & ~F.col("file").rlike(TOPIC_FILE)), ("topic-bytes", (F.col("kind") == "topic") & (F.col("bytes") > TOPIC_BYTES)),
+    ]
+    hit = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in found]))
+    out = rows.select(F.lit("error").alias("level"), F.explode(hit).alias("code"), F.col("file").alias("subject"))
+    none = rows.agg(F.count_if(F.col("kind") == "catalog").alias("n")).filter("n = 0")
+    return out.unionByName(none.select(F.lit("error").alias("level"), F.lit("l1-missing").alias("code"), F.lit("MEMORY.md").alias("subject")))
+
+
+def link_issues(files: DataFrame) -> DataFrame:
+    """(level, code, subject) of the links of second indexes: to files that are not there, or into the archive."""
+    links = files.filter("kind = 'l2' and active").select("file", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\]\(([^)#]+\.md)(?:#[^)]+)?\)"), F.lit(1)))).alias("target"))
+    known = files.select(F.element_at(F.split("path", "/"), -1).alias("base"), F.col("active")).groupBy("base").agg(F.max("active").alias("active"))
+    rows = links.withColumn("base", F.element_at(F.split("target", "/"), -1)).join(known, "base", "left")
+    code = F.when(F.col("active").isNull(), "l2-broken-link").when(F.startswith("target", F.lit("archive/")), "l2-archive-link")
+    return rows.select(F.lit("error").alias("level"), code.alias("code"), F.concat_ws(" -> ", "file", "target").alias("subject")).filter("code is not null")
+
+
+def missing_evidence(evidence: DataFrame, listing: DataFrame) -> DataFrame:
+    """(name, path) of code evidence whose path no file listing (path) holds."""
+    return evidence.select("name", "path").distinct().join(listing.select("path").distinct(), "path", "left_anti").select("name", "path")
+
+
+def golden_coverage(topics: DataFrame, golden: DataFrame) -> DataFrame:
+    """Of topics (name, scopes) and golden cases (expected): topics in all and expected by some case, overall (scope null) and by
+    scope, and their share (null over nothing)."""
+    asked = topics.join(golden.select(F.col("expected").alias("name")).distinct().withColumn("_hit", F.lit(True)), "name", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    whole = asked.agg(F.count(F.lit(1)).alias("topics"), F.count_if("_hit").alias("evaluated")).select(F.lit(None).cast("string").alias("scope"), "topics", "evaluated")
+    each = asked.select(F.explode("scopes").alias("scope"), "_hit").groupBy("scope").agg(F.count(F.lit(1)).alias("topics"), F.count_if("_hit").alias("evaluated"))
+    return whole.unionByName(each).withColumn("coverage", F.round(ratio(F.col("evaluated"), F.col("topics")), 6))
+
+
+def evidence_counts(topics: DataFrame) -> DataFrame:
+    """One row over topics (evidence: array of path, symbols, tests): topics with evidence, entries, symbols, entries without
+    symbols, tests."""
+    each = topics.select(F.explode("evidence").alias("e"))
+    row = each.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.size("e.symbols")), F.lit(0)).cast("long").alias("symbols"), F.count_if(F.size("e.symbols") == 0).alias("coarse"), F.coalesce(F.sum(F.size("e.tests")), F.lit(0)).cast("long").alias("tests"))
+    return topics.agg(F.count_if(F.size("evidence") > 0).alias("topics")).crossJoin(row)  # one row each
+
+
+def semantic_digest(*parts: Column) -> Column:
+    """What a review confirms: a topic's text and metadata without the columns that change by themselves (dates of checking,
+    sessions), which the caller leaves out. Line ends and outer white space of texts do not count."""
+    clean = lambda c: F.trim(F.regexp_replace(c.cast("string"), "\r\n", "\n"))
+    return F.sha2(F.to_json(F.struct(*[F.coalesce(clean(c), F.lit("")).alias(f"p{i}") for i, c in enumerate(parts)])), 256)
+
+
+def receipt_id(name: Column, review_by: Column, reviewed_on: Column, content: Column, source: Column, reason: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("\0", name, review_by, reviewed_on, content, source, reason), 256), 1, 24)
+
+
+def _receipts(rows: DataFrame, reviewed_on: Column, source: str, reason: Column) -> DataFrame:
+    made = rows.select("name", F.col("review_by").cast("string").alias("review_by"), reviewed_on.cast("string").alias("reviewed_on"), "content", F.lit(source).alias("source"), reason.alias("reason"))
+    return made.withColumn("receipt_id", receipt_id(F.col("name"), F.col("review_by"), F.col("reviewed_on"), F.col("content"), F.col("source"), F.col("reason")))
+
+
+def bootstrap_receipts(topics: DataFrame, lock: DataFrame, reason: str = "baseline of a migration; no new confirmation") -> DataFrame:
+    """The lock (name, review_by, reviewed_on, content, source, reason, receipt_id) with a baseline for each reviewable topic
+    (name, review_by, last_verified, content) that it lacks."""
+    new = topics.join(lock.select("name"), "name", "left_anti")
+    return lock.unionByName(_receipts(new, F.col("last_verified"), "baseline", F.lit(reason)).select(lock.columns))
+
+
+def confirm_receipt(lock: DataFrame, topic: DataFrame, review_by: str, reason: str, today: str) -> DataFrame:
+    """The lock with a confirmation of one topic (name, content) until review_by: a real date after today, within 365 days, for
+    a reason of at least ten characters."""
+    import datetime
+
+    due, now = datetime.date.fromisoformat(review_by), datetime.date.fromisoformat(today)
+    if not now < due <= now + datetime.timedelta(days=365):
+        raise ValueError("the review must be due after today, and within 365 days")
+    if len(reason.strip()) < 10:
+        raise ValueError("a reason has at least ten characters")
+    made = _receipts(topic.withColumn("review_by", F.lit(review_by)), F.lit(today), "confirmed", F.lit(reason.strip()))
+    return lock.join(topic.select("name"), "name", "left_anti").unionByName(made.select(lock.columns))
+
+
+def reviewed_text(content: Column, review_by: str, today: str) -> Column:
+    """A topic's Markdown with new dates of checking and of the next review in its front matter."""
+    return F.regexp_replace(F.regexp_replace(content, r"(?m)^(\s{2}last_verified:)[ \t]*.*$", f"$1 {today}"), r"(?m)^(\s{2}review_by:)[ \t]*.*$", f"$1 {review_by}")
+
+
+def public_changes(changes: DataFrame, most: int = 60) -> DataFrame:
+    """Of paired cases (case_id, kind, group, partition, change, rank_a, rank_b, abstained_a, abstained_b) those that changed, the
+    first `most` of each kind of change by id, with the id cut to twelve characters, and how many there are."""
+    rows = changes.filter("change not in ('same', 'unchanged')")
+    order = Window.partitionBy("change").orderBy("case_id")
+    total = F.count(F.lit(1)).over(Window.partitionBy("change"))
+    out = rows.withColumn("_n", F.row_number().over(order)).withColumn("total", total).filter(F.col("_n") <= most)
+    return out.withColumn("case_id", F.substring(F.col("case_id").cast("string"), 1, 12)).drop("_n")

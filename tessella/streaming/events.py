@@ -65,3 +65,19 @@ def session_dedup(stream: DataFrame, session: str, epoch: str, topic: str, most_
         state.setTimeoutDuration(5 * 60 * 1000)
 
     return stream.groupBy(session).applyInPandasWithState(step, stream.schema, "epoch string, seen array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def answer_requests(stream: DataFrame, tables_of, answered: str, checkpoint: str, most_bytes: int = 64 * 1024):
+    """Answer a stream of requests (query_id, query) micro-batch by micro-batch, and append the answers as Parquet.
+
+    `tables_of()` opens the snapshot anew for every batch, so a newly published one is taken up without a restart. Requests
+    beyond `most_bytes` are left out, as the protocol has it. Batches are ranked as one; a batch that is tried again
+    overwrites its own folder, so answers are exactly once."""
+    from tessella.operators import ranker
+
+    def answer(batch: DataFrame, number: int) -> None:
+        ok = batch.filter(F.octet_length("query") <= most_bytes)
+        rows = ranker.answer(ok, tables_of())[0].select("query_id", "doc_id", "position", "score", "confidence")
+        rows.write.mode("overwrite").parquet(f"{answered}/batch={number}")
+
+    return stream.select("query_id", "query").writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
