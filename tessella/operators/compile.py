@@ -16,7 +16,7 @@ from tessella.functions import classify, tokenizer
 from tessella.functions.text import character_trigrams
 from tessella.operators import incremental, index
 from tessella.operators.search import FIELDS
-from tessella.scratch import fingerprint, keep
+from tessella.scratch import fingerprint, keep, parallel
 from tessella.sources import snapshots, topics as source
 
 VERSION = "4"
@@ -145,7 +145,7 @@ def _tables(topics: DataFrame, postings: DataFrame) -> dict[str, DataFrame]:
 def new_postings(topics: DataFrame, tokenize=tokenizer.tokens) -> DataFrame:
     """(term, doc_id, field, len, tf) of topics: the one pass that tokenizes."""
     texts = {f: F.array_join(v, "\n") for f, v in field_arrays().items()}
-    tokens = index.field_tokens(topics, "doc_id", texts, tokenize).select("doc_id", "field", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
+    tokens = index.field_tokens(parallel(topics), "doc_id", texts, tokenize).select("doc_id", "field", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
     return tokens.groupBy("term", "doc_id", "field", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -1,77 +1,107 @@
-"""Near-duplicate topics by SimHash and MinHash fingerprints of the same features."""
+"""Near-duplicate topics by SimHash and MinHash fingerprints of the same features.
+
+Features are the tokens of the Unicode tokenizer, triples of them, and shingles of the text without punctuation; they are made
+in the JVM for plain texts. Fingerprints are made in Arrow batches, once per distinct text.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import tokenizer
+from tessella.scratch import keep
+
 #: Similarity thresholds, permutations, the fewest features, shingle width and step.
 SIMHASH_ALIKE, MINHASH_ALIKE, PERMUTATIONS, FEWEST, WIDTH, STEP = 0.84, 0.72, 64, 16, 12, 4
-BANDS = 32  # of two rows each: a pair at the threshold is missed with probability 7e-11
+#: Code that does not count, and what the compact text leaves out.
+FENCE, LOOSE = r"(?s)```.*?```", r"[\p{P}\p{S}\s]+"
+
 
+def bands(minhash: float = MINHASH_ALIKE) -> list[tuple[int, int]]:
+    """(first, length) of bands so that no alike pair is missed: fewer places differ than there are bands, so at least one
+    band is equal throughout."""
+    n = PERMUTATIONS - math.ceil(round(minhash * PERMUTATIONS, 9)) + 1
+    ends = [round(i * PERMUTATIONS / n) for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
-def features(text: str | None) -> Counter:
-    """Tokens, token trigrams and shingles of the compact text, with their counts."""
-    low = (text or "").lower()
-    tokens = re.findall("[a-z0-9]+", low)
-    flat = "".join(tokens)
-    out = Counter("t:" + t for t in tokens)
-    out.update("g:" + " ".join(tokens[i : i + 3]) for i in range(len(tokens) - 2))
-    out.update("s:" + flat[i : i + WIDTH] for i in range(0, len(flat) - WIDTH + 1, STEP))
-    return out
 
+def features(text: Column) -> Column:
+    """Tokens, token triples and shingles of the compact text, with repeats, without fenced code; null has none."""
+    bare = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), FENCE, " ")
+    tokens = tokenizer.tokens(bare)
+    flat = F.regexp_replace(tokenizer.normalized(bare), LOOSE, "")
+    none = F.array().cast("array<string>")
+    triples = F.transform(F.array(tokens), lambda t: F.concat(t, F.when(F.size(t) >= 3, F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: F.concat(F.lit("t3:"), F.element_at(t, i), F.lit("\0"), F.element_at(t, i + 1), F.lit("\0"), F.element_at(t, i + 2)))).otherwise(none)))[0]
+    shingles = F.transform(F.array(flat), lambda c: F.when(F.length(c) >= WIDTH, F.transform(F.sequence(F.lit(1), F.length(c) - (WIDTH - 1), F.lit(STEP)), lambda i: F.concat(F.lit("c12:"), F.substring(c, i, WIDTH)))).otherwise(none))[0]
+    return F.concat(triples, shingles)
 
-def fingerprint(counts: Counter) -> tuple[int | None, list[int] | None]:
-    """(simhash, minhash) as signed 64-bit numbers; null under sixteen distinct features."""
+
+def fingerprint(found: list[str]) -> tuple[int | None, list[int] | None]:
+    """(simhash, minhash) of features as signed 64-bit numbers; null under sixteen distinct ones."""
     import numpy as np
 
+    counts = Counter(found)
     if len(counts) < FEWEST:
         return None, None
-    digests = [hashlib.sha256(f.encode()).digest() for f in counts]
-    parts = np.frombuffer(b"".join(d[:24] for d in digests), dtype=">u8").reshape(-1, 3).astype(np.uint64)
-    weight = np.array([1 + math.log2(n) for n in counts.values()])
-    bits = (parts[:, 0][:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1)
-    sums = np.where(bits == 1, weight[:, None], -weight[:, None]).sum(0)
-    sim = int(sum(1 << i for i in range(64) if round(float(sums[i]), 9) >= 0))
+    sha = hashlib.sha256
+    digests = np.frombuffer(b"".join([sha(f.encode()).digest() for f in counts]), dtype=np.uint8).reshape(-1, 32)
+    weight = 1 + np.log2(np.fromiter(counts.values(), dtype=np.float64))
+    bits = np.unpackbits(digests[:, :8], axis=1)  # the highest bit first
+    sums = 2 * (weight @ bits) - weight.sum()
+    sim = int("".join("1" if round(float(s), 9) >= 0 else "0" for s in sums), 2)
+    parts = np.ascontiguousarray(digests[:, 8:24]).view(">u8").astype(np.uint64)
+    low = np.full(PERMUTATIONS, np.uint64(2**64 - 1))
     with np.errstate(over="ignore"):
-        low = np.full(PERMUTATIONS, np.uint64(2**64 - 1))
-        step = parts[:, 2] | np.uint64(1)
-        for i in range(PERMUTATIONS):
-            low[i] = (parts[:, 1] + np.uint64(i) * step).min()
+        step = parts[:, 1] | np.uint64(1)
+        times = np.arange(PERMUTATIONS, dtype=np.uint64)
+        for at in range(0, len(step), 4096):
+            low = np.minimum(low, (parts[at : at + 4096, 0][:, None] + step[at : at + 4096, None] * times).min(0))
     return sim - (1 << 64) if sim >= 1 << 63 else sim, low.view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, simhash, minhash): one pass in Arrow batches."""
+    """(key, simhash, minhash): each distinct text is read once. Texts are dealt over all tasks by their hash."""
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(features(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [key, "simhash", "minhash"])
+            made = [fingerprint(f) for f in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["_h", "simhash", "minhash"])
 
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, simhash long, minhash array<long>")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    named = docs.select(F.col(key), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("_h"), F.col(text).cast("string").alias("_t"))
+    texts = named.repartition(tasks, "_h").groupBy("_h").agg(F.any_value("_t").alias("_t"))
+    made = keep(texts.select("_h", features(F.col("_t")).alias("f")).mapInArrow(run, "_h string, simhash long, minhash array<long>"), "fingerprints")
+    return named.select(key, "_h").join(made, "_h").select(key, "simhash", "minhash")
 
 
 def similar_pairs(prints: DataFrame, key: str, simhash: float | None = SIMHASH_ALIKE, minhash: float = MINHASH_ALIKE) -> DataFrame:
-    """(a, b, simhash_similarity, minhash_similarity), a < b: bands of the MinHash find the candidates, both similarities
-    decide. Equal fingerprints are compared as one and then listed through their smallest key."""
+    """(a, b, simhash_similarity, minhash_similarity), a < b: bands of the MinHash find the candidates (see bands(): none is
+    missed), both similarities decide. Equal fingerprints are compared as one and then listed through their smallest key."""
     known = prints.filter("minhash is not null")
     one = known.groupBy("simhash", "minhash").agg(F.min(key).alias("id"))
     same = known.join(one, ["simhash", "minhash"]).filter(F.col(key) != F.col("id")).select(F.col("id").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("simhash_similarity"), F.lit(1.0).alias("minhash_similarity"))
-    rows = PERMUTATIONS // BANDS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("minhash", i * rows + 1, rows)))
+    band = F.array(*[F.xxhash64(F.lit(i), F.slice("minhash", a + 1, n)) for i, (a, n) in enumerate(bands(minhash))])
     keys = one.select("id", F.explode(band).alias("k"))
     pairs = keys.alias("x").join(keys.alias("y"), F.expr("x.k = y.k and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     full = pairs.join(one.select(F.col("id").alias("a"), F.col("simhash").alias("sa"), F.col("minhash").alias("ma")), "a").join(one.select(F.col("id").alias("b"), F.col("simhash").alias("sb"), F.col("minhash").alias("mb")), "b")
     sim = 1 - F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) / 64
     mh = F.size(F.filter(F.zip_with("ma", "mb", lambda p, q: p == q), lambda e: e)) / PERMUTATIONS
     out = full.select("a", "b", sim.alias("simhash_similarity"), mh.alias("minhash_similarity")).unionByName(same)
-    keep = F.col("minhash_similarity") >= minhash
-    return out.filter(keep & (F.col("simhash_similarity") >= simhash) if simhash is not None else keep)
+    alike = F.col("minhash_similarity") >= minhash
+    return out.filter(alike & (F.col("simhash_similarity") >= simhash) if simhash is not None else alike)
+
+
+def changed_duplicates(pairs: DataFrame, names: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    """Of similar pairs those that a changed topic is in: candidate, duplicate_of, similarities. names (key, path), changed
+    (path): what a version control system lists; a pair of two changed topics is listed once, the smaller first."""
+    one = names.join(changed.select("path").distinct(), "path", "left_semi").select(F.col(key).alias("c"), F.lit(True).alias("hit"))
+    rows = pairs.join(one.withColumnsRenamed({"c": "a", "hit": "hit_a"}), "a", "left").join(one.withColumnsRenamed({"c": "b", "hit": "hit_b"}), "b", "left").filter("hit_a or hit_b")
+    return rows.select(F.when(F.col("hit_a"), F.col("a")).otherwise(F.col("b")).alias("candidate"), F.when(F.col("hit_a"), F.col("b")).otherwise(F.col("a")).alias("duplicate_of"), "simhash_similarity", "minhash_similarity")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import tokenizer
 from tessella.functions.text import ascii_tokens
-from tessella.scratch import keep
+from tessella.scratch import keep, parallel
 
 K1 = 1.2  # fixed value: term saturation
 
@@ -73,7 +73,7 @@ def build(docs: DataFrame, key: str, fields: Mapping[str, Column], tokenize=toke
     term; terms (term, df, idf); fields (field, n: all documents, avg_len: zeros count).
 
     Texts are tokenized once: postings are written to the shared folder, and the statistics are taken from there."""
-    tokens = field_tokens(docs, key, fields, tokenize).select(key, "field", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
+    tokens = field_tokens(parallel(docs), key, fields, tokenize).select(key, "field", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
     postings = keep(tokens.groupBy("term", key, "field", "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     names = docs.sparkSession.createDataFrame([(f,) for f in fields], "field string")

@@ -156,25 +156,3 @@ def islands(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     fresh = F.coalesce((F.col(start) > before).cast("int"), F.lit(1))
     marked = spans.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n"))
-
-
-#: Rule, priority, and its condition over the one-row metrics (sample limit 20).
-RECOMMENDATIONS = [
-    ("repair-invalid-events", 100, "invalid_events > 0"),
-    ("rebuild-index", 90, "build_failed"),
-    ("resolve-orphans", 80, "orphans > 0"),
-    ("investigate-latency", 70, "samples >= 20 and hot_p95 > 20"),
-    ("review-degradation", 60, "samples >= 20 and degraded_rate > 0.2"),
-    ("review-misses", 50, "miss_rate > 0.1"),
-    ("review-truncation", 40, "dropped_rate > 0.05"),
-    ("collect-samples", 10, "samples < 20"),
-]
-
-
-def recommendations(metrics: DataFrame, most: int = 3) -> DataFrame:
-    """The rules that a one-row metrics frame meets, highest priority first; collect-samples only if none else."""
-    hit = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(c), F.lit(False)), F.struct(F.lit(p).alias("priority"), F.lit(r).alias("rule"))) for r, p, c in RECOMMENDATIONS]))
-    ordered = F.sort_array(hit, asc=False)
-    others = F.filter(ordered, lambda x: x["priority"] > 10)
-    chosen = F.slice(F.when(F.size(others) > 0, others).otherwise(ordered), 1, most)
-    return metrics.select(F.posexplode(chosen).alias("rank", "x")).select((F.col("rank") + 1).alias("rank"), "x.rule", "x.priority")

@@ -141,14 +141,6 @@ def island_merge(spark, sf_dir):
     return report.islands(rows.select("user_id", "start", "stop"), "user_id", "start", "stop").drop("island")
 
 
-def report_rules(spark, sf_dir):
-    rows = log(spark, sf_dir)
-    view = F.col("event") == "view"
-    error = F.count_if(F.col("event") == "error")
-    metrics = rows.agg(F.count_if(F.col("total_ms") < 0).alias("invalid_events"), F.lit(False).alias("build_failed"), F.count_if((F.col("event") == "click") & (F.col("k") == 99)).alias("orphans"), F.count_if(view).alias("samples"), F.expr("percentile_disc(0.95) within group (order by total_ms) filter (where event = 'view' and execution = 'warm')").alias("hot_p95"), (error / F.count(F.lit(1))).alias("degraded_rate"), (F.count_if(view & F.col("abstained")) / F.nullif(F.count_if(view), F.lit(0))).alias("miss_rate"), F.lit(0.01).alias("dropped_rate"))
-    return report.recommendations(metrics)
-
-
 def context_cost(spark, sf_dir):
     rows = recalls(spark, sf_dir).withColumn("tokens", F.col("k") * 7 + 20)
     return rows.groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) within group (order by tokens)").alias("p50_tokens"), F.round(F.count_if(F.col("tokens") > 400) / F.count(F.lit(1)), 6).alias("truncated_rate"), F.sum(F.greatest(F.col("tokens") - 400, F.lit(0))).cast("long").alias("dropped_tokens"))
@@ -159,7 +151,7 @@ def gate_counts(spark, sf_dir):
     return rows.groupBy(F.col("event").alias("gate")).pivot("status", ["passed", "failed"]).agg(F.count(F.lit(1))).join(rows.groupBy(F.col("event").alias("gate")).agg(F.sum(F.col("k") % 3).cast("long").alias("errors")), "gate").select("gate", F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("failed", F.lit(0)).alias("failed"), "errors")
 
 
-QUERIES = {f.__name__: f for f in (event_counts, channel_rollup, latency_distribution, cohort_latency, surface_abstain_rate, latest_row, null_safe_ratio, delivery_funnel, orphan_events, adoption_left_join, asof_pairing, period_over_period, constant_fields, silent_components, session_dedup, session_windows, tumbling_counts, sliding_counts, retention_running_bytes, island_merge, report_rules, context_cost, gate_counts)}
+QUERIES = {f.__name__: f for f in (event_counts, channel_rollup, latency_distribution, cohort_latency, surface_abstain_rate, latest_row, null_safe_ratio, delivery_funnel, orphan_events, adoption_left_join, asof_pairing, period_over_period, constant_fields, silent_components, session_dedup, session_windows, tumbling_counts, sliding_counts, retention_running_bytes, island_merge, context_cost, gate_counts)}
 
 DIST = ", ".join(f"{P.format(v='total_ms', p=p)} as p{round(p * 100)}" for p in (0.5, 0.95, 0.99))
 ORACLES = {
@@ -185,5 +177,4 @@ ORACLES = {
     "island_merge": LOG + ", s as (select user_id, epoch_us(recorded_at) as start, epoch_us(recorded_at) + cast(trunc(total_ms * 60 * 1000000) as bigint) as stop from log), m as (select *, case when start > max(stop) over (partition by user_id order by start, stop rows between unbounded preceding and 1 preceding) then 1 when row_number() over (partition by user_id order by start, stop) = 1 then 1 else 0 end as fresh from s), g as (select *, sum(fresh) over (partition by user_id order by start, stop rows unbounded preceding) as island from m) select user_id, min(start) as start, max(stop) as \"end\", count(*) as n from g group by user_id, island",
     "context_cost": LOG + ", t as (select *, k * 7 + 20 as tokens from recalls) select surface, count(*) as n, quantile_disc(tokens, 0.5) as p50_tokens, round(count(*) filter (where tokens > 400) / cast(count(*) as double), 6) as truncated_rate, cast(sum(greatest(tokens - 400, 0)) as bigint) as dropped_tokens from t group by surface",
     "gate_counts": LOG + "select event as gate, count(*) filter (where k % 4 <> 0) as passed, count(*) filter (where k % 4 = 0) as failed, cast(sum(k % 3) as bigint) as errors from log group by event",
-    "report_rules": LOG + ", m as (select count(*) filter (where event = 'click' and k = 99) as orphans, count(*) filter (where event = 'view') as samples, quantile_disc(total_ms, 0.95) filter (where event = 'view' and execution = 'warm') as hot_p95, count(*) filter (where event = 'error') / cast(count(*) as double) as degraded_rate, count(*) filter (where event = 'view' and abstained) / nullif(cast(count(*) filter (where event = 'view') as double), 0) as miss_rate from log), r as (select 'resolve-orphans' as rule, 80 as priority from m where orphans > 0 union all select 'investigate-latency', 70 from m where samples >= 20 and hot_p95 > 20 union all select 'review-degradation', 60 from m where samples >= 20 and degraded_rate > 0.2 union all select 'review-misses', 50 from m where miss_rate > 0.1) select cast(row_number() over (order by priority desc) as int) as rank, rule, priority from r order by priority desc limit 3",
 }

@@ -22,10 +22,11 @@ def feedback_summary(spark, sf_dir):
 
 
 def audit_routing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    active = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("name"))
-    routes = docs.filter("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("name")).unionByName(docs.filter("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("name")))
-    return governance.routing(active, routes)
+    """Every document is active and routed, some under another name, some twice."""
+    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    named = lambda m, tail: F.when(d % m == 0, F.concat(d.cast("string"), F.lit(tail))).otherwise(d.cast("string"))
+    routes = docs.select(F.explode(F.array(named(7, "r"), F.when(d % 10 == 0, named(7, "r")).otherwise(F.concat(F.lit("x"), d.cast("string"))))).alias("name"))
+    return governance.routing(docs.select(named(3, "a").alias("name")), routes)
 
 
 TEXT_RULES = (
@@ -57,9 +58,10 @@ def upcoming_reviews(spark, sf_dir):
 
 
 def review_states(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    topics = docs.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("name"), F.sha2("text", 256).alias("content"), F.col("lang").alias("review_by"))
-    receipts = docs.filter("doc_id % 4 <> 0").select(F.col("doc_id").alias("name"), F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.sha2("text", 256)).alias("content"), F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")).alias("review_by"))
+    """Every document is a topic and has a receipt, some under another id, some of other content or date."""
+    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    topics = docs.select((d + F.when(d % 5 == 0, 10**9).otherwise(0)).alias("name"), F.sha2("text", 256).alias("content"), F.col("lang").alias("review_by"))
+    receipts = docs.select((d + F.when(d % 4 == 0, 2 * 10**9).otherwise(0)).alias("name"), F.when(d % 3 == 0, "old").otherwise(F.sha2("text", 256)).alias("content"), F.when(d % 7 == 0, "xx").otherwise(F.col("lang")).alias("review_by"))
     return governance.review_state(topics, receipts)
 
 
@@ -68,9 +70,12 @@ def corpus_health(spark, sf_dir):
 
 
 def source_diff(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha"), "doc_id")
-    old = docs.filter("doc_id % 9 <> 0").withColumn("sha", F.when(F.col("doc_id") % 8 == 0, "x").otherwise(F.col("sha")))
-    return incremental.source_diff(old, docs.filter("doc_id % 14 <> 0"))
+    """Every document before and after; some were moved, some edited."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha"), d)
+    path = lambda m, folder: F.concat(F.when(d % m == 0, folder).otherwise("docs/"), d.cast("string")).alias("path")
+    old = docs.select(path(9, "old/"), F.when(d % 8 == 0, "x").otherwise(F.col("sha")).alias("sha"))
+    return incremental.source_diff(old, docs.select(path(14, "new/"), "sha"))
 
 
 def _depends(spark, sf_dir):
@@ -90,14 +95,19 @@ def compile_digest(spark, sf_dir):
 
 
 def compile_plan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"), "source")
-    prior = docs.filter("id % 6 <> 0").withColumn("digest", F.when(F.col("id") % 5 == 0, "x").otherwise(F.col("digest")))
-    return incremental.plan(docs.filter("id % 10 <> 0"), prior, docs.filter("source = 'src3'"))
+    """Every document before and now; some were renamed, some edited, and those of one source depend on what changed."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(d, F.sha2("text", 256).alias("digest"), "source")
+    now = docs.select((d + F.when(d % 10 == 0, 10**9).otherwise(0)).alias("id"), "digest")
+    prior = docs.select((d + F.when(d % 6 == 0, 2 * 10**9).otherwise(0)).alias("id"), F.when(d % 5 == 0, "x").otherwise(F.col("digest")).alias("digest"))
+    return incremental.plan(now, prior, docs.filter("source = 'src3'").select(d.alias("id")))
 
 
 def edge_inverse_check(spark, sf_dir):
+    """Every edge forward and back; some changed their kind on one side."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("kind")).distinct()
-    return incremental.inverse_mismatches(li.filter("src % 37 <> 0"), li.filter("dst % 41 <> 0"))
+    changed = lambda c, m: li.withColumn("kind", F.when(F.col(c) % m == 0, F.concat("kind", F.lit("x"))).otherwise(F.col("kind")))
+    return incremental.inverse_mismatches(changed("src", 37), changed("dst", 41))
 
 
 QUERIES = {f.__name__: f for f in (feedback_review, feedback_summary, audit_routing, audit_rules, audit_status, quota_check, upcoming_reviews, review_states, corpus_health, source_diff, recursive_invalidation, compile_digest, compile_plan, edge_inverse_check)}
@@ -109,16 +119,16 @@ RULES = "with v as (" + " union all ".join(f"select doc_id, '{r.level}' as level
 ORACLES = {
     "feedback_review": FEEDBACK + "select * from c",
     "feedback_summary": FEEDBACK + "select count(*) filter (where reject_reason is null) as valid, count(*) filter (where reject_reason is not null) as invalid, count(*) filter (where reject_reason is null and duplicate) as duplicates, count(*) filter (where reject_reason is null and resolved) as resolved, count(*) filter (where reject_reason is null and verdict in ('wrong', 'miss') and not resolved) as actionable, round(count(*) filter (where reject_reason is null and verdict in ('wrong', 'miss')) / nullif(cast(count(*) filter (where reject_reason is null) as double), 0), 6) as wrong_rate from c",
-    "audit_routing": "with a as (select cast(doc_id as varchar) as name from documents where doc_id % 3 <> 0), r as (select cast(doc_id as varchar) as name from documents where doc_id % 7 <> 0 union all select cast(doc_id as varchar) from documents where doc_id % 10 = 0), c as (select name, count(*) as n from r group by name) select name, 'unrouted' as code, cast(0 as bigint) as n from a where name not in (select name from r) union all select name, 'non-active', n from c where name not in (select name from a) union all select name, 'duplicate-route', n from c where n > 1",
+    "audit_routing": "with a as (select case when doc_id % 3 = 0 then doc_id || 'a' else cast(doc_id as varchar) end as name from documents), r as (select unnest([case when doc_id % 7 = 0 then doc_id || 'r' else cast(doc_id as varchar) end, case when doc_id % 10 <> 0 then 'x' || doc_id when doc_id % 7 = 0 then doc_id || 'r' else cast(doc_id as varchar) end]) as name from documents), c as (select name, count(*) as n from r group by name) select name, 'unrouted' as code, cast(0 as bigint) as n from a where name not in (select name from r) union all select name, 'non-active', n from c where name not in (select name from a) union all select name, 'duplicate-route', n from c where n > 1",
     "audit_rules": RULES + " select * from v",
     "audit_status": RULES + " select count(*) filter (where level = 'error') as errors, count(*) filter (where level = 'warning') as warnings, case when count(*) filter (where level = 'error') > 0 then 'failed' else 'passed' end as status from v",
     "quota_check": "with g as (select source as name, count(*) as n from documents group by source), b as (select source as name, count(*) as allowed from documents where lang = 'en' and source <> 'src3' group by source) select g.name, n, greatest(30, coalesce(allowed, 0)) as cap, n > greatest(30, coalesce(allowed, 0)) as exceeded from g left join b on g.name = b.name",
     "upcoming_reviews": "select o_orderkey, cast(o_orderdate as date) as due, datediff('day', date '1997-01-01', cast(o_orderdate as date)) as days_left, cast(o_orderdate as date) < date '1997-01-01' as overdue from orders where datediff('day', date '1997-01-01', cast(o_orderdate as date)) <= 60",
-    "review_states": "with t as (select doc_id as name, sha256(text) as content, lang from documents where doc_id % 5 <> 0), r as (select doc_id as name, case when doc_id % 3 = 0 then 'old' else sha256(text) end as was, case when doc_id % 7 = 0 then 'xx' else lang end as due from documents where doc_id % 4 <> 0) select coalesce(t.name, r.name) as name, case when was is null then 'missing' when content is null then 'stale' when content <> was or lang is distinct from due then 'mismatch' else 'confirmed' end as state from t full outer join r on t.name = r.name",
+    "review_states": "with t as (select doc_id + case when doc_id % 5 = 0 then 1000000000 else 0 end as name, sha256(text) as content, lang from documents), r as (select doc_id + case when doc_id % 4 = 0 then 2000000000 else 0 end as name, case when doc_id % 3 = 0 then 'old' else sha256(text) end as was, case when doc_id % 7 = 0 then 'xx' else lang end as due from documents) select coalesce(t.name, r.name) as name, case when was is null then 'missing' when content is null then 'stale' when content <> was or lang is distinct from due then 'mismatch' else 'confirmed' end as state from t full outer join r on t.name = r.name",
     "corpus_health": "select case when grouping(lang) = 0 then 'lang' when grouping(source) = 0 then 'source' else 'all' end as metric, coalesce(lang, source) as name, count(*) as documents, cast(sum(strlen(text)) as bigint) as bytes from documents group by grouping sets ((), (lang), (source))",
-    "source_diff": "with d as (select 'docs/' || doc_id as path, sha256(text) as sha, doc_id from documents), o as (select path, case when doc_id % 8 = 0 then 'x' else sha end as sha from d where doc_id % 9 <> 0), n as (select path, sha from d where doc_id % 14 <> 0), s as (select coalesce(o.path, n.path) as path, case when o.sha is null then 'new' when n.sha is null then 'deleted' when o.sha <> n.sha then 'changed' end as state from o full outer join n on o.path = n.path) select * from s where state is not null",
+    "source_diff": "with d as (select sha256(text) as sha, doc_id from documents), o as (select case when doc_id % 9 = 0 then 'old/' else 'docs/' end || doc_id as path, case when doc_id % 8 = 0 then 'x' else sha end as sha from d), n as (select case when doc_id % 14 = 0 then 'new/' else 'docs/' end || doc_id as path, sha from d), s as (select coalesce(o.path, n.path) as path, case when o.sha is null then 'new' when n.sha is null then 'deleted' when o.sha <> n.sha then 'changed' end as state from o full outer join n on o.path = n.path) select * from s where state is not null",
     "recursive_invalidation": "with recursive e as (select distinct 'p' || l_partkey as id, 's' || l_suppkey as dep from lineitem union select 's' || s_suppkey, 'n' || s_nationkey from supplier union select 'n' || n_nationkey, 'r' || n_regionkey from nation), w as (select id, 0 as depth from (values ('r2'), ('s1')) v(id) union select e.id, w.depth + 1 from e join w on e.dep = w.id) select id, min(depth) as depth from w group by id",
     "compile_digest": "select doc_id, sha256('vcompiler-1' || chr(31) || coalesce('v' || text, 'n') || chr(31) || coalesce('v' || lang, 'n') || chr(31) || coalesce('v' || source, 'n')) as digest from documents",
-    "compile_plan": "with d as (select doc_id as id, sha256(text) as digest, source from documents), c as (select * from d where id % 10 <> 0), p as (select id, case when id % 5 = 0 then 'x' else digest end as digest from d where id % 6 <> 0) select coalesce(c.id, p.id) as id, case when c.digest is null then 'delete' when p.digest is null or p.digest <> c.digest then 'compile' when coalesce(c.id, p.id) in (select id from d where source = 'src3') then 'invalidated' else 'reuse' end as action from c full outer join p on c.id = p.id",
-    "edge_inverse_check": "with e as (select distinct l_partkey as src, l_suppkey as dst, l_returnflag as kind from lineitem) select src, dst, kind, 'reverse' as missing_in from e where src % 37 <> 0 and dst % 41 = 0 union all select src, dst, kind, 'forward' from e where src % 37 = 0 and dst % 41 <> 0",
+    "compile_plan": "with d as (select doc_id, sha256(text) as digest, source from documents), c as (select doc_id + case when doc_id % 10 = 0 then 1000000000 else 0 end as id, digest from d), p as (select doc_id + case when doc_id % 6 = 0 then 2000000000 else 0 end as id, case when doc_id % 5 = 0 then 'x' else digest end as digest from d) select coalesce(c.id, p.id) as id, case when c.digest is null then 'delete' when p.digest is null or p.digest <> c.digest then 'compile' when coalesce(c.id, p.id) in (select doc_id from d where source = 'src3') then 'invalidated' else 'reuse' end as action from c full outer join p on c.id = p.id",
+    "edge_inverse_check": "with e as (select distinct l_partkey as src, l_suppkey as dst, l_returnflag as kind from lineitem), f as (select src, dst, case when src % 37 = 0 then kind || 'x' else kind end as kind from e), b as (select src, dst, case when dst % 41 = 0 then kind || 'x' else kind end as kind from e) select *, 'reverse' as missing_in from (select * from f except all select * from b) union all select *, 'forward' from (select * from b except all select * from f)",
 }

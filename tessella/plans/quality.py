@@ -17,10 +17,11 @@ def cosine_topk(spark, sf_dir):
 
 
 def _states(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    stored = table(spark, sf_dir, "documents").select((F.col("doc_id") + 5).alias("doc_id"), F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.sha2("text", 256)).alias("sha"))
-    back = docs.withColumn("sha", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("sha")))
-    return vectors.reconcile(docs, back.filter("doc_id >= 20").unionByName(stored.filter("sha = 'old'").withColumn("doc_id", -F.col("doc_id"))))
+    """Every document with its stored vector; some texts have changed since, some vectors belong to other ids."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(d, F.sha2("text", 256).alias("sha"))
+    stored = docs.select(F.when(d % 10 == 3, -d - 1).otherwise(d).alias("doc_id"), F.when(d % 7 == 0, "old").otherwise(F.col("sha")).alias("sha"))
+    return vectors.reconcile(docs, stored)
 
 
 def embedding_reconcile(spark, sf_dir):
@@ -86,10 +87,12 @@ def identifier_fragments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(classify.fragments(F.col("url"))), ",").alias("fragments"))
 
 
+SAID = ["remember that we deploy on Fridays", "forget it", "ok", "Do you remember the port?", "always use tabs", "remember this", "remember my password", "just today use port 9", "don't forget the milk", "show me the report"]
+
+
 def intent_router(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", classify.intent(F.col("text")).alias("i"))
-    said = ["remember that we deploy on Fridays", "forget it", "ok", "Do you remember the port?", "always use tabs", "remember this", "remember my password", "just today use port 9", "don't forget the milk", "show me the report"]
-    more = spark.createDataFrame([(-1 - i, 0, s) for i, s in enumerate(said)], "conv_id long, turn long, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.intent(F.col("text")).alias("i"))
+    more = spark.createDataFrame([(-1 - i, 0, s) for i, s in enumerate(SAID)], "conv_id long, turn long, text string")
     return rows.unionByName(more.select("conv_id", "turn", classify.intent(F.col("text")).alias("i"))).select("conv_id", "turn", "i.action", "i.reason")
 
 
@@ -107,8 +110,8 @@ def best_chunk(spark, sf_dir):
     asked = ["the", "and", "der", "die", "que", "de", "license"]
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "chunk"), "text")
     score = F.size(F.array_intersect(text.ascii_tokens(F.col("chunk")), F.array(*map(F.lit, asked))))
-    best = lines.select("doc_id", score.alias("score"), "pos", F.octet_length("chunk").alias("bytes"), F.substring("chunk", 1, 60).alias("head"))
-    return best.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("pos")).alias("p"), "bytes", "head")).alias("b")).select("doc_id", "b.score", (-F.col("b.p")).alias("pos"), "b.bytes", "b.head")
+    best = lines.select("doc_id", score.alias("score"), "pos", F.octet_length("chunk").alias("bytes"), "chunk")
+    return best.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("pos")).alias("p"), "bytes", "chunk")).alias("b")).select("doc_id", "b.score", (-F.col("b.p")).alias("pos"), "b.bytes", "b.chunk")
 
 
 def html_link_extract(spark, sf_dir):
@@ -119,7 +122,7 @@ def html_link_extract(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (cosine_topk, embedding_reconcile, embedding_stale_ratio, retrieval_metrics, ab_compare, ab_guard, profile_selection, near_dup_minhash, near_dup_simhash, query_classify, identifier_fragments, intent_router, token_estimate, truncate_excerpt, best_chunk, html_link_extract)}
 
 TOK = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
-STATES = "d as (select doc_id, sha256(text) as sha from documents), k as (select doc_id, case when doc_id % 7 = 0 then 'old' else sha end as sha from d where doc_id >= 20 union all select -(doc_id + 5), 'old' from d where doc_id % 7 = 0), s as (select coalesce(d.doc_id, k.doc_id) as doc_id, case when d.sha is null then 'deleted' when k.sha is null or k.sha <> d.sha then 'pending' else 'fresh' end as state from d full outer join k on d.doc_id = k.doc_id)"
+STATES = "d as (select doc_id, sha256(text) as sha from documents), k as (select case when doc_id % 10 = 3 then -doc_id - 1 else doc_id end as doc_id, case when doc_id % 7 = 0 then 'old' else sha end as sha from d), s as (select coalesce(d.doc_id, k.doc_id) as doc_id, case when d.sha is null then 'deleted' when k.sha is null or k.sha <> d.sha then 'pending' else 'fresh' end as state from d full outer join k on d.doc_id = k.doc_id)"
 
 
 def _hits_sql(name: str, b: float) -> str:
@@ -132,8 +135,8 @@ def _hits_sql(name: str, b: float) -> str:
 CASES = f"""cases as (select item_id as query_id, array_to_string(({TOK.format(c='text')})[1:8], ' ') as query, ' ' || array_to_string(({TOK.format(c='text')})[1:6], ' ') || ' ' as gram from benchmark),
 golden as (select c.query_id as case_id, d.doc_id as expected from cases c join (select doc_id, ' ' || array_to_string({TOK.format(c='text')}, ' ') || ' ' as body from documents) d on contains(d.body, c.gram))"""
 METRICS = "count(*) as cases, round(avg(case when rank <= 1 then 1.0 else 0.0 end::double), 6) as recall_1, round(avg(case when rank <= 5 then 1.0 else 0.0 end::double), 6) as recall_5, round(avg(coalesce(1.0::double / rank, 0)), 6) as mrr"
-PRINTS = f"""tok as (select doc_id, {TOK.format(c='text')} as t from documents), f as (select doc_id, t, array_to_string(t, '') as flat from tok),
-feat as (select doc_id, unnest(list_transform(t, lambda x: 't:' || x) || list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: 'g:' || array_to_string(t[i:i+2], ' ')) || list_transform(range(0, greatest(len(flat) - 11, 0), 4), lambda i: 's:' || flat[i + 1:i + 12])) as x from f),
+PRINTS = f"""raw as (select doc_id, regexp_replace(coalesce(text, ''), '(?s)```.*?```', ' ', 'g') as x from documents), f as (select doc_id, {sql_tokens('x')} as t, regexp_replace(lower(x), '[\\p{{P}}\\p{{S}}\\s]+', '', 'g') as flat from raw),
+feat as (select doc_id, unnest(t || list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: 't3:' || t[i] || chr(0) || t[i + 1] || chr(0) || t[i + 2]) || list_transform(range(0, greatest(len(flat) - 11, 0), 4), lambda i: 'c12:' || flat[i + 1:i + 12])) as x from f),
 cnt as (select doc_id, x, 1 + log2(count(*)) as w, sha256(x) as h from feat group by doc_id, x),
 big as (select doc_id from cnt group by doc_id having count(*) >= 16),
 num as (select doc_id, w, cast('0x' || h[1:16] as ubigint) as s, cast(cast('0x' || h[17:32] as ubigint) as hugeint) as a, cast(cast('0x' || h[33:48] as ubigint) | 1 as hugeint) as st from cnt where doc_id in (select doc_id from big)),
@@ -150,7 +153,17 @@ b as (select *, len(list_filter(i, lambda x: not list_contains(e, x) and len(lis
 c as (select conv_id, turn, len(e) as errors, list_filter([case when n > 0 then 'identifier' end, case when len(p) > 0 then 'path' end, case when len(e) > 0 then 'error' end, case when len(regexp_extract_all(rest, '[A-Za-zÀ-ÿ]{{2,}}')) >= 2 or regexp_matches(rest, '\\p{{Han}}{{2}}') then 'natural' end, case when regexp_matches(text, '{_C['d']}') then 'decision' end], lambda x: x is not null) as k from b)
 select conv_id, turn, errors, case when len(k) = 0 then 'natural' when len(k) = 1 then k[1] else array_to_string(k, ',') || ',mixed' end as classes from c"""
 
+
+
+def _intents() -> str:
+    q = lambda x: x.replace("'", "''")
+    pick = lambda i, other: "case " + " ".join(f"when regexp_matches(text, '{q(r[0])}') then '{r[i]}'" for r in classify.INTENTS) + f" else '{other}' end"
+    more = ", ".join(f"({-1 - i}, 0, '{q(t)}')" for i, t in enumerate(SAID))
+    return f"select conv_id, turn, {pick(1, 'recall')} as action, {pick(2, 'fallback')} as reason from (select conv_id, turn, text from conversations union all select * from (values {more}) v(conv_id, turn, text))"
+
+
 ORACLES = {
+    "intent_router": _intents(),
     "cosine_topk": "with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id as doc_id, greatest(0, least(1, (list_cosine_similarity(v, embedding::double[]) + 1) / 2)) as score from q, embeddings) select query_id, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 10",
     "embedding_reconcile": f"with {STATES} select * from s",
     "embedding_stale_ratio": f"with {STATES} select count(*) as total, count(*) filter (where state <> 'fresh') as stale, round(count(*) filter (where state <> 'fresh') / cast(count(*) as double), 6) as stale_ratio, count(*) filter (where state <> 'fresh') / cast(count(*) as double) > 0.2 as degraded from s",
@@ -161,7 +174,7 @@ ORACLES = {
     "identifier_fragments": f"select page_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+')), lambda x: len(x) between 3 and 64 and x not in ({', '.join(repr(g) for g in classify.GENERIC)}))), ',') as fragments from pages",
     "token_estimate": "with r as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]', '', 'g') as rest from documents) select doc_id, cast(length(t) - length(rest) + ceil(strlen(rest) / 4.0) as bigint) as tokens from r",
     "truncate_excerpt": "with r as (select doc_id, trim(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') as t from documents) select doc_id, case when length(t) <= 240 then t else rtrim(substring(t, 1, 239), ' ') || '…' end as excerpt from r",
-    "best_chunk": f"with l as (select doc_id, unnest(string_split(text, chr(10))) as chunk, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents), s as (select doc_id, pos, chunk, len(list_intersect(list_distinct({TOK.format(c='chunk')}), ['the', 'and', 'der', 'die', 'que', 'de', 'license'])) as score from l) select doc_id, score, pos, strlen(chunk) as bytes, substring(chunk, 1, 60) as head from (select *, row_number() over (partition by doc_id order by score desc, pos) as r from s) where r = 1",
+    "best_chunk": f"with l as (select doc_id, unnest(string_split(text, chr(10))) as chunk, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents), s as (select doc_id, pos, chunk, len(list_intersect(list_distinct({TOK.format(c='chunk')}), ['the', 'and', 'der', 'die', 'que', 'de', 'license'])) as score from l) select doc_id, score, pos, strlen(chunk) as bytes, chunk from (select *, row_number() over (partition by doc_id order by score desc, pos) as r from s) where r = 1",
     "html_link_extract": "with l as (select page_id, list_sort(list_distinct(regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1))) as links from pages) select page_id, len(links) as n_links, array_to_string(links, ' ') as links from l",
     "query_classify": CLASSES,
     "near_dup_minhash": f"with {PRINTS}, {LISTED} select a, b, minhash_similarity from listed",

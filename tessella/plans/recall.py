@@ -127,7 +127,23 @@ y as (select *, list_contains(exact, 'description') or (list_contains(exact, 'bo
 found as (select query_id, doc_id, score from (select *, max(score) over (partition by query_id) as top from y where accepted) where round(score, 9) >= round(0.55::double * top, 9))"""
 
 
+
+
+def _hmac(key: bytes, message: str) -> str:
+    """HMAC-SHA256 by its definition."""
+    inner, outer = bytes(b ^ 0x36 for b in key.ljust(64, b"\0")).hex(), bytes(b ^ 0x5C for b in key.ljust(64, b"\0")).hex()
+    return f"sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({message}))))"
+
+
+def _counts() -> str:
+    from tessella.functions.tokenizer import sql_tokens
+
+    return f"select doc_id, cast(len(t) as int) as tokens, cast(len(list_distinct(t)) as int) as distinct_tokens from (select doc_id, {sql_tokens('text')} as t from documents)"
+
+
 ORACLES = {
+    "query_ids": f"select item_id, {_hmac(b'key', 'text')} as query_id from benchmark",
+    "unicode_token_counts": _counts(),
     "direct_scores": _search() + " select query_id, doc_id, round(score, 6) as score, round(coverage, 6) as coverage, matched, high_matched, concepts, 0 as anchor_terms, array_to_string(exact, ',') as exact, accepted from y",
     "direct_search": _search() + " select query_id, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from found) where rank <= 5",
     "direct_recall": _search() + ", r as (select case when query_id <= 2 then 1 else 2 end as query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from found where query_id <= 5) where rank <= 5), s as (select query_id, doc_id, sum(1.0::double / (10 + rank)) as score, min(rank) as best_rank, count(*) as variants from r group by query_id, doc_id) select query_id, doc_id, round(score, 6) as score, best_rank, variants, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 3",

@@ -48,3 +48,10 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
             s = listed.next()
             found.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def parallel(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small input has fewer partitions than these (a single file's row group is one); larger
+    inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
