@@ -64,7 +64,7 @@ def _read(spark: SparkSession, ledger: str) -> DataFrame:
         return spark.read.schema(LEDGER).parquet(ledger)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], LEDGER)
+            return spark.range(0).select(F.from_json(F.lit("{}"), LEDGER).alias("r")).select("r.*")
         raise
 
 
