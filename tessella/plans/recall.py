@@ -75,8 +75,9 @@ def query_ids(spark, sf_dir):
 
 
 def missing_query_vectors(spark, sf_dir):
-    asked = table(spark, sf_dir, "conversations").select(F.col("text").alias("query"), "conv_id")
-    known = runtime.missing_vectors(asked.filter("conv_id % 3 = 0"), spark.createDataFrame([], "cache_key string"), "m1").select("cache_key")
+    """Texts of later turns that no first turn holds: the vectors of all first turns are stored."""
+    asked = table(spark, sf_dir, "conversations").select(F.col("text").alias("query"), "turn")
+    known = runtime.missing_vectors(asked.filter("turn = 0"), spark.createDataFrame([], "cache_key string"), "m1").select("cache_key")
     return runtime.missing_vectors(asked, known, "m1").select("cache_key")
 
 
@@ -148,7 +149,7 @@ ORACLES = {
     "direct_search": _search() + " select query_id, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from found) where rank <= 5",
     "direct_recall": _search() + ", r as (select case when query_id <= 2 then 1 else 2 end as query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from found where query_id <= 5) where rank <= 5), s as (select query_id, doc_id, sum(1.0::double / (10 + rank)) as score, min(rank) as best_rank, count(*) as variants from r group by query_id, doc_id) select query_id, doc_id, round(score, 6) as score, best_rank, variants, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 3",
     "best_excerpts": _excerpts(),
-    "missing_query_vectors": "with k as (select distinct sha256('m1' || chr(10) || sha256(lower(trim(text, ' ')))) as cache_key, conv_id from conversations) select distinct cache_key from k where cache_key not in (select cache_key from k where conv_id % 3 = 0)",
+    "missing_query_vectors": "with k as (select distinct sha256('m1' || chr(10) || sha256(lower(trim(text, ' ')))) as cache_key, turn from conversations) select distinct cache_key from k where cache_key not in (select cache_key from k where turn = 0)",
     "lru_caps": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as n from events) where n <= 3",
     "safe_paths": "with p as (select page_id, (['src/', '/abs/', '../up/', 'a/../b/', 'C:/x/'])[page_id % 5 + 1] || page_id as path from pages) select page_id, path, not regexp_matches(path, '^/|^[A-Za-z]:|(^|/)\\.\\.(/|$)') as safe from p",
     "paragraph_chunks": "with l as (select doc_id, unnest(string_split(text, chr(10))) as chunk, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents), b as (select doc_id, chunk, i, case when i = 0 or chunk <> '' then 1 else 0 end as real, coalesce(sum(strlen(chunk) + 2) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as start from l), n as (select *, cast(sum(real) over (partition by doc_id order by i) - 1 as int) as pos from b) select doc_id, pos, cast(start as int) as start_byte, cast(start + strlen(chunk) as int) as end_byte, sha256(chunk) as sha256 from n where trim(chunk, ' ') <> ''",
