@@ -22,6 +22,8 @@ from tessella.llm._scale import keep
 SAMPLE_ROWS, MOST_LISTS, STEPS = 20_000, 512, 8
 #: Vectors in a block, anchors in a block, and blocks of anchors that meet one copy of a block of vectors.
 BLOCK, ANCHORS, MEET = 512, 256, 16
+#: Pairs of blocks in an Arrow batch.
+BATCH = 32
 #: Lists that an anchor has visited at most after each round; then all that are left.
 ROUNDS = (4, 32)
 #: Bound of a component (times 256), so that sums over 2^13 dimensions are exact as doubles.
@@ -118,9 +120,7 @@ def _visits(asks: DataFrame, index: Index, lo: int, hi: int) -> DataFrame:
     radii = np.array([index.sizes[i][1] for i in known])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             a, c = _fit_width(_matrix(batch.column(2)), sent.value)
             middle = a @ c[known].T
             slack = np.sqrt((a * a).sum(1))[:, None] * radii + 1e-9 * np.abs(middle) + 1
@@ -210,7 +210,7 @@ def search(asks: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
     asks, best = keep(asks, "asks"), None
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         hits = _met(_visits(asks, index, lo, hi), index, same, k)
-        best = keep(_best(hits if best is None else hits.unionByName(best.drop("place")), k), "best")
+        best = keep(_best(hits if best is None else hits.unionByName(best.drop("place")), k), "best", BATCH)
         if hi < lists:
             kth = best.where(F.col("place") == k).select("anchor_id", F.col("anchor_label").alias("label"), F.col("window").alias("id"), F.col("score").alias("kth"))
             open_ = asks.select("anchor_id", "label", "q", F.explode("windows").alias("w")).select("anchor_id", "label", "q", "w.id", "w.least", "w.most")

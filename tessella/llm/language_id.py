@@ -121,35 +121,40 @@ def phrases(lanes: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.nda
     return count + (state > 0)  # the last phrase ends with the lane
 
 
-def _sample(docs: DataFrame, label: str) -> DataFrame:
-    """Of each language the SAMPLE_ROWS labelled rows that come first by a hash of their text, ties by the text."""
-    rows = docs.select(F.col(label).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["lang", "h"])
-    return rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= SAMPLE_ROWS)
-
-
-def _middle(points: np.ndarray) -> np.ndarray:
-    is_letter, _ = letters()
-    at = np.flatnonzero(is_letter[points])
-    if not len(at):
-        return points[:0]
-    lo = max(0, (len(at) - ROW_SYMBOLS) // 2)
-    return points[at[lo] : at[min(len(at), lo + ROW_SYMBOLS) - 1] + 1]
+def _middle(text: str) -> str:
+    """The ROW_SYMBOLS letters in the middle of a text, lower-cased, with one blank between runs of them."""
+    is_letter, lower = letters()
+    points = lower[code_points(text)]
+    letter = is_letter[points]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    points = np.where(letter, points, np.uint32(32))[keep]
+    lo = max(0, (len(points) - ROW_SYMBOLS) // 2)
+    return points[lo : lo + ROW_SYMBOLS].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The letters in the middle of each sample text, lower-cased, so that texts of any length leave little."""
-    _, lower = letters()
     for batch in batches:
-        parts = [lower[_middle(code_points(t))].tobytes().decode("utf-32-le", "surrogatepass") for t in batch.column(2).to_pylist()]
+        parts = [_middle(t) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.string())], names=["lang", "h", "part"])
 
 
+def _sample(docs: DataFrame, label: str) -> DataFrame:
+    """(lang, h, part) of the SAMPLE_ROWS texts of each language that come first by a hash of the text; equal texts count
+    once. Only hashes are shuffled; the texts of the sample are then read from the table by a join with them."""
+    rows = docs.select(F.col(label).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    found = rows.select("lang", "h").distinct()
+    for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # a language of any size is first thinned in parts
+        found = found.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("i") <= SAMPLE_ROWS)
+    parts = rows.join(found.select("lang", "h"), ["lang", "h"], "left_semi").select("lang", "h", "text").mapInArrow(_middles, "lang string, h long, part string")
+    return parts.groupBy("lang", "h").agg(F.min("part").alias("part")).where("trim(part) <> ''")
+
+
 def fit(labelled: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray, list[np.ndarray], np.ndarray]:
     """(languages, symbol table, automata, bits of a phrase) from at most SAMPLE_ROWS rows a language."""
     spark = labelled.sparkSession
-    parts = _sample(labelled, label).select("lang", "h", "text").mapInArrow(_middles, "lang string, h long, part string").where("part <> ''")
-    rows = sorted((r["lang"], r["h"], r["part"]) for r in parts.collect())  # bounded: SAMPLE_ROWS x ROW_SYMBOLS letters a language
+    rows = sorted((r["lang"], r["h"], r["part"]) for r in _sample(labelled, label).collect())  # bounded: SAMPLE_ROWS x ROW_SYMBOLS letters a language
     languages = sorted({r[0] for r in rows})
     is_letter, _ = letters()
     seen = np.concatenate([np.zeros(0, np.uint32), *[code_points(r[2]) for r in rows]])
