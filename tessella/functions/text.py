@@ -55,6 +55,52 @@ def edit_budget(word: Column) -> Column:
     return F.when(F.length(word) >= 9, 2).otherwise(1)
 
 
+#: Words up to this length are found by deletions, longer ones by pieces: both ways take a bounded number of keys.
+LONG_WORD = 24
+
+
+def _deleted(words: Column) -> Column:
+    """Each word without one of its characters."""
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
+
+
+def deletions(word: Column, k: Column) -> Column:
+    """The word and all that is left of it after 1..k deletions, k being 1 or 2; distinct. Two words at most k edits apart
+    have one of these in common."""
+    once = F.transform(F.array(F.array(word)), _deleted)[0]
+    return F.array_distinct(F.concat(F.array(word), F.transform(F.array(once), lambda x: F.when(k >= 2, F.concat(x, _deleted(F.filter(x, lambda w: w != "")))).otherwise(x))[0]))
+
+
+def _piece(word: Column, n: Column, part: int, shift: Column) -> Column:
+    """Key of the part-th third of a word of n characters, read from another word `shift` places on."""
+    lo, hi = F.floor(n * part / 3), F.floor(n * (part + 1) / 3)
+    return F.xxhash64(n, F.lit(part), F.substring(word, (lo + shift + 1).cast("int"), (hi - lo).cast("int")))
+
+
+def edit_keys(word: Column) -> Column:
+    """Keys under which an indexed word is found within its neighbours' edit budgets: deletions of short words, the three
+    thirds of long ones (of two edits at least one third stays whole)."""
+    n = F.length(word)
+    short = F.transform(deletions(word, F.when(n >= 7, 2).otherwise(1)), lambda w: F.xxhash64(w))
+    return F.when(n <= LONG_WORD, F.when(n > 0, short)).otherwise(F.array(*[_piece(word, n, i, F.lit(0)) for i in range(3)]))
+
+
+def edit_lookups(word: Column) -> Column:
+    """The keys that a word within its edit budget may be indexed under: its own deletions, and for lengths of long words
+    near its own every place where a third of them may stand."""
+    n, k = F.length(word), edit_budget(word)
+    short = F.when((n > 0) & (n <= LONG_WORD + 2), F.transform(deletions(word, k), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
+    lengths = F.filter(F.sequence(n - 2, n + 2), lambda m: m > LONG_WORD)
+    places = F.sequence(F.lit(-2), F.lit(2))
+
+    def third(i: int) -> Column:
+        of = lambda m: F.transform(places, lambda x: F.when(F.floor(m * i / 3) + x >= 0, _piece(word, m, i, x)))
+        return F.flatten(F.transform(lengths, of))
+
+    thirds = F.concat(*[third(i) for i in range(3)])
+    return F.array_distinct(F.concat(short, F.filter(F.when(n >= LONG_WORD - 1, thirds).otherwise(F.array().cast("array<long>")), lambda x: x.isNotNull())))
+
+
 def redact(text: Column) -> Column:
     """Replace what looks like a key or bearer token."""
     return F.regexp_replace(text, r"(?i)\b(?:bearer\s+|sk-|key-)[A-Za-z0-9._-]{8,}", "[redacted]")

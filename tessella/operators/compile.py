@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, tokenizer
-from tessella.functions.text import character_trigrams
+from tessella.functions.text import character_trigrams, edit_keys
 from tessella.operators import incremental, index
 from tessella.operators.search import FIELDS
 from tessella.scratch import fingerprint, keep, parallel
 from tessella.sources import snapshots, topics as source
 
-VERSION = "4"
+VERSION = "5"
 #: Which values of a topic are indexed, by field.
 VALUES = {"name": "doc_id", "hooks": "hooks", "description": "description", "triggers": "triggers", "codePath": "code_paths", "codeSymbol": "code_symbols", "codeTest": "code_tests", "authorityDocs": "authority_docs", "scopes": "scopes", "body": "body"}
 SCALAR = ("name", "description", "body")
@@ -73,9 +73,14 @@ def exact_map(topics: DataFrame) -> DataFrame:
 
 
 def fuzzy_entries(exact: DataFrame) -> DataFrame:
-    """(fragment, band: its length, kind, normalized, documents) of the kinds that fuzzy matching looks at."""
+    """(fragment, kind, normalized, documents) of the kinds that fuzzy matching looks at."""
     rows = exact.filter(F.col("kind").isin(*FUZZY_KINDS)).withColumn("fragment", F.explode(classify.identifier_fragments(F.col("value"), plain=True)))
-    return rows.select("fragment", F.length("fragment").alias("band"), "kind", "normalized", "documents").distinct()
+    return rows.select("fragment", "kind", "normalized", "documents").distinct()
+
+
+def near(fuzzy: DataFrame) -> DataFrame:
+    """(term: a key of edit_keys(), fragment): where fragments within an edit budget meet, looked up like postings."""
+    return fuzzy.select("fragment").distinct().select(F.explode(edit_keys(F.col("fragment"))).alias("term"), "fragment")
 
 
 def edges(topics: DataFrame) -> DataFrame:
@@ -134,9 +139,10 @@ def _tables(topics: DataFrame, postings: DataFrame) -> dict[str, DataFrame]:
     high = postings.groupBy("term").agg(F.max(F.col("field").isin(*[f for f, s in FIELDS.items() if s.high])).alias("high"))
     terms = keep(index.term_statistics(postings, n, "doc_id").join(high, "term"), "terms")
     exact, edge = keep(exact_map(topics), "exact"), keep(edges(topics), "edges")
+    fuzzy = keep(fuzzy_entries(exact), "fuzzy")
     by_term = lambda df: df.repartitionByRange("term").sortWithinPartitions("term")
     return {
-        "postings": postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id"), "terms": by_term(terms), "fields": averages, "grams": by_term(grams(terms)), "exact": exact, "fuzzy": fuzzy_entries(exact),
+        "postings": postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id"), "terms": by_term(terms), "fields": averages, "grams": by_term(grams(terms)), "exact": exact, "fuzzy": fuzzy, "near": by_term(near(fuzzy)),
         "edges": edge, "nodes": nodes(topics, edge), "documents": documents(topics), "digests": digests(topics), "bodies": topics.select("doc_id", "body"), "values": field_values(topics.withColumn("body", F.lit(None).cast("string"))),
         "chunks": source.chunks(topics, "doc_id", "body").drop("chunk"),
     }

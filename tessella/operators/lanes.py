@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import ascii_tokens, character_trigrams, edit_budget, ngrams, path_suffixes
+from tessella.functions.text import ascii_tokens, character_trigrams, edit_budget, edit_keys, edit_lookups, ngrams, path_suffixes
+
+from tessella.scratch import parallel
 
 
 def exact_matches(anchors: DataFrame, entries: DataFrame) -> DataFrame:
@@ -43,11 +45,54 @@ def trigram_matches(fragments: DataFrame, terms: DataFrame, least: float = 0.45,
 
 
 def fuzzy_matches(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term, distance): 1..k edits apart, k by the word's length. Length bands make it an equi-join."""
-    left = words.select("word", edit_budget(F.col("word")).alias("k"))
-    left = left.withColumn("band", F.explode(F.sequence(F.length("word") - F.col("k"), F.length("word") + F.col("k"))))
-    found = left.join(terms.select("term", F.length("term").alias("band")), "band").withColumn("distance", F.levenshtein("word", "term"))
-    return found.filter((F.col("distance") > 0) & (F.col("distance") <= F.col("k"))).select("word", "term", "distance")
+    """(word, term, distance): 1..k edits apart, k by the word's length. Terms and words meet in a common deletion (long
+    ones in a third), so a word meets the terms near it and not all terms of its length."""
+    asked = words.select("word", F.explode(edit_lookups(F.col("word"))).alias("key"))
+    met = asked.join(terms.select("term", F.explode(edit_keys(F.col("term"))).alias("key")), "key").select("word", "term").distinct()
+    found = met.withColumn("distance", F.levenshtein("word", "term"))
+    return found.filter((F.col("distance") > 0) & (F.col("distance") <= edit_budget(F.col("word")))).select("word", "term", "distance")
+
+
+#: Characters of a query that are read at a time.
+CHUNK = 256
+
+
+def delimited(queries: DataFrame, triggers: DataFrame, text: str = "normalized") -> DataFrame:
+    """(query_id, text): triggers that a query holds between characters other than ASCII letters and digits.
+
+    A trigger is keyed by its head, its first 1, 2, 4, 8... characters (the most that it has), and a query emits the heads
+    of those lengths at each place where a delimited part may start: a row per place and length in use, however long
+    triggers are. What follows the head is then compared. Empty triggers are never found."""
+    head = lambda t, n: F.xxhash64(n, F.substring(t, F.lit(1), n))
+    size = F.length(text)
+    tier = F.lit(1)
+    for n in (2**i for i in range(1, 13)):
+        tier = F.when(size >= n, n).otherwise(tier)
+    known = triggers.filter(size > 0).select(text).distinct().select(F.col(text).alias("trigger"), tier.alias("tier")).withColumn("head", head(F.col("trigger"), F.col("tier")))
+    tiers = [r[0] for r in known.select("tier").distinct().collect()]  # 13 at most
+    if not tiers:
+        return queries.select("query_id", text).limit(0)
+    longest = known.agg(F.max(F.length("trigger"))).first()[0]
+
+    ends = {n: 2 * n if 2 * n <= 4096 else longest + 1 for n in tiers}
+    ahead = -(-max(ends.values()) // CHUNK) + 1
+    # A long query is read in chunks with what follows them, as a place in a string is found by counting from its start.
+    last = lambda c: F.substring(c, -1, 1)
+    chunks = parallel(queries.filter(size > 0)).select("query_id", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("c"))
+    window = F.transform("c", lambda c, j: F.struct(F.when(j > 0, last(F.get("c", j - 1))).otherwise("").alias("before"), F.length(c).alias("n"), F.array_join(F.slice("c", j + 1, ahead), "").alias("part")))
+    windows = chunks.select("query_id", F.explode(window).alias("w")).select("query_id", "w.*")
+    word = lambda c: c.rlike("[a-z0-9]")
+    at = F.filter(F.sequence(F.lit(1), "n"), lambda i: ~word(F.when(i == 1, F.col("before")).otherwise(F.substring("part", i - 1, F.lit(1)))))
+
+    def heads(n):
+        fits = F.filter("at", lambda i: i + n - 1 <= F.length("part"))
+        return F.transform(fits, lambda i: F.struct(F.lit(n).alias("tier"), F.substring("part", i, F.lit(ends[n])).alias("rest")))
+
+    places = windows.select("query_id", "part", at.alias("at"))
+    rows = places.select("query_id", F.explode(F.concat(*[heads(n) for n in tiers])).alias("p")).select("query_id", "p.*")
+    met = rows.withColumn("head", head(F.col("rest"), F.col("tier"))).join(known, ["tier", "head"])
+    after = F.expr("substring(rest, length(trigger) + 1, 1)")
+    return met.filter(F.startswith("rest", "trigger") & ~after.rlike("[a-z0-9]")).select("query_id", F.col("trigger").alias(text)).distinct()
 
 
 def two_hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:

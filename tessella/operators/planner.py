@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, tokenizer
-from tessella.functions.text import character_trigrams, edit_budget
+from tessella.functions.text import character_trigrams, edit_budget, edit_lookups
 from tessella.operators import index, lanes
 from tessella.operators.compile import FUZZY_KINDS
 from tessella.operators.search import FIELDS
@@ -71,20 +71,6 @@ def _evidence(kind: Column | str, value: Column) -> Column:
     return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("value")).alias("evidence")
 
 
-def triggers_within(queries: DataFrame, longest: int) -> DataFrame:
-    """(query_id, normalized): every part of a query that stands between characters other than ASCII letters and digits,
-    up to `longest` characters: what a delimited trigger can be, so that finding triggers is an equi-join."""
-    edge = lambda q, at: ~F.substring(q, at, 1).rlike("[a-z0-9]")
-
-    def parts(q: Column) -> Column:
-        n = F.length(q)
-        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | edge(q, i - 1))
-        ends = F.filter(F.sequence(F.lit(1), n), lambda j: (j == n) | edge(q, j + 1))
-        return F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: (j > i) & (j - i < longest)), lambda j: F.substring(q, i, j - i + 1))))
-
-    return queries.select("query_id", F.explode(F.array_distinct(F.transform(F.array("normalized"), parts)[0])).alias("normalized"))
-
-
 def exact_lane(asks: DataFrame, tables: Mapping[str, DataFrame], limit: int = PER_LANE) -> DataFrame:
     entries = tables["exact"]
     paths = F.col("anchors.paths")
@@ -93,10 +79,10 @@ def exact_lane(asks: DataFrame, tables: Mapping[str, DataFrame], limit: int = PE
     by_path = lanes.suffix_matches(asks.select("query_id", F.explode("anchors.paths").alias("path")), entries.filter("kind = 'path'").select(F.col("normalized").alias("doc_id"), F.replace("normalized", F.lit("\\"), F.lit("/")).alias("path")))
     by_path = by_path.select("query_id", F.lit("path").alias("kind"), F.col("doc_id").alias("normalized")).join(entries, ["kind", "normalized"]).select(whole.columns)
     known = entries.filter("kind = 'trigger'")
-    longest = known.agg(F.coalesce(F.max(F.length("normalized")), F.lit(0))).first()[0]
     wide = asks.filter(F.arrays_overlap("classes", F.array(F.lit("natural"), F.lit("decision"), F.lit("error"))))
     is_han = F.col("normalized").rlike(r"\A\p{IsHan}+\z")
-    within = triggers_within(wide, longest).join(known.filter(F.length("normalized") >= F.when(is_han, SHORTEST_HAN).otherwise(SHORTEST_TRIGGER)), "normalized").select(whole.columns)
+    known = known.filter(F.length("normalized") >= F.when(is_han, SHORTEST_HAN).otherwise(SHORTEST_TRIGGER))
+    within = lanes.delimited(wide, known).join(known, "normalized").select(whole.columns)
     found = whole.unionByName(by_path).unionByName(within).dropDuplicates(["query_id", "kind", "normalized"]).join(asks.select("query_id", F.col("normalized").alias("q")), "query_id")
     kind = F.col("kind")
     whole_query = (kind != "trigger") | (F.trim("normalized") == F.col("q"))
@@ -141,8 +127,10 @@ def ngram_lane(asks: DataFrame, tables: Mapping[str, DataFrame], limit: int = PE
 def fuzzy_lane(asks: DataFrame, tables: Mapping[str, DataFrame], limit: int = PER_LANE) -> DataFrame:
     some = _open(asks).filter(F.arrays_overlap("classes", F.array(F.lit("identifier"), F.lit("path"), F.lit("error"))))
     words = some.select("query_id", F.explode(F.slice("fragments", 1, MOST_FRAGMENTS)).alias("word")).withColumn("k", edit_budget(F.col("word")))
-    words = words.withColumn("band", F.explode(F.sequence(F.length("word") - F.col("k"), F.length("word") + F.col("k"))))
-    found = words.join(tables["fuzzy"], "band").withColumn("d", F.levenshtein("word", "fragment")).filter((F.col("d") > 0) & (F.col("d") <= F.col("k")))
+    words = keep(words, "words")
+    asked = words.select("word", F.explode(edit_lookups(F.col("word"))).alias("term")).distinct()
+    near = index.matching(tables["near"], asked).join(asked, "term").select("word", "fragment").distinct().withColumn("d", F.levenshtein("word", "fragment"))
+    found = words.join(near, "word").filter((F.col("d") > 0) & (F.col("d") <= F.col("k"))).join(tables["fuzzy"], "fragment")
     alike = 1 - F.col("d") / F.greatest(F.length("word"), F.length("fragment"))
     rows = found.select("query_id", F.explode("documents").alias("doc_id"), (alike * _pick(KINDS, 0, F.col("kind"), 1)).alias("score"), F.array(_pick(KINDS, 1, F.col("kind"), "")).alias("fields"), F.array("word", "fragment").alias("terms"), _evidence("edit-distance", F.concat(F.col("word"), F.lit("~"), F.col("fragment"), F.lit(":"), F.col("d").cast("string"))), alike.alias("strength"))
     return ranked(rows, "fuzzy", limit)

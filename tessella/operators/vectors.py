@@ -23,56 +23,54 @@ def unit(v: Column) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+#: Vectors of a group at most (about), and fewest where there are cores to spare.
+GROUP, FEWEST = 32_768, 1_024
+
+
 def cosine_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, vector) against all (doc_id, vector): the best k by score = clamp((cosine + 1) / 2), then id.
 
-    A stated query set against all rows, in blocks of queries: each block meets every row once, and the best k per query
-    and partition of rows are cut before the shuffle. Exact."""
-    import numpy as np
-
+    Both sides stay in the cluster: queries and rows fall into groups by a hash of their ids, and a task gets one group of
+    each, so every pair of groups meets once in an equi-join on the two group numbers. A task keeps the best k of its rows
+    for each of its queries. Exact; rows without a vector take no part, and a vector of zeros has cosine 0."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
-    out = None
-    blocks = [b for b in _blocks(queries, 4096) if len(b[0])]
-    for ids, matrix in blocks:
-        sent = spark.sparkContext.broadcast((ids, matrix))  # at most 4,096 vectors
-
-        def best(batches, sent=sent):
-            import pandas as pd
-
-            ids, m = sent.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.array(pdf["vector"].tolist(), dtype=np.float64)
-                n = np.linalg.norm(x, axis=1)
-                score = np.clip((m @ (x / np.where(n > 0, n, 1)[:, None]).T + 1) / 2, 0, 1)
-                top = min(k, score.shape[1])
-                docs_ = pdf["doc_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(docs_, score.shape), -np.round(score, 9)), axis=1)[:, :top]
-                yield pd.DataFrame({"query_id": np.repeat(ids, top), "doc_id": docs_[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-
-        part = docs.select("doc_id", "vector").mapInPandas(best, f"query_id {qkind}, doc_id {kind}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"query_id {qkind}, doc_id {kind}, score double, rank int")
+    left, right = (df.filter("vector is not null").select(i, unit(F.col("vector")).alias("v")) for df, i in ((queries, "query_id"), (docs, "doc_id")))
+    n, m = left.count(), right.count()
+    g = -(-n // GROUP) or 1
+    h = max(-(-m // GROUP), min(spark.sparkContext.defaultParallelism, -(-m // FEWEST))) or 1
+    number = lambda i, of: F.pmod(F.xxhash64(i), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = left.withColumn("g", number("query_id", g)).withColumn("h", every(h))
+    right = right.withColumn("h", number("doc_id", h)).withColumn("g", every(g))
+
+    def best(a, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": a["query_id"][:0], "doc_id": b["doc_id"][:0], "score": np.zeros(0)})
+        b = b.sort_values("doc_id")
+        x, ids = np.stack(b["v"].to_numpy()), b["doc_id"].to_numpy()
+        out = []
+        for lo in range(0, len(a), 256):
+            part = a[lo : lo + 256]
+            score = np.clip((np.stack(part["v"].to_numpy()) @ x.T + 1) / 2, 0, 1)
+            shown = np.round(score, 9)
+            least = np.partition(shown, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+            row, col = np.nonzero(shown >= least[:, None])
+            order = np.lexsort((col, -shown[row, col], row))  # ties go to the smaller id
+            row, col = row[order], col[order]
+            first = np.searchsorted(row, np.arange(len(part)))
+            top = np.arange(len(row)) - first[row] < k
+            row, col = row[top], col[top]
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "doc_id": ids[col], "score": score[row, col]}))
+        return pd.concat(out)
+
+    met = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInPandas(best, f"query_id {qkind}, doc_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("score", F.round("score", 6))
-
-
-def _blocks(queries: DataFrame, size: int):
-    """Query vectors at length one, in blocks that the driver holds one at a time."""
-    import numpy as np
-
-    ids, rows = [], []
-    for r in queries.select("query_id", unit(F.col("vector")).alias("v")).orderBy("query_id").toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["v"])
-        if len(ids) == size:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
-    yield np.array(ids), np.array(rows)
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
 
 def reconcile(corpus: DataFrame, stored: DataFrame) -> DataFrame:

@@ -16,6 +16,12 @@ def cosine_topk(spark, sf_dir):
     return vectors.cosine_top_k(rows.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), rows, 10)
 
 
+def cosine_neighbours(spark, sf_dir):
+    """The three nearest of every vector, itself included: both sides are the whole table."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return vectors.cosine_top_k(rows.withColumnRenamed("doc_id", "query_id"), rows, 3)
+
+
 def _states(spark, sf_dir):
     """Every document with its stored vector; some texts have changed since, some vectors belong to other ids."""
     d = F.col("doc_id")
@@ -32,10 +38,14 @@ def embedding_stale_ratio(spark, sf_dir):
     return vectors.staleness(_states(spark, sf_dir))
 
 
+#: Words of a passage as they stand in the text, whatever their script.
+WORDS = r"[\x20\x09-\x0D]+"
+
+
 def _golden(spark, sf_dir):
-    """Cases: the first eight tokens of each benchmark passage; expected: documents that hold its first forty characters."""
-    bench = table(spark, sf_dir, "benchmark")
-    return bench.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.ascii_tokens(F.col("text")), 1, 8), " ").alias("query"), F.array_join(F.slice(text.ascii_tokens(F.col("text")), 1, 6), " ").alias("gram"))
+    """Cases: the first eight words of each benchmark passage; expected: documents that hold its first six."""
+    words = F.split("text", WORDS)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 8), " ").alias("query"), F.array_join(F.slice(words, 1, 6), " ").alias("gram"))
 
 
 def _hits(spark, sf_dir, b: float):
@@ -43,7 +53,7 @@ def _hits(spark, sf_dir, b: float):
     cases = _golden(spark, sf_dir)
     scored = index.bm25f_stored(stored(spark, sf_dir), "doc_id", {"body": (1.0, b)}, cases)
     ranked = index.top_k(scored, "doc_id", 10).select(F.col("query_id").alias("case_id"), "doc_id", "rank")
-    held = docs.select(F.col("doc_id").alias("expected"), F.explode(F.array_distinct(text.ngrams(text.ascii_tokens(F.col("text")), 6))).alias("gram"))
+    held = docs.select(F.col("doc_id").alias("expected"), F.explode(F.array_distinct(text.ngrams(F.split("text", WORDS), 6))).alias("gram"))
     golden = cases.select(F.col("query_id").alias("case_id"), "gram").join(held, "gram").select("case_id", "expected")
     return evaluate.first_hits(ranked, golden).withColumn("group", F.when(F.col("case_id") % 2 == 0, "even").otherwise("odd"))
 
@@ -119,7 +129,7 @@ def html_link_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(links).alias("n_links"), F.array_join(links, " ").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, embedding_reconcile, embedding_stale_ratio, retrieval_metrics, ab_compare, ab_guard, profile_selection, near_dup_minhash, near_dup_simhash, query_classify, identifier_fragments, intent_router, token_estimate, truncate_excerpt, best_chunk, html_link_extract)}
+QUERIES = {f.__name__: f for f in (cosine_topk, cosine_neighbours, embedding_reconcile, embedding_stale_ratio, retrieval_metrics, ab_compare, ab_guard, profile_selection, near_dup_minhash, near_dup_simhash, query_classify, identifier_fragments, intent_router, token_estimate, truncate_excerpt, best_chunk, html_link_extract)}
 
 TOK = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
 STATES = "d as (select doc_id, sha256(text) as sha from documents), k as (select case when doc_id % 10 = 3 then -doc_id - 1 else doc_id end as doc_id, case when doc_id % 7 = 0 then 'old' else sha end as sha from d), s as (select coalesce(d.doc_id, k.doc_id) as doc_id, case when d.sha is null then 'deleted' when k.sha is null or k.sha <> d.sha then 'pending' else 'fresh' end as state from d full outer join k on d.doc_id = k.doc_id)"
@@ -132,8 +142,9 @@ def _hits_sql(name: str, b: float) -> str:
 {name} as (select g.case_id, min(r.rank) filter (where r.rank <= 10) as rank, case when g.case_id % 2 = 0 then 'even' else 'odd' end as "group" from golden g left join {name}_r r on r.case_id = g.case_id and r.doc_id = g.expected group by g.case_id)"""
 
 
-CASES = f"""cases as (select item_id as query_id, array_to_string(({TOK.format(c='text')})[1:8], ' ') as query, ' ' || array_to_string(({TOK.format(c='text')})[1:6], ' ') || ' ' as gram from benchmark),
-golden as (select c.query_id as case_id, d.doc_id as expected from cases c join (select doc_id, ' ' || array_to_string({TOK.format(c='text')}, ' ') || ' ' as body from documents) d on contains(d.body, c.gram))"""
+WORDS_SQL = r"string_split_regex(text, '[\x20\x09-\x0D]+')"
+CASES = f"""cases as (select item_id as query_id, array_to_string(({WORDS_SQL})[1:8], ' ') as query, ' ' || array_to_string(({WORDS_SQL})[1:6], ' ') || ' ' as gram from benchmark),
+golden as (select c.query_id as case_id, d.doc_id as expected from cases c join (select doc_id, ' ' || array_to_string({WORDS_SQL}, ' ') || ' ' as body from documents) d on contains(d.body, c.gram))"""
 METRICS = "count(*) as cases, round(avg(case when rank <= 1 then 1.0 else 0.0 end::double), 6) as recall_1, round(avg(case when rank <= 5 then 1.0 else 0.0 end::double), 6) as recall_5, round(avg(coalesce(1.0::double / rank, 0)), 6) as mrr"
 PRINTS = f"""raw as (select doc_id, regexp_replace(coalesce(text, ''), '(?s)```.*?```', ' ', 'g') as x from documents), f as (select doc_id, {sql_tokens('x')} as t, regexp_replace(lower(x), '[\\p{{P}}\\p{{S}}\\s]+', '', 'g') as flat from raw),
 feat as (select doc_id, unnest(t || list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: 't3:' || t[i] || chr(0) || t[i + 1] || chr(0) || t[i + 2]) || list_transform(range(0, greatest(len(flat) - 11, 0), 4), lambda i: 'c12:' || flat[i + 1:i + 12])) as x from f),
@@ -165,6 +176,7 @@ def _intents() -> str:
 ORACLES = {
     "intent_router": _intents(),
     "cosine_topk": "with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id as doc_id, greatest(0, least(1, (list_cosine_similarity(v, embedding::double[]) + 1) / 2)) as score from q, embeddings) select query_id, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 10",
+    "cosine_neighbours": "with q as (select vec_id as query_id, embedding::double[] as v from embeddings), s as (select query_id, vec_id as doc_id, greatest(0, least(1, (list_cosine_similarity(v, embedding::double[]) + 1) / 2)) as score from q, embeddings) select query_id, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 3",
     "embedding_reconcile": f"with {STATES} select * from s",
     "embedding_stale_ratio": f"with {STATES} select count(*) as total, count(*) filter (where state <> 'fresh') as stale, round(count(*) filter (where state <> 'fresh') / cast(count(*) as double), 6) as stale_ratio, count(*) filter (where state <> 'fresh') / cast(count(*) as double) > 0.2 as degraded from s",
     "retrieval_metrics": f"with {CASES}, {_hits_sql('ha', 0.75)} select \"group\", {METRICS} from ha group by grouping sets ((\"group\"), ())",

@@ -96,6 +96,14 @@ def trigger_containment(spark, sf_dir):
     return lanes.trigger_matches(triggers, docs_of(spark, sf_dir), "doc_id", "text", 3)
 
 
+def delimited_triggers(spark, sf_dir):
+    """Every benchmark passage's first line and its first words, as triggers of any length, in every document."""
+    text = F.lower("text")
+    bench = table(spark, sf_dir, "benchmark")
+    triggers = bench.select(F.explode(F.array(F.split_part(text, F.lit("\n"), F.lit(1)), F.substring(text, 1, 12), F.substring_index(text, " ", 2))).alias("normalized"))
+    return lanes.delimited(docs_of(spark, sf_dir).select(F.col("doc_id").alias("query_id"), text.alias("normalized")), triggers)
+
+
 def _part_words(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.explode(F.array_union(F.split(F.lower("p_name"), " "), F.split(F.lower(F.concat_ws(" ", "p_type", "p_brand")), " "))).alias("term")).distinct()
 
@@ -157,7 +165,7 @@ def mmr_select(spark, sf_dir):
     return fusion.mmr(ranked, "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {f.__name__: f for f in (tokens_tf, field_lengths, term_df_idf, bm25_topk, bm25f_two_fields, exact_map_build, exact_anchor_match, path_suffix_join, trigger_containment, trigram_dice_join, fuzzy_edit_join, graph_two_hop, rrf_fusion, multi_query_fusion, relative_score_cut, conflict_penalty, mmr_select)}
+QUERIES = {f.__name__: f for f in (tokens_tf, field_lengths, term_df_idf, bm25_topk, bm25f_two_fields, exact_map_build, exact_anchor_match, path_suffix_join, trigger_containment, delimited_triggers, trigram_dice_join, fuzzy_edit_join, graph_two_hop, rrf_fusion, multi_query_fusion, relative_score_cut, conflict_penalty, mmr_select)}
 
 VALUES = ", ".join(f"({i}, '{q}')" for i, q in LITERALS)
 TOK = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
@@ -201,6 +209,7 @@ ORACLES = {
     "exact_anchor_match": f"with {EXACT}, q as (select doc_id as query_id, lower(path) as a from paths where doc_id % 50 = 0 union all select doc_id, host from paths where doc_id % 50 = 0) select distinct query_id, kind, unnest(documents) as doc_id from q join exact on a = normalized",
     "path_suffix_join": f"with {PATHS}, q as (select doc_id as query_id, string_split(path, '/')[-1] as p from paths where doc_id % 50 = 0) select distinct query_id, doc_id from q join paths on p <> '' and path <> '' and (path = p or ends_with(path, '/' || p) or ends_with(p, '/' || path))",
     "trigger_containment": f"with t as (select item_id as trigger_id, array_to_string(({TOK.format(c='text')})[1:3], ' ') as trigger from benchmark), d as (select doc_id, ' ' || array_to_string({TOK.format(c='text')}, ' ') || ' ' as body from documents) select trigger_id, doc_id from t join d on contains(body, ' ' || trigger || ' ')",
+    "delimited_triggers": r"with t as (select distinct unnest([split_part(lower(text), chr(10), 1), substr(lower(text), 1, 12), array_to_string(string_split(lower(text), ' ')[1:2], ' ')]) as normalized from benchmark) select distinct doc_id as query_id, normalized from t join documents on normalized <> '' and contains(lower(text), normalized) and regexp_matches(lower(text), '(^|[^a-z0-9])\Q' || normalized || '\E($|[^a-z0-9])')",
     "trigram_dice_join": f"with {PART_WORDS}, f as (select unnest([{', '.join(repr(f) for f in FRAGMENTS)}]) as fragment), l as (select fragment, {GRAMS.format(x='flat')} as g from (select fragment, regexp_replace(lower(fragment), '[^a-z0-9]', '', 'g') as flat from f)), r as (select term, {GRAMS.format(x='flat')} as g from (select term, regexp_replace(lower(term), '[^a-z0-9]', '', 'g') as flat from words) where len(flat) >= 3), s as (select fragment, term, len(list_intersect(l.g, r.g)) as shared, len(l.g) as n, len(r.g) as m from l, r), o as (select fragment, term, shared, 2.0 * shared / (n + m) as dice from s where shared >= least(2, n) and shared > 0 and 2.0 * shared / (n + m) >= 0.45) select fragment, term, shared, round(dice, 6) as dice, rank from (select *, row_number() over (partition by fragment order by round(dice, 9) desc, term) as rank from o) where rank <= 24",
     "fuzzy_edit_join": f"with {PART_WORDS}, w as (select unnest([{', '.join(repr(f) for f in WORDS)}]) as word) select word, term, levenshtein(word, term) as distance from w, words where levenshtein(word, term) between 1 and case when len(word) >= 9 then 2 else 1 end",
     "graph_two_hop": "with e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst, 'supplies' as kind from lineitem union select distinct 'c' || o_custkey, 'p' || l_partkey, 'buys' from orders join lineitem on o_orderkey = l_orderkey), b as (select src, dst, kind from e union select dst, src, kind from e), f as (select src as seed, dst as via, kind from b where src in ('s1', 'c7')), h as (select seed, via as target, kind, 1 as hops, seed as through from f union all select f.seed, b.dst, b.kind, 2, f.via from (select distinct seed, via from f) f join b on b.src = f.via) select target, kind, hops, count(distinct through) as n from h where target not in ('s1', 'c7') group by target, kind, hops",
