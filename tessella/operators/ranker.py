@@ -104,10 +104,11 @@ def lexical(asks: DataFrame, tables: Mapping[str, DataFrame], among: DataFrame)
     weighed = asked.join(index.matching(tables["terms"], asked).select("term", "idf"), "term", "left").crossJoin(n).groupBy("query_id").agg(F.sum(F.coalesce("idf", index.idf(F.col("n"), F.lit(0)))).alias("query_weight"))
     high, anchor = F.arrays_overlap("fields", _in(HIGH)), F.arrays_overlap("fields", _in(ANCHORS))
     per = found.groupBy("query_id", "doc_id").agg(F.sum("idf").alias("w"), F.count(F.lit(1)).alias("m"), F.array_sort(F.collect_set(F.when(high, F.col("term")))).alias("high"), F.count_if(anchor).alias("a"))
-    segments = concepts.with_segments(asks.select("query_id", "query"))
+    generic = concepts.common_terms(tables)
+    segments = concepts.with_segments(asks.select("query_id", "query"), generic=generic)
     per = per.join(weighed, "query_id").join(segments, "query_id")
     share = lambda c, name: F.least(F.lit(1.0), c / WHOLE[name]).alias(name)
-    spoken = concepts.count(F.col("segments"), F.col("high"), han=concepts.has_han(asks))
+    spoken = concepts.count(F.col("segments"), F.col("high"), generic, concepts.has_han(asks))
     return per.select("query_id", "doc_id", F.coalesce(F.col("w") / F.nullif("query_weight", F.lit(0.0)), F.lit(0.0)).alias("query_coverage"), share(F.col("m"), "matched_terms"), share(spoken, "high_signal_concepts"), share(F.size("high"), "high_signal_terms"), share(F.col("a"), "anchor_terms"))
 
 

@@ -93,14 +93,15 @@ def exact_fields(fields: DataFrame, queries: DataFrame, specs: Mapping[str, Fiel
     return out.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("field")).alias("exact"))
 
 
-def score(fields: DataFrame, queries: DataFrame, specs: Mapping[str, Field] = FIELDS, generic=concepts.GENERIC, stored: Mapping[str, DataFrame] | None = None, tokenize=None) -> DataFrame:
+def score(fields: DataFrame, queries: DataFrame, specs: Mapping[str, Field] = FIELDS, generic=None, stored: Mapping[str, DataFrame] | None = None, tokenize=None) -> DataFrame:
     """(query_id, doc_id, score, coverage, matched, high_matched, concepts, anchor_terms, exact, accepted) of every
     document that holds a query term or the whole query.
 
     fields: (doc_id, field, value); stored: its index. Coverage weighs the query's terms by their idf; concepts are those
-    of terms that match in high-signal fields. Queries without a token find nothing."""
+    of terms that match in high-signal fields, without `generic` ones (those common in the collection). Queries without a token find nothing."""
     tokenize = tokenize or tokenizer.batch_tokenizer(queries, "query")
     stored = stored or build(fields, specs, tokenizer.tokens)
+    generic = concepts.common_terms(stored) if generic is None else generic
     asked = index.query_terms(queries, tokenize=tokenize)
     found = index.term_scores(index.hits(stored, asked), stored, "doc_id", {f: (s.weight, s.b) for f, s in specs.items()})
     n = F.broadcast(stored["fields"].agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")))  # one row

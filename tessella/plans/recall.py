@@ -109,7 +109,7 @@ select query_id, doc_id, line as excerpt from (select *, row_number() over (part
 
 def _search() -> str:
     """CTEs that end in y (every score) and found(query_id, doc_id, score), accepted and cut: from the rule of direct search."""
-    from tessella.functions.concepts import sql_count
+    from tessella.functions.concepts import COMMON, sql_count
     from tessella.functions.tokenizer import sql_tokens
     from tessella.plans.retrieval import TITLE, VALUES, _bm25_sql
 
@@ -122,7 +122,8 @@ m as (select i.query_id, f.doc_id, i.term, any_value(i.idf) as idf, bool_or(f.fi
 md as (select query_id, doc_id, sum(idf) as mw, count(*) as matched, list_filter(list(case when high then term end), lambda x: x is not null) as high from m group by query_id, doc_id),
 ee as (select query_id, doc_id, list_filter([case when contains(lower(coalesce(text, '')), q) then 'body' end, case when contains(lower({TITLE}), q) then 'description' end, case when contains(lower(coalesce(lang, '')), q) then 'scopes' end], lambda x: x is not null) as exact from documents, qs),
 x as (select ee.query_id, ee.doc_id, coalesce(ds.score, 0) as bm, coalesce(md.mw, 0) / qw.qw as coverage, coalesce(md.matched, 0) as matched, coalesce(md.high, []) as high, ee.exact, qs.query from ee join qs on qs.query_id = ee.query_id join qw on qw.query_id = ee.query_id left join md on md.query_id = ee.query_id and md.doc_id = ee.doc_id left join ds on ds.query_id = ee.query_id and ds.doc_id = ee.doc_id where md.matched > 0 or len(ee.exact) > 0),
-c as (select *, {sql_count('query', 'high')} as concepts from x),
+gen as (select coalesce(list(term), []) as g from (select term from (select distinct doc_id, unnest(tokens) as term from ds_t) group by term having count(*) > 1 and count(*) >= {COMMON} * (select count(*) from documents))),
+c as (select *, {sql_count('query', 'high', 'g')} as concepts from x, gen),
 y0 as (select query_id, doc_id, bm + case when list_contains(exact, 'description') then 15 else 0 end + case when list_contains(exact, 'scopes') then 2 else 0 end + case when list_contains(exact, 'body') then 7 else 0 end + {search.PER_CONCEPT} * concepts as score, coverage, matched, len(high) as high_matched, concepts, exact, not regexp_matches(query, '\\s') and regexp_matches(query, '[._:/\\\\-]|[a-z][A-Z]|\\d') as ident from c),
 y as (select *, list_contains(exact, 'description') or (list_contains(exact, 'body') and (ident or round(coverage, 9) >= {a['body_coverage']})) or (concepts >= {a['concepts']} and round(score, 9) >= {a['concept_score']}) or (matched >= {a['terms']} and round(coverage, 9) >= {a['term_coverage']} and round(score, 9) >= {a['term_score']}) as accepted from y0),
 found as (select query_id, doc_id, score from (select *, max(score) over (partition by query_id) as top from y where accepted) where round(score, 9) >= round(0.55::double * top, 9))"""

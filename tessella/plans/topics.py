@@ -243,7 +243,7 @@ gr as (select query_id, seed, place, substr(target, 7) as doc_id, kind, via from
 
 def _rank() -> str:
     """CTEs: fused candidates fu, conflicts cf, features ft, scores sc."""
-    from tessella.functions.concepts import sql_count
+    from tessella.functions.concepts import COMMON, sql_count
 
     case = lambda x, table, other: f"case {x} " + " ".join(f"when '{k}' then {v}::double" for k, v in table.items()) + f" else {other} end"
     top = sum(v / 11 for v in ranker.CHANNEL_WEIGHTS.values())
@@ -259,11 +259,12 @@ cf as (select query_id, newer as doc_id, 'supersedes-candidate' as kind, older a
 pn as (select query_id, doc_id, sum(p) as penalty from (select query_id, doc_id, kind, max(penalty) as p from cf group by query_id, doc_id, kind) group by query_id, doc_id),
 qw as (select query_id, sum(coalesce(trm.idf, ln(1 + (nn.n + 0.5) / 0.5))) as qw from (select query_id, unnest(toks) as term from q) x cross join nn left join trm on trm.term = x.term group by query_id),
 lx as (select query_id, doc_id, sum(idf) as mw, count(*) as m, list_filter(list(case when list_has_any(fields, [{high}]) then term end), lambda x: x is not null) as high, count(*) filter (where list_has_any(fields, [{anchor}])) as a from tm group by query_id, doc_id),
-ft as (select fu.*, 0.0::double as embedding_similarity, coalesce(lx.mw / qw.qw, 0) as query_coverage, least(1.0, coalesce(lx.m, 0) / 5.0::double) as matched_terms, least(1.0, coalesce({sql_count('q.query', 'lx.high')}, 0) / 2.0::double) as high_signal_concepts, least(1.0, coalesce(len(lx.high), 0) / 5.0::double) as high_signal_terms, least(1.0, coalesce(lx.a, 0) / 2.0::double) as anchor_terms,
+gen as (select coalesce(list(term), []) as g from trm cross join nn where df > 1 and df >= {COMMON} * nn.n),
+ft as (select fu.*, 0.0::double as embedding_similarity, coalesce(lx.mw / qw.qw, 0) as query_coverage, least(1.0, coalesce(lx.m, 0) / 5.0::double) as matched_terms, least(1.0, coalesce({sql_count('q.query', 'lx.high', 'gen.g')}, 0) / 2.0::double) as high_signal_concepts, least(1.0, coalesce(len(lx.high), 0) / 5.0::double) as high_signal_terms, least(1.0, coalesce(lx.a, 0) / 2.0::double) as anchor_terms,
   least(1.0, len(list_intersect(fu.fields, [{high}])) / 4.0::double) as field_coverage, len(list_intersect(st.s, q.toks)) / cast(len(st.s) as double) as scope_overlap, {case('t.authority', ranker.AUTHORITY, 0)} as authority,
   least(1.0, 0.1 + case when len(t.authority_docs) > 0 then 0.25 else 0 end + case when len(t.code_paths) > 0 then 0.2 else 0 end + case when len(t.code_symbols) > 0 then 0.2 else 0 end + case when len(t.code_tests) > 0 then 0.25 else 0 end)::double as evidence,
   power(0.5::double, datediff('day', t.last_verified, max(t.last_verified) over (partition by fu.query_id)) / 365.0::double) as freshness, least(1.0, len(list_filter(fu.channels, lambda c: c not in ('graph', 'embedding'))) / 4.0::double) as channel_diversity, q.classes
-  from fu join t on t.doc_id = fu.doc_id join q on q.query_id = fu.query_id join qw on qw.query_id = fu.query_id left join lx on lx.query_id = fu.query_id and lx.doc_id = fu.doc_id join (select doc_id, list_distinct({_scopes()}) as s from t) st on st.doc_id = t.doc_id),
+  from fu join t on t.doc_id = fu.doc_id join q on q.query_id = fu.query_id join qw on qw.query_id = fu.query_id cross join gen left join lx on lx.query_id = fu.query_id and lx.doc_id = fu.doc_id join (select doc_id, list_distinct({_scopes()}) as s from t) st on st.doc_id = t.doc_id),
 s0 as (select ft.*, coalesce(pn.penalty, 0) as penalty, {thresholds} as threshold, greatest(exact_anchor, {branch('concept')}, {branch('density')}, case when list_contains(q.classes, 'natural') then 0 else {branch('approximate')} end) as sure from ft join q on q.query_id = ft.query_id left join pn on pn.query_id = ft.query_id and pn.doc_id = ft.doc_id),
 s1 as (select *, greatest(0.0, least(1.0, (rrf + {total}) / (1 + {sum(ranker.WEIGHTS.values())!r}::double) * (1 - least(0.9, penalty)))) as score, sure * (1 - least(0.9, penalty)) as confidence from s0),
 sc as (select *, round(confidence, 9) >= threshold as trusted, row_number() over (partition by query_id order by round(score, 9) desc, round(rrf, 9) desc, doc_id) as rank from s1)"""
