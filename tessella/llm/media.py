@@ -75,10 +75,62 @@ class Content:
         return result
 
 
-def _png_step(b: bytes, p: int):
+@lru_cache(64)
+def _zeros(k: int) -> list[list[int]]:
+    """What 2^k zero bytes do to a CRC-32, as a table for each of its four bytes (the register is linear over bits)."""
+    if k == 0:
+        one = lambda c: zlib.crc32(b"\0", c ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+        columns = [one(1 << i) for i in range(32)]
+    else:
+        columns = [_shifted(_shifted(1 << i, k - 1), k - 1) for i in range(32)]
+    tables = []
+    for byte in range(4):
+        t = [0] * 256
+        for i in range(8):
+            for v in range(1 << i):
+                t[(1 << i) | v] = t[v] ^ columns[8 * byte + i]
+        tables.append(t)
+    return tables
+
+
+def _shifted(crc: int, k: int) -> int:
+    t = _zeros(k)
+    return t[0][crc & 255] ^ t[1][crc >> 8 & 255] ^ t[2][crc >> 16 & 255] ^ t[3][crc >> 24]
+
+
+class _Checksums:
+    """CRC-32 of any part of the content from those of its beginnings: constant work in the length of the part."""
+
+    STEP = 1024
+
+    def __init__(self, raw: bytes):
+        self.raw, self.known, crc = raw, [0], 0
+        for i in range(0, len(raw) - self.STEP + 1, self.STEP):
+            crc = zlib.crc32(raw[i : i + self.STEP], crc)
+            self.known.append(crc)
+
+    def _upto(self, p: int) -> int:
+        i = p // self.STEP
+        return zlib.crc32(self.raw[i * self.STEP : p], self.known[i])
+
+    def of(self, lo: int, hi: int) -> int:
+        if hi - lo <= self.STEP:
+            return zlib.crc32(self.raw[lo:hi])
+        crc, n, k = self._upto(lo), hi - lo, 0
+        while n:
+            if n & 1:
+                crc = _shifted(crc, k)
+            n, k = n >> 1, k + 1
+        return crc ^ self._upto(hi)
+
+
+def _png_step(c: Content, p: int):
+    b = c.raw
+    if p + 12 > len(b):
+        return None, 0
     n = int.from_bytes(b[p : p + 4], "big")
     end, kind = p + 12 + n, b[p + 4 : p + 8]
-    if p + 12 > len(b) or end > len(b) or not kind.isalpha() or zlib.crc32(b[p + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
+    if end > len(b) or not kind.isalpha() or c.once("crc", lambda: _Checksums(b)).of(p + 4, end - 4) != int.from_bytes(b[end - 4 : end], "big"):
         return None, 0
     return (None, end) if kind == b"IEND" else (end, None)
 
@@ -152,43 +204,58 @@ def _bmp(c: Content, at: int) -> int:
     return size if header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= pixels <= size <= len(b) - at else 0
 
 
-class _Chunks:
-    """RIFF chunks that begin at even (or odd) places, as a tree of next chunks: every node also knows one far ahead, so
-    that the last chunk before a given end is found in logarithmic time."""
+class _Chain:
+    """Places and the next place of each, as trees towards the places that have none: every node also knows one far ahead
+    and its distance from the root, so that a node is found from any other on its way in logarithmic time."""
 
-    def __init__(self, raw: bytes):
-        self.raw, self.node = raw, {}
+    def __init__(self, after):
+        """after(p): the next place, always a later one, or None."""
+        self.after, self.node = after, {}
 
-    def after(self, p: int) -> int:
-        q = p + 8 + int.from_bytes(self.raw[p + 4 : p + 8], "little")
-        return q + ((q ^ p) & 1)
-
-    def last(self, p: int, most: int) -> int:
-        """The last chunk from p on that begins at `most` or before (p itself does)."""
+    def _grow(self, p: int) -> None:
         path, node = [], self.node
-        q = p
-        while q not in node:
-            path.append(q)
-            if q + 8 > len(self.raw):
-                node[path.pop()] = (q, q, 0)
+        while p not in node:
+            q = self.after(p)
+            if q is None:
+                node[p] = (p, p, 0)
                 break
-            q = self.after(q)
-        for q in reversed(path):
-            ahead = self.after(q)
+            path.append((p, q))
+            p = q
+        for p, ahead in reversed(path):
             _, far, depth = node[ahead]
-            far_depth = node[far][2]
-            jump = node[far][1] if depth - far_depth == far_depth - node[node[far][1]][2] else ahead
-            node[q] = (ahead, jump, depth + 1)
+            even = depth - node[far][2] == node[far][2] - node[node[far][1]][2]
+            node[p] = (ahead, node[far][1] if even else ahead, depth + 1)
+
+    def depth(self, p: int) -> int:
+        """Steps from p to the place that has no next one."""
+        self._grow(p)
+        return self.node[p][2]
+
+    def last(self, p: int, fits) -> int:
+        """The last place from p on that fits; from the first that does not fit on, none may (p itself does)."""
+        self._grow(p)
         while True:
-            ahead, far, depth = node[p]
-            if depth and far <= most:
+            ahead, far, depth = self.node[p]
+            if depth and fits(far):
                 p = far
-            elif depth and ahead <= most:
+            elif depth and fits(ahead):
                 p = ahead
             else:
                 return p
 
 
+def _riff_chunks(b: bytes) -> _Chain:
+    """RIFF chunks; they begin at even places, seen from the file's start."""
+
+    def after(p: int):
+        if p + 8 > len(b):
+            return None
+        q = p + 8 + int.from_bytes(b[p + 4 : p + 8], "little")
+        return q + ((q ^ p) & 1)
+
+    return _Chain(after)
+
+
 def _riff(c: Content, at: int) -> int:
     b = c.raw
     if at + 12 > len(b) or b[at + 8 : at + 12] not in RIFF_FORMS:
@@ -196,8 +263,8 @@ def _riff(c: Content, at: int) -> int:
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
     if end > len(b) or at + 20 > end:
         return 0
-    chunks = c.once("chunks", lambda: _Chunks(b))
-    return end - at if chunks.after(chunks.last(at + 12, end - 8)) in (end, end + 1) else 0
+    chunks = c.once("chunks", lambda: _riff_chunks(b))
+    return end - at if chunks.after(chunks.last(at + 12, lambda p: p <= end - 8)) in (end, end + 1) else 0
 
 
 def _flac_step(b: bytes, p: int):
@@ -228,16 +295,21 @@ def _ogg(c: Content, at: int) -> int:
     return max(0, c.walk(_ogg_step, at) - at)
 
 
+def _midi_tracks(b: bytes) -> _Chain:
+    return _Chain(lambda p: p + 8 + int.from_bytes(b[p + 4 : p + 8], "big") if b[p : p + 4] == b"MTrk" and p + 8 <= len(b) else None)
+
+
 def _midi(c: Content, at: int) -> int:
     b = c.raw
     if at + 14 > len(b) or b[at + 4 : at + 8] != b"\0\0\0\6":
         return 0
     tracks, p = int.from_bytes(b[at + 10 : at + 12], "big"), at + 14
-    for _ in range(tracks):
-        if b[p : p + 4] != b"MTrk" or p + 8 > len(b):
-            return 0
-        p += 8 + int.from_bytes(b[p + 4 : p + 8], "big")
-    return p - at if tracks and p <= len(b) else 0
+    chain = c.once("tracks", lambda: _midi_tracks(b))
+    left = chain.depth(p) - tracks
+    if not tracks or left < 0:
+        return 0
+    p = chain.last(p, lambda q: chain.node[q][2] >= left)
+    return p - at if p <= len(b) else 0
 
 
 _BOXES = (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"moof", b"mfra", b"sidx", b"meta", b"uuid", b"styp", b"pdin")
@@ -294,7 +366,7 @@ def _zip(c: Content, at: int) -> int:
 
 
 #: Steps that need more than the bytes.
-_WITH_CONTENT = frozenset((_jpeg_step, _gif_step))
+_WITH_CONTENT = frozenset((_jpeg_step, _gif_step, _png_step))
 VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "riff": _riff, "audio/flac": _flac, "audio/ogg": _ogg, "audio/midi": _midi, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip}
 
 
