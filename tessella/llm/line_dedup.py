@@ -126,12 +126,18 @@ def drop_passages(docs: DataFrame, host: str, lines: str, key: str = "doc_id", l
     return out.withColumn(lines, F.col("_stays")).drop("_stays", "_text", "_of", "_gone", "_host", "_id")
 
 
-def text_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """The same for plain texts: lines end at \\n, the source is the site. Null texts stay null; columns are kept.
+def text_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, key: str = "doc_id") -> DataFrame:
+    """The same for plain texts: lines end at \\n, the source is the site. All columns of docs are kept, whatever their
+    names; n_lines and n_dropped are added where docs has no columns of these names.
 
     A source is far larger than a site, so the ratio falls with the length of a line: max_ratio under SENTENCE words,
-    half of it below PASSAGE words; passages also go from min_pages unlike documents on (drop_passages)."""
-    cut = docs.withColumn("_lines", F.split(F.col(text), "\n", -1))
-    out = drop_site_lines(cut, host, "_lines", lambda x: F.when(n_words(x).between(SENTENCE, PASSAGE - 1), F.lit(max_ratio / 2)).otherwise(F.lit(max_ratio)), min_pages)
-    out = drop_passages(out, host, "_lines", least=min_pages).withColumn("n_dropped", F.col("n_dropped") + F.col("n_passages")).drop("n_passages")
-    return out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_lines", "\n")).otherwise(F.col(text))).drop("_lines")
+    half of it below PASSAGE words; passages also go from min_pages unlike documents on (drop_passages). Null texts stay
+    null, empty ones empty; rows of a null source keep all lines; repeated rows are documents of their own. An empty
+    table gives no rows."""
+    held = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("held")
+    cut = docs.select(held, F.col(host).alias("site"), F.col(key).alias("id"), F.col(text).alias("whole"), F.split(F.col(text), "\n", -1).alias("parts"))
+    out = drop_site_lines(cut, "site", "parts", lambda x: F.when(n_words(x).between(SENTENCE, PASSAGE - 1), F.lit(max_ratio / 2)).otherwise(F.lit(max_ratio)), min_pages)
+    out = drop_passages(out, "site", "parts", "id", min_pages).withColumn("n_dropped", F.col("n_dropped") + F.col("n_passages"))
+    stays = F.when(F.col("n_dropped") > 0, F.array_join("parts", "\n")).otherwise(F.col("whole"))
+    own = [(stays if c == text else F.col(f"held.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+    return out.select(*own, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])

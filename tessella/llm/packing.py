@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._scale import keep, numbered
+from tessella.llm._scale import keep, numbered, spread
 
 
 class Capacities:
@@ -143,17 +143,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cutter(path, capacity, end_id), PIECES)
 
 
-def best_fit(pieces: DataFrame, capacity: int, key: list[str], length: str = "length", buckets: int = 64) -> DataFrame:
+def best_fit(pieces: DataFrame, capacity: int, key: list[str], length: str = "length", buckets: int | None = None) -> DataFrame:
     """Add sequence_id and offset to a kept table of pieces whose lengths are 1..capacity.
 
     Only the histogram of lengths (at most `capacity` rows) comes to the driver. Pieces that tie in `key` and length are
-    interchangeable. An empty table gives no rows."""
+    interchangeable. Numbering is spread over `buckets` tasks for each length, by default as many as the most
+    frequent length needs. An empty table gives no rows."""
     spark = pieces.sparkSession
     rows = pieces.groupBy(length).agg(F.count(F.lit(1)).alias("n")).collect()
     if bad := [r for r in rows if r[0] is None or not 1 <= r[0] <= capacity]:
         raise ValueError(f"lengths outside 1..{capacity}: {bad[:3]}")
     places = spark.createDataFrame(plan({r[0]: r["n"] for r in rows}, capacity), f"`{length}` long, lo long, hi long, first long, each long, base long")
-    spots = numbered(pieces, [length], key, buckets=buckets).alias("p").join(F.broadcast(places.alias("q")), F.expr(f"p.`{length}` = q.`{length}` and p.idx >= q.lo and p.idx < q.hi"))
+    spots = numbered(pieces, [length], key, buckets=buckets or spread(max((r["n"] for r in rows), default=0))).alias("p").join(F.broadcast(places.alias("q")), F.expr(f"p.`{length}` = q.`{length}` and p.idx >= q.lo and p.idx < q.hi"))
     k = F.expr("p.idx - q.lo")
     return spots.select("p.*", (F.col("q.first") + F.floor(k / F.col("q.each"))).cast("long").alias("sequence_id"), (F.col("q.base") + k % F.col("q.each") * F.col(f"q.{length}")).cast("long").alias("offset")).drop("idx")
 

@@ -1,6 +1,8 @@
 import corpus_pipeline
 from tessella.llm import mixing
 
+from tests.llm import common
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -27,3 +29,35 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+CLASHING = "host_lines _lines _text n_lines n_dropped n_passages _gone _of _stays _host _id _old _pages _n held c0 c1 site id whole parts site.dotted label labels score features rules quality cls class_id copies _row row taken size target pattern h a b k idx before".split()
+
+
+def test_odd_rows_and_clashing_names_in_every_stage(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, and further columns with names that the stages use themselves."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([r[:5] for r in common.rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    seen = docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, seen, SF)
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / str(i)))
+        out = spark.read.parquet(str(tmp_path / str(i)))
+        for r in out.collect():
+            assert all(r[c] == f"own {c}" for c in CLASHING), name
+        if name != "quality classifier":
+            seen = out
+        if name == "line dedup":
+            kept = {(r.doc_id, r.text) for r in out.collect()}
+            assert out.count() == docs.count() and kept == {(r[0], r[1]) for r in common.rows()}
+    packed = corpus_pipeline.pack(spark, docs, SF)
+    assert packed.where("piece = 0").count() == docs.count()
+
+
+def test_empty_tables_in_every_stage(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
