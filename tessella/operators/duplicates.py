@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import tokenizer
+from tessella.operators.components import components
 from tessella.scratch import keep
 
 #: Similarity thresholds, permutations, the fewest features, shingle width and step.
@@ -91,12 +92,51 @@ def similar_pairs(prints: DataFrame, key: str, simhash: float | None = SIMHASH_A
     band = F.array(*[F.xxhash64(F.lit(i), F.slice("minhash", a + 1, n)) for i, (a, n) in enumerate(bands(minhash))])
     keys = one.select("id", F.explode(band).alias("k"))
     pairs = keys.alias("x").join(keys.alias("y"), F.expr("x.k = y.k and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    out = _likeness(pairs, one).unionByName(same)
+    alike = F.col("minhash_similarity") >= minhash
+    return out.filter(alike & (F.col("simhash_similarity") >= simhash) if simhash is not None else alike)
+
+
+def _likeness(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """(a, b, simhash_similarity, minhash_similarity) of pairs of ids of distinct fingerprints."""
     full = pairs.join(one.select(F.col("id").alias("a"), F.col("simhash").alias("sa"), F.col("minhash").alias("ma")), "a").join(one.select(F.col("id").alias("b"), F.col("simhash").alias("sb"), F.col("minhash").alias("mb")), "b")
     sim = 1 - F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) / 64
     mh = F.size(F.filter(F.zip_with("ma", "mb", lambda p, q: p == q), lambda e: e)) / PERMUTATIONS
-    out = full.select("a", "b", sim.alias("simhash_similarity"), mh.alias("minhash_similarity")).unionByName(same)
-    alike = F.col("minhash_similarity") >= minhash
-    return out.filter(alike & (F.col("simhash_similarity") >= simhash) if simhash is not None else alike)
+    return full.select("a", "b", sim.alias("simhash_similarity"), mh.alias("minhash_similarity"))
+
+
+def similar_classes(prints: DataFrame, key: str, simhash: float | None = SIMHASH_ALIKE, minhash: float = MINHASH_ALIKE) -> DataFrame:
+    """(key, class_id: the smallest key of the class) of every row: classes are the connected components of similar pairs.
+
+    Equal fingerprints count as one. Fingerprints that agree in three of their four quarters are alike in at least 0.75 of
+    the places, so a group of them is tied to its smallest id in as many comparisons as it has members: these are the
+    near copies that would fill a band. A band then compares only members of different classes found so far; a band whose
+    members are all of one class, whatever its size, compares nothing. No link between classes is lost, since every pair
+    of different classes that shares a band is verified. Rows without a fingerprint are classes of their own."""
+    if minhash > 0.75:
+        raise ValueError("quarters tie what is 0.75 alike")
+    known = prints.filter("minhash is not null")
+    one = keep(known.groupBy("simhash", "minhash").agg(F.min(key).alias("id")), "distinct-prints")
+    fits = F.col("minhash_similarity") >= minhash
+    fits = fits & (F.col("simhash_similarity") >= simhash) if simhash is not None else fits
+    n = PERMUTATIONS // 4
+    quarters = F.array(*[F.xxhash64(F.lit(q), F.slice("minhash", 1, q * n), F.slice("minhash", (q + 1) * n + 1, PERMUTATIONS)) for q in range(4)])
+    cores = one.select("id", F.explode(quarters).alias("k"))
+    least = cores.groupBy("k").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    tied = cores.join(least, "k").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    tied = keep(_likeness(tied, one).filter(fits).select("a", "b"), "tied")
+    label = lambda links: one.select("id").join(components(links).select("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    band = F.array(*[F.xxhash64(F.lit(i), F.slice("minhash", a + 1, n)) for i, (a, n) in enumerate(bands(minhash))])
+    rows = one.select("id", F.explode(band).alias("k")).join(label(tied), "id")
+    some = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("k")
+    rows = keep(rows.join(some, "k"), "bands")  # bands where different classes meet
+    each = rows.select("k", "root").distinct()
+    meet = each.alias("x").join(each.alias("y"), F.expr("x.k = y.k and x.root < y.root")).select("x.k", F.col("x.root").alias("left"), F.col("y.root").alias("right"))
+    pairs = meet.join(rows.select("k", F.col("root").alias("left"), F.col("id").alias("a")), ["k", "left"]).join(rows.select("k", F.col("root").alias("right"), F.col("id").alias("b")), ["k", "right"])
+    found = _likeness(pairs.select("a", "b").distinct(), one).filter(fits).select("a", "b")
+    classes = label(keep(tied.unionByName(found), "links"))
+    named = known.join(one, ["simhash", "minhash"]).select(key, "id").join(classes, "id").select(key, "root")
+    return prints.select(key).join(named, key, "left").select(key, F.coalesce("root", key).alias("class_id")).distinct()
 
 
 def changed_duplicates(pairs: DataFrame, names: DataFrame, changed: DataFrame, key: str) -> DataFrame:

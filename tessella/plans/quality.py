@@ -88,6 +88,11 @@ def near_dup_simhash(spark, sf_dir):
     return duplicates.similar_pairs(prints, "doc_id")
 
 
+def near_dup_classes(spark, sf_dir):
+    prints = duplicates.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return duplicates.similar_classes(prints, "doc_id", simhash=None)
+
+
 def query_classify(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text"))
     return rows.select("conv_id", "turn", F.array_join(classify.query_classes(F.col("text")), ",").alias("classes"), F.size(classify.error_anchors(F.col("text"))).alias("errors"))
@@ -129,7 +134,7 @@ def html_link_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(links).alias("n_links"), F.array_join(links, " ").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, cosine_neighbours, embedding_reconcile, embedding_stale_ratio, retrieval_metrics, ab_compare, ab_guard, profile_selection, near_dup_minhash, near_dup_simhash, query_classify, identifier_fragments, intent_router, token_estimate, truncate_excerpt, best_chunk, html_link_extract)}
+QUERIES = {f.__name__: f for f in (cosine_topk, cosine_neighbours, embedding_reconcile, embedding_stale_ratio, retrieval_metrics, ab_compare, ab_guard, profile_selection, near_dup_minhash, near_dup_simhash, near_dup_classes, query_classify, identifier_fragments, intent_router, token_estimate, truncate_excerpt, best_chunk, html_link_extract)}
 
 TOK = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
 STATES = "d as (select doc_id, sha256(text) as sha from documents), k as (select case when doc_id % 10 = 3 then -doc_id - 1 else doc_id end as doc_id, case when doc_id % 7 = 0 then 'old' else sha end as sha from d), s as (select coalesce(d.doc_id, k.doc_id) as doc_id, case when d.sha is null then 'deleted' when k.sha is null or k.sha <> d.sha then 'pending' else 'fresh' end as state from d full outer join k on d.doc_id = k.doc_id)"
@@ -188,6 +193,7 @@ ORACLES = {
     "truncate_excerpt": "with r as (select doc_id, trim(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') as t from documents) select doc_id, case when length(t) <= 240 then t else rtrim(substring(t, 1, 239), ' ') || '…' end as excerpt from r",
     "best_chunk": f"with l as (select doc_id, unnest(string_split(text, chr(10))) as chunk, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents), s as (select doc_id, pos, chunk, len(list_intersect(list_distinct({TOK.format(c='chunk')}), ['the', 'and', 'der', 'die', 'que', 'de', 'license'])) as score from l) select doc_id, score, pos, strlen(chunk) as bytes, chunk from (select *, row_number() over (partition by doc_id order by score desc, pos) as r from s) where r = 1",
     "html_link_extract": "with l as (select page_id, list_sort(list_distinct(regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1))) as links from pages) select page_id, len(links) as n_links, array_to_string(links, ' ') as links from l",
+    "near_dup_classes": f"with recursive {PRINTS}, e as (select a, b from pair union select b, a from pair), r as (select doc_id as id, doc_id as root from documents union select e.b, r.root from r join e on e.a = r.id) select id as doc_id, min(root) as class_id from r group by id",
     "query_classify": CLASSES,
     "near_dup_minhash": f"with {PRINTS}, {LISTED} select a, b, minhash_similarity from listed",
     "near_dup_simhash": f"with {PRINTS}, {LISTED}, bits as (select doc_id, i, sum(case when (s >> i) & 1 = 1 then w else -w end) as v from num, range(64) r(i) group by doc_id, i), sim as (select l.a, l.b, 1 - count(*) filter (where (round(x.v, 9) >= 0) <> (round(y.v, 9) >= 0)) / 64.0::double as simhash_similarity, any_value(l.minhash_similarity) as minhash_similarity from listed l join bits x on x.doc_id = l.a join bits y on y.doc_id = l.b and x.i = y.i group by l.a, l.b) select * from sim where simhash_similarity >= 0.84",
