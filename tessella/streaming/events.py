@@ -36,6 +36,90 @@ def paired(opens: DataFrame, recalls: DataFrame, hours: int = 2) -> DataFrame:
     return a.join(b, F.expr(f"open_topic = topic and recall_at <= open_at and recall_at >= open_at - interval {hours} hours")).select("open_id", "recall_id", "topic", "open_at", "recall_at")
 
 
+def settled(opens: DataFrame, recalls: DataFrame, hours: int = 2, late: str = "10 minutes") -> DataFrame:
+    """Outer stream-stream join: every open (open_id, at, topic) with each recall (recall_id, at, topic) of the last
+    `hours`, or with null once none can come any more: an orphan. Rows later than `late` are dropped on both sides.
+
+    An open is kept until the watermark has passed it, a recall for `hours` longer; Spark emits the orphan when it drops
+    the open's state."""
+    a = opens.select("open_id", F.col("at").alias("open_at"), F.col("topic").alias("open_topic")).withWatermark("open_at", late)
+    b = recalls.select("recall_id", F.col("at").alias("recall_at"), "topic").withWatermark("recall_at", late)
+    met = a.join(b, F.expr(f"open_topic = topic and recall_at <= open_at and recall_at >= open_at - interval {hours} hours"), "left_outer")
+    return met.select("open_id", "open_at", F.col("open_topic").alias("topic"), "recall_id", "recall_at")
+
+
+#: Sessions that a coordinator remembers, and topics that a session remembers.
+MOST_SESSIONS, MOST_SEEN = 128, 64
+ANSWERED = "coordinator string, session string, request_id string, delivered array<string>, deduplicated boolean"
+
+
+def remembered(sessions: dict, request, most_sessions: int, most_seen: int) -> tuple[list[str], bool, list[str]]:
+    """(delivered topics, whether some were left out, sessions to forget) of one answered request; `sessions` maps a
+    session to (snapshot, touched, topics seen, oldest first) and is updated."""
+    snapshot, _, seen = sessions.get(request.session, (None, 0, []))
+    seen = list(seen) if snapshot in (None, request.snapshot) else []  # another snapshot: all may be told again
+    fresh = [t for t in request.topics if t not in seen]
+    sessions[request.session] = (request.snapshot, request.touched, (seen + fresh)[-most_seen:])
+    gone = []
+    while len(sessions) > most_sessions:
+        oldest = min((s for s in sessions if s != request.session), key=lambda s: (sessions[s][1], s))
+        gone.append(oldest)
+        del sessions[oldest]
+    return fresh, len(fresh) < len(request.topics), gone
+
+
+def resident_sessions(answers: DataFrame, idle: str = "30 minutes", late: str = "10 minutes", most_sessions: int = MOST_SESSIONS, most_seen: int = MOST_SEEN) -> DataFrame:
+    """Answers (coordinator, session, request_id, snapshot, at, topics: array, best first) of a stream, without the topics
+    that their session has been given: coordinator, session, request_id, delivered, deduplicated.
+
+    Each coordinator remembers its `most_sessions` latest sessions, and each of these its `most_seen` latest topics. A
+    session starts afresh when its snapshot changes, and when it has been idle (in event time, by a timer). Requests of a
+    micro-batch are taken in order of time and id. Needs the RocksDB state store."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    names = [c.strip().split(" ")[0] for c in ANSWERED.split(",")]
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.known = handle.getMapState("sessions", "session string", "snapshot string, touched long, seen array<string>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            pdf = pd.concat(list(rows))
+            pdf["touched"] = pdf["at"].astype("datetime64[ms]").astype("int64")
+            held = {k[0]: (v[0], v[1], list(v[2])) for k, v in self.known.iterator()}
+            before = set(held)
+            out, touched = [], set()
+            for r in pdf.sort_values(["touched", "request_id"]).itertuples():
+                old = held.get(r.session)
+                if old and r.touched - old[1] > wait:
+                    del held[r.session]
+                fresh, left_out, gone = remembered(held, r, most_sessions, most_seen)
+                touched = (touched | {r.session}) - set(gone)
+                out.append((key[0], r.session, r.request_id, fresh, left_out))
+            for s in touched:
+                self.known.updateValue((s,), held[s])
+                self.handle.registerTimer(int(held[s][1]) + wait + 1)
+            for s in before - set(held):
+                self.known.removeKey((s,))
+            yield pd.DataFrame(out, columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            due = expiredTimerInfo.getExpiryTimeInMs()
+            for k, v in list(self.known.iterator()):
+                if v[1] + wait < due:
+                    self.known.removeKey(k)
+            yield pd.DataFrame([], columns=names)
+
+        def close(self) -> None:
+            pass
+
+    rows = answers.withWatermark("at", late).groupBy("coordinator")
+    return rows.transformWithStateInPandas(Sessions(), ANSWERED, "Append", "EventTime")
+
+
 def session_dedup(stream: DataFrame, session: str, epoch: str, topic: str, most_topics: int = 64) -> DataFrame:
     """Rows whose topic is new to their session; a new epoch resets it, the newest `most_topics` are remembered.
 
