@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT = "schema string, event string, recorded_at timestamp, trace_id string, snapshot_id string, payload string"
@@ -12,10 +12,18 @@ UUID4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Physical lines: file, line (from 1), value. A file is one line-numbered unit, read whole by one task; logs are cut
-    by day, so a file stays small."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    return whole.filter("value <> ''").select("file", (F.col("pos") + 1).alias("line"), F.rtrim("value").alias("value"))
+    """Physical lines: file, line (from 1), value (without a carriage return at its end). Empty lines count but are left
+    out.
+
+    A file is read in splits by as many tasks as its size asks for. Each split numbers its own lines, in the order of the
+    rows it reads, and what the earlier splits of the file hold is added: one row a split meets in the prefix sum."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value")
+    splits = rows.groupBy("p", "at").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("p", "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # Within a split the ids rise by one a line, whatever else its task reads.
+    first = rows.groupBy("p", "at").agg(F.min("i").alias("first"))
+    return rows.join(before.join(first, ["p", "at"]), ["p", "at"]).filter("value not in ('', '\\r')").select("file", (F.col("before") + F.col("i") - F.col("first") + 1).alias("line"), F.regexp_replace("value", "\\r$", "").alias("value"))
 
 
 def read_events(spark: SparkSession, path: str, since: Column | None = None, until: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -40,8 +48,6 @@ def append_events(events: DataFrame, path: str) -> None:
 def expired_days(days: DataFrame, as_of: Column, keep_days: int = 30, cap: int = 20 * 1024 * 1024) -> DataFrame:
     """Retention over (day, bytes): the days to drop - older than keep_days, or beyond the newest `cap` bytes. A log has
     one row per day here, so one window over all of them is small."""
-    from pyspark.sql import Window
-
     running = F.sum("bytes").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0))
     return days.withColumn("running", running).filter((F.col("day") < F.date_sub(as_of, keep_days)) | (F.col("running") > cap)).select("day")
 

@@ -106,3 +106,24 @@ def test_snapshots(spark, tmp_path):
     spark.range(5).withColumn("x", F.lit("z")).write.mode("overwrite").parquet(str(tmp_path / "snapshots" / third / "t"))
     where, tables = store.read()
     assert where == "previous" and tables["t"].count() == 11
+
+
+def test_physical_lines_of_files_in_many_splits(spark, tmp_path):
+    """Numbers equal a plain read, whatever the splits: empty lines, carriage returns, long lines, no last line break."""
+    from tessella.sources import logs
+
+    files = {"a.jsonl": "x\n\ny\r\n" + "".join(f"line {i} {'z' * (i % 97)}\n" + "\n" * (i % 13 == 0) for i in range(4000)), "b.jsonl": "one\ntwo", "c.jsonl": "", "d.jsonl": "\n\n\r\nlast\n", "e.jsonl": "q" * 30_000 + "\nend\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = {(n, i + 1, v.removesuffix("\r")) for n, t in files.items() for i, v in enumerate(t.split("\n")) if v not in ("", "\r")}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = logs.lines(spark, str(tmp_path))
+        got = [(r.file, r.line, r.value) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert len(got) == len(want) and set(got) == want
+    assert {(r.file, r.line, r.value) for r in logs.lines(spark, str(tmp_path)).collect()} == want
