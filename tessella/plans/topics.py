@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import compile as compiler
-from tessella.operators import planner, ranker
+from tessella.operators import planner, ranker, runtime, vectors
 from tessella.scratch import scratch_dir
 from tessella.session import table
 
@@ -84,6 +84,24 @@ def plan_counts(spark, sf_dir):
     return planner.channel_counts(planner.all_lanes(*_asks(spark, sf_dir)))
 
 
+def _answers(spark, sf_dir):
+    """What an embedding adapter says of the asked queries: the vector of the same number stands for each."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    queries = asked(spark).join(rows, F.col("query_id") == F.col("vec_id")).select("query_id", "vector")
+    found = vectors.cosine_top_k(queries, rows.withColumnRenamed("vec_id", "doc_id"), 100).withColumnRenamed("rank", "position")
+    return found.join(runtime.invalid_candidates(found).select("query_id", "position"), ["query_id", "position"], "left_anti").withColumn("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
+
+
+def lane_embedding(spark, sf_dir):
+    return planner.embedding_lane(_answers(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
+
+
+def embedding_weighted(spark, sf_dir):
+    """The ranking with the embedding lane in `weighted` mode."""
+    rows = ranker.rank(asked(spark), tables_of(spark, sf_dir), _answers(spark, sf_dir), ranker.CHANNEL_WEIGHTS | {"embedding": 4})
+    return rows.filter("rank <= 10").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 def query_analysis(spark, sf_dir):
     asks, _ = _asks(spark, sf_dir)
     join = lambda c: F.array_join(c, ",")
@@ -154,7 +172,7 @@ def compile_actions(spark, sf_dir):
     return compiler.plan(now, tables_of(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (query_analysis, lane_exact, lane_bm25f, lane_ngram, lane_fuzzy, lane_graph, plan_counts, ranked_features, candidate_conflicts, ranked_candidates, feature_score, confidence_abstain, ranked_explanations, ranked_answers, compiled_exact_map, compiled_graph, reverse_dependencies, compiled_terms, compile_actions)}
+QUERIES = {f.__name__: f for f in (query_analysis, lane_embedding, embedding_weighted, lane_exact, lane_bm25f, lane_ngram, lane_fuzzy, lane_graph, plan_counts, ranked_features, candidate_conflicts, ranked_candidates, feature_score, confidence_abstain, ranked_explanations, ranked_answers, compiled_exact_map, compiled_graph, reverse_dependencies, compiled_terms, compile_actions)}
 
 
 def _sql_list(values) -> str:
@@ -281,6 +299,7 @@ _WITH = f"with {_base()}"
 ORACLES = {
     "query_analysis": _WITH + " select query_id, array_to_string(classes, ',') as classes, array_to_string(paths, ',') as paths, array_to_string(ids, ',') as identifiers, array_to_string(errors, ',') as errors, array_to_string(frags, ',') as fragments, array_to_string(list_sort(toks), ',') as tokens from q",
     **{f"lane_{n}": f"{_WITH}, {_lanes()} {_SHOWN.format(name=n)}" for n in ("exact", "bm25f", "ngram", "fuzzy", "graph")},
+    "lane_embedding": f"{_WITH}, c as (select q.query_id, 'doc_' || b.vec_id as doc_id, round(greatest(0, least(1, (list_cosine_similarity(a.embedding::double[], b.embedding::double[]) + 1) / 2)), 6) as score, b.vec_id, row_number() over (partition by q.query_id order by round((list_cosine_similarity(a.embedding::double[], b.embedding::double[]) + 1) / 2, 9) desc, b.vec_id) as n from q join embeddings a on a.vec_id = q.query_id, embeddings b), r as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from c where n <= 100) select * from r where rank <= {planner.PER_LANE}",
     "plan_counts": f"{_WITH}, {_lanes()} select query_id, " + ", ".join(f"count(*) filter (where channel = '{c}') as {c}" for c in planner.CHANNELS) + ", count(distinct doc_id) as documents from lanes group by query_id",
     "ranked_features": f"{_WITH}, {_lanes()}, {_rank()} select query_id, doc_id, round(rrf, 6) as rrf, " + ", ".join(f"round({f}, 6) as {f}" for f in ranker.WEIGHTS) + " from ft",
     "candidate_conflicts": f"{_WITH}, {_lanes()}, {_rank()} select * from cf",
