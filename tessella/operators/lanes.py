@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import ascii_tokens, character_trigrams, edit_budget, edit_keys, edit_lookups, ngrams, path_suffixes
-
 from tessella.scratch import parallel
 
 
