@@ -5,7 +5,7 @@ read from an index (operators/index.py), built from the fields where none is giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import concepts, tokenizer
 from tessella.functions.text import ascii_tokens
-from tessella.operators import fusion, index
+from tessella.operators import containment, fusion, index
+from tessella.scratch import keep
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,7 @@ PER_CONCEPT = 4
 ACCEPT = {"body_coverage": 0.45, "anchor_terms": 1, "anchor_coverage": 0.34, "anchor_score": 7, "concepts": 2, "concept_score": 12, "terms": 5, "term_coverage": 0.24, "term_score": 20}
 #: Fixed value: what makes a query without white space an identifier.
 IDENTIFIER = r"[._:/\\-]|[a-z][A-Z]|\d"
-#: Queries that are looked for as they stand in one pass over the field values.
+#: So many queries, at most, are looked for as they stand in one pass over the field values.
 BLOCK = 256
 
 
@@ -65,32 +66,23 @@ def build(fields: DataFrame, specs: Mapping[str, Field] = FIELDS, tokenize=token
     return index.build(held, "doc_id", {f: F.col(f"`{f}`") for f in specs}, tokenize)
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    rows = []
-    for r in queries.select("query_id", "q").orderBy("query_id").toLocalIterator():
-        rows.append(r)
-        if len(rows) == BLOCK:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
-
-
 def exact_fields(fields: DataFrame, queries: DataFrame, specs: Mapping[str, Field] = FIELDS) -> DataFrame:
     """(query_id, doc_id, exact: fields): where a value holds the whole normalized query, or a path's or test's last part,
-    or a symbol's, is the query. A stated query set against all values: each block of queries is a constant of one pass
-    over them, so nothing is joined. (A query within a value covers the equality of a part of it.)"""
+    or a symbol's, is the query. (A query within a value covers the equality of a part of it.)
+
+    Up to BLOCK queries are a constant of one pass over the values, so nothing is joined; more of them meet the values that
+    hold their rarest run of characters (operators/containment.py). Both give the same rows."""
     values = fields.filter(F.col("field").isin(list(specs))).select("doc_id", "field", tokenizer.normalized(F.col("value")).alias("v"))
     asked = queries.select("query_id", tokenizer.normalized(F.col("query")).alias("q")).filter("q <> ''")
-    kind = queries.schema["query_id"].dataType.simpleString()
-    out = None
-    for rows in _blocks(asked):
-        block = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.lit(r["q"]).alias("q")) for r in rows])
-        part = values.select("doc_id", "field", F.explode(F.filter(block, lambda x: F.contains(F.col("v"), x["q"]))).alias("x")).select(F.col("x.query_id").alias("query_id"), "doc_id", "field")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = fields.select(F.lit(None).cast(kind).alias("query_id"), "doc_id", "field").limit(0)
-    return out.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("field")).alias("exact"))
+    few = asked.limit(BLOCK + 1).collect()
+    if len(few) > BLOCK:
+        asked = keep(asked, "asked")
+        found = containment.holding(values, "v", asked, "q").select("query_id", "doc_id", "field")
+    else:
+        kind = queries.schema["query_id"].dataType.simpleString()
+        block = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.lit(r["q"]).alias("q")) for r in few]).cast(f"array<struct<query_id:{kind},q:string>>")
+        found = values.select("doc_id", "field", F.explode(F.filter(block, lambda x: F.contains(F.col("v"), x["q"]))).alias("x")).select(F.col("x.query_id").alias("query_id"), "doc_id", "field")
+    return found.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("field")).alias("exact"))
 
 
 def score(fields: DataFrame, queries: DataFrame, specs: Mapping[str, Field] = FIELDS, generic=None, stored: Mapping[str, DataFrame] | None = None, tokenize=None) -> DataFrame:
