@@ -1,4 +1,4 @@
-"""What surrounds a recall: event producers, read decisions, activation, caches, path resolvers and embedding adapters."""
+"""What surrounds a recall: read decisions, activation, caches, path resolvers and embedding adapters."""
 
 from __future__ import annotations
 
@@ -39,16 +39,6 @@ def activation(states: DataFrame, guard: DataFrame, requested: str, force: bool
     return row.select(mode.alias("mode"), reason.alias("reason"))
 
 
-def recall_events(results: DataFrame, surface: str, at: Column) -> DataFrame:
-    """Event rows of recalls from (trace_id, query_id, class, rank, topic; topic null where it abstained)."""
-    return results.groupBy("trace_id", "query_id").agg(F.sort_array(F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("rank", "topic")))).alias("t"), F.first("class").alias("query_class")).select(F.lit("recall.completed").alias("event"), at.alias("recorded_at"), "trace_id", "query_id", F.lit(surface).alias("surface"), "query_class", (F.size("t") == 0).alias("abstained"), F.when(F.size("t") == 0, F.lit("no-trusted-candidate")).alias("abstain_reason"), F.transform("t", lambda x: x["topic"]).alias("returned_topics"))
-
-
-def consumption_events(opens: DataFrame, pairs: DataFrame, at: Column) -> DataFrame:
-    """Consumed events of opens (open_id, topic) that are paired with a recall (open_id, recall_id)."""
-    return opens.join(pairs.filter("recall_id is not null"), "open_id").select(F.lit("recall.consumed").alias("event"), at.alias("recorded_at"), F.col("recall_id").alias("trace_id"), F.array("topic").alias("topics"))
-
-
 def missing_vectors(queries: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """(cache_key, query) of queries whose vector is not in the cache (cache_key) yet."""
     keyed = queries.select(F.sha2(F.concat_ws("\n", F.lit(model), F.sha2(F.lower(F.trim("query")), 256)), 256).alias("cache_key"), "query").dropDuplicates(["cache_key"])

@@ -22,14 +22,7 @@ def test_activation(spark):
     assert get(old, safe, "weighted") == ("off", "vectors-stale") and get(fresh, safe, "off")[0] == "off"
 
 
-def test_events_and_caches(spark):
-    at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    rows = spark.createDataFrame([("t1", 1, ["path"], 2, "b"), ("t1", 1, ["path"], 1, "a"), ("t2", 2, ["natural"], None, None)], "trace_id string, query_id int, class array<string>, rank int, topic string")
-    got = {r.trace_id: r for r in runtime.recall_events(rows, "cli", at).collect()}
-    assert got["t1"].returned_topics == ["a", "b"] and not got["t1"].abstained and got["t2"].abstained and got["t2"].returned_topics == []
-    opens = spark.createDataFrame([(1, "a"), (2, "b")], "open_id int, topic string")
-    pairs = spark.createDataFrame([(1, 9), (2, None)], "open_id int, recall_id int")
-    assert [(r.trace_id, r.topics) for r in runtime.consumption_events(opens, pairs, at).collect()] == [(9, ["a"])]
+def test_caches(spark):
     asked = spark.createDataFrame([("A b",), ("a b ",), ("c",)], "query string")
     todo = runtime.missing_vectors(asked, spark.createDataFrame([], "cache_key string"), "m")
     assert todo.count() == 2 and runtime.missing_vectors(asked, todo, "m").count() == 0 and runtime.missing_vectors(asked, todo, "other").count() == 2
