@@ -80,10 +80,22 @@ def reconcile(corpus: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def staleness(states: DataFrame, limit: float = 0.2) -> DataFrame:
-    """One row: total, stale, ratio (null over nothing) and whether the channel degrades."""
+    """One row: total, stale, ratio (null over nothing) and whether the channel degrades, as it does over nothing."""
     stale = F.count_if(F.col("state") != "fresh")
     share = ratio(stale, F.count(F.lit(1)))
-    return states.agg(F.count(F.lit(1)).alias("total"), stale.alias("stale"), F.round(share, 6).alias("stale_ratio"), F.coalesce(share > limit, F.lit(False)).alias("degraded"))
+    return states.agg(F.count(F.lit(1)).alias("total"), stale.alias("stale"), F.round(share, 6).alias("stale_ratio"), F.coalesce(share > limit, F.lit(True)).alias("degraded"))
+
+
+def allowed(states: DataFrame, stored: DataFrame, dimensions: int) -> DataFrame:
+    """(doc_id) that an embedding channel may answer with: fresh documents whose stored vector (doc_id, dimensions) has as
+    many dimensions as the queries' vectors."""
+    fit = stored.filter(F.col("dimensions") == dimensions).select("doc_id").distinct()
+    return states.filter("state = 'fresh'").select("doc_id").join(fit, "doc_id")
+
+
+def outside(answers: DataFrame, allowed_ids: DataFrame) -> DataFrame:
+    """Answers (query_id, doc_id, ...) with documents that are not allowed: their channel degrades."""
+    return answers.join(allowed_ids.select("doc_id"), "doc_id", "left_anti")
 
 
 def similarity(score: Column) -> Column:

@@ -119,3 +119,13 @@ def test_classes_and_intents(spark):
 def test_text_helpers(spark):
     r = spark.createDataFrame([("  a\n b  " + "x" * 20, "a/b/c.py", "日本 abcde")], "t string, p string, w string").select(text.truncate(F.col("t"), 10).alias("t"), text.path_suffixes(F.col("p")).alias("p"), text.token_estimate(F.col("w")).alias("w"), text.redact(F.lit("use sk-abcdefgh1234 now")).alias("r")).first()
     assert r.t == "a b xxxxx…" and r.p == ["a/b/c.py", "b/c.py", "c.py"] and r.w == 2 + 2 and r.r == "use [redacted] now"
+
+
+def test_allowed_answers_of_an_embedding_channel(spark):
+    states = spark.createDataFrame([(1, "fresh"), (2, "pending"), (3, "fresh"), (4, "fresh"), (5, "deleted")], "doc_id int, state string")
+    stored = spark.createDataFrame([(1, 8), (1, 8), (2, 8), (3, 4), (5, 8)], "doc_id int, dimensions int")
+    fit = vectors.allowed(states, stored, 8)
+    assert [r.doc_id for r in fit.collect()] == [1]
+    answers = spark.createDataFrame([(9, 1), (9, 3), (9, 77)], "query_id int, doc_id int")
+    assert sorted(r.doc_id for r in vectors.outside(answers, fit).collect()) == [3, 77]
+    assert tuple(vectors.staleness(states).first()) == (5, 2, 0.4, True) and tuple(vectors.staleness(states.limit(0)).first()) == (0, 0, None, True)
