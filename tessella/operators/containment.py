@@ -1,8 +1,9 @@
 """Substring joins: which values hold a whole query, for query sets of any size and values of any length.
 
 Every query owns the runs of g characters in it (g: the largest of SIZES that fits), and a value that holds the query
-holds each of these. Values are cut into their runs once, only runs that some query owns are kept, and each query meets the
-values that hold its rarest run; those are verified by the whole query."""
+holds each of these. Values are cut into their runs once and only runs that some query owns are kept; a map of bounded
+size tells most others apart before anything is shuffled. Each query meets the values that hold its rarest run; those are
+verified by the whole query."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from tessella.scratch import keep
 SIZES = (1, 2, 4, 8, 16)
 #: Characters of the pieces in which a long value is cut into runs: a task holds one piece's runs at a time.
 PIECE = 1024
+#: Words of 64 bits in the map of runs that some query owns: it is sent to all tasks, and never larger than this.
+WORDS = 1 << 20
 
 
 def pieces(text: Column, piece: int = PIECE) -> Column:
@@ -23,8 +26,23 @@ def pieces(text: Column, piece: int = PIECE) -> Column:
 
 
 def runs(text: Column, size: int) -> Column:
-    """The distinct runs of `size` characters of a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    """The runs of `size` characters of a text, one from each place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _place(run: Column) -> tuple[Column, Column]:
+    """Word and bit of a run in the map."""
+    h = F.xxhash64(run)
+    return F.pmod(h, F.lit(WORDS)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int")
+
+
+def _perhaps(each: DataFrame, owned: DataFrame) -> DataFrame:
+    """Rows whose _run may be one of `owned`, before anything is shuffled: a map of WORDS words, whatever the number of
+    runs. It keeps every run that is owned, and others by chance."""
+    word, bit = _place(F.col("_run"))
+    marks = owned.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
+    placed = each.withColumn("_word", word).withColumn("_bit", bit)
+    return placed.join(F.broadcast(marks), "_word").filter(F.expr("shiftright(_mask, _bit) & 1L") == 1).drop("_word", "_bit", "_mask")  # WORDS rows at most
 
 
 def run_size(query: Column) -> Column:
@@ -48,11 +66,11 @@ def holding(values: DataFrame, value: str, queries: DataFrame, query: str) -> Da
     own = F.lit(None).cast("array<string>")
     for size in sizes:
         own = F.when(F.col("_size") == size, runs(F.col("_q"), size)).otherwise(own)
-    owned = keep(asked.select("_q", F.explode(own).alias("_run")), "owned-runs")
+    owned = keep(asked.select("_q", F.explode(F.array_distinct(own)).alias("_run")), "owned-runs")
     # Equal values share a key; what two unlike values of one key have in common is verified like all else.
     cut = values.select(F.xxhash64(value).alias("_v"), F.explode(pieces(F.col(value))).alias("_piece"))
     each = cut.select("_v", F.explode(F.concat(*[runs(F.col("_piece"), size) for size in sizes])).alias("_run"))
-    held = keep(each.join(owned.select("_run").distinct(), "_run", "left_semi").distinct(), "held-runs")
+    held = keep(_perhaps(each, owned).distinct().join(owned.select("_run").distinct(), "_run", "left_semi"), "held-runs")
     met = owned.join(held.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")), "_run", "left")
     rarest = met.groupBy("_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_run").alias("run"))).alias("_least"))
     rarest = rarest.filter("_least.n > 0").select("_q", F.col("_least.run").alias("_run"))
