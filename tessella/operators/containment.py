@@ -70,7 +70,8 @@ def holding(values: DataFrame, value: str, queries: DataFrame, query: str) -> Da
     # Equal values share a key; what two unlike values of one key have in common is verified like all else.
     cut = values.select(F.xxhash64(value).alias("_v"), F.explode(pieces(F.col(value))).alias("_piece"))
     each = cut.select("_v", F.explode(F.concat(*[runs(F.col("_piece"), size) for size in sizes])).alias("_run"))
-    held = keep(_perhaps(each, owned).distinct().join(owned.select("_run").distinct(), "_run", "left_semi"), "held-runs")
+    # An inner join with distinct runs: the optimizer would move a semi join below the distinct, and shuffle every place.
+    held = keep(_perhaps(each, owned).distinct().join(owned.select("_run").distinct(), "_run"), "held-runs")
     met = owned.join(held.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")), "_run", "left")
     rarest = met.groupBy("_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_run").alias("run"))).alias("_least"))
     rarest = rarest.filter("_least.n > 0").select("_q", F.col("_least.run").alias("_run"))
