@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import tokenizer
 from tessella.functions.text import ascii_tokens
+from tessella.scratch import parallel
 from tessella.session import table
 
 #: Where the 26 letters that stand for a to z begin in each script; Arabic skips what is no letter.
@@ -28,10 +29,8 @@ def script_tokens(spark, sf_dir):
     """(doc_id, script, profile, tokens, distinct_tokens, digest) of all documents under all profiles; the digest is that of
     the sorted distinct tokens."""
     d = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select(d, _written(F.col("text"), d).alias("t"))
-    held = rows.select("doc_id", tokenizer.script(F.col("t")).alias("script"), *[tokenizer.tokens(F.col("t"), p).alias(p) for p in tokenizer.PROFILES])
-    each = held.select("doc_id", "script", F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.col(f"`{p}`").alias("t")) for p in tokenizer.PROFILES])).alias("x")).select("doc_id", "script", "x.*")
-    return each.select("doc_id", "script", "profile", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"), F.sha2(F.array_join(F.array_sort(F.array_distinct("t")), " "), 256).alias("digest"))
+    rows = parallel(table(spark, sf_dir, "documents")).select(d, _written(F.col("text"), d).alias("t"))
+    return rows.select("doc_id", tokenizer.script(F.col("t")).alias("script"), F.explode(tokenizer.summaries(F.col("t"))).alias("x")).select("doc_id", "script", "x.*")
 
 
 QUERIES = {f.__name__: f for f in (script_tokens,)}

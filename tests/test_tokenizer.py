@@ -34,3 +34,23 @@ def test_columns(spark):
     for i, x in enumerate(texts):
         assert got[i].t == t.tokenize(x) and got[i].n == (None if x is None else t.normalize(x))
     assert got[3].s == "Thai" and got[4].s == "Latin" and got[1].s is None
+
+
+def test_summaries_are_those_of_each_profile():
+    import hashlib
+
+    texts = [None, "", "a b1 src/Main.py fooBar", "Straße straße ﬁn café ÆON 9é", "λόγος ΣΊΣΥΦΟΣ", "กำลัง ไทย ທຳ", "漢字かな 漢字 カナ漢", "한국어 각ᆨ 가", "שלום ארץ", "آب أَبٌ", "ми ж мир й", "नमस्ते क्षि", "éä x‍y"]
+    for text in texts + [" ".join(x or "" for x in texts)]:
+        got = t.summarize(text, list(t.PROFILES.values()))
+        for row, p in zip(got, t.PROFILES.values(), strict=True):
+            all_of = t.tokenize(text, p)
+            assert row == {"profile": p.name, "tokens": len(all_of), "distinct_tokens": len(set(all_of)), "digest": hashlib.sha256(" ".join(sorted(set(all_of))).encode()).hexdigest()}
+
+
+def test_words_have_the_graphemes_and_scripts_of_their_characters():
+    import regex
+
+    for word in ["กำลัง", "한국어", "각ᆨ", "가", "नमस्ते", "éa", "漢字", "ทำ", "🇩🇪🇫🇷", "ab‍c", "ൎക"]:
+        parts = regex.findall(r"\X", word)
+        assert t.graphemes(word, (2, 3)) == ["".join(parts[i : i + n]) for n in (2, 3) for i in range(len(parts) - n + 1)]
+    assert [t.script_of(w) for w in ("aΩ", "漢か", "a漢", "ж", "9", "ᚠ")] == ["Greek", "Japanese", "Han", "Cyrillic", None, None]
