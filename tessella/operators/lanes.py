@@ -17,8 +17,8 @@ def exact_matches(anchors: DataFrame, entries: DataFrame) -> DataFrame:
 def suffix_matches(queries: DataFrame, paths: DataFrame) -> DataFrame:
     """Pairs (query_id, doc_id) where one path is the other or ends with a slash and the other. Equi-joins on suffixes
     take the place of the theta join."""
-    q = queries.select("query_id", F.array_join(F.filter(F.split("path", "/"), lambda x: x != ""), "/").alias("whole"), path_suffixes(F.col("path")).alias("parts"))
-    d = paths.select("doc_id", F.array_join(F.filter(F.split("path", "/"), lambda x: x != ""), "/").alias("whole"), path_suffixes(F.col("path")).alias("parts"))
+    q = queries.select("query_id", F.col("path").alias("whole"), path_suffixes(F.col("path")).alias("parts"))
+    d = paths.select("doc_id", F.col("path").alias("whole"), path_suffixes(F.col("path")).alias("parts"))
     longer = d.select("doc_id", F.explode("parts").alias("whole")).join(q.filter("whole <> ''").select("query_id", "whole"), "whole")
     shorter = q.select("query_id", F.explode("parts").alias("whole")).join(d.filter("whole <> ''").select("doc_id", "whole"), "whole")
     return longer.select("query_id", "doc_id").unionByName(shorter.select("query_id", "doc_id")).distinct()
