@@ -46,7 +46,7 @@ def topics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tables_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The stored snapshot of these topics, compiled where the documents have changed."""
-    return compiler.open_index(spark, f"{scratch_dir(spark)}/topics", [f"{sf_dir}/documents.parquet"], lambda: compiler.whole(topics_of(spark, sf_dir)))
+    return compiler.open_index(spark, f"{scratch_dir(spark)}/topics", [f"{sf_dir}/documents.parquet"], compiler.makers(topics_of(spark, sf_dir)))
 
 
 def _asks(spark, sf_dir):

@@ -142,3 +142,25 @@ def test_best_excerpts_shuffle_no_lines(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, "a b"), (1, 2, "a x"), (1, 5, "B; b"), (2, 1, "b c"), (2, 2, "c")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "line" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
+
+
+def test_paths_are_compared_as_they_stand(spark):
+    """A trailing slash is part of a path: SQL's ends_with does not strip it."""
+    paths = spark.createDataFrame([(1, "en/1837/"), (2, "en/1837"), (3, "1837"), (4, "a//1837"), (5, "7"), (6, ""), (7, "/1837")], "doc_id int, path string")
+    asked = spark.createDataFrame([(1, "1837"), (2, "x/7"), (3, ""), (4, "/1837"), (5, "1837/")], "query_id int, path string")
+    want = [(q.query_id, d.doc_id) for q in asked.collect() for d in paths.collect() if q.path and d.path and (d.path == q.path or d.path.endswith("/" + q.path) or q.path.endswith("/" + d.path))]
+    assert sorted(map(tuple, lanes.suffix_matches(asked, paths).collect())) == sorted(want)
+
+
+def test_a_stored_index_scores_as_the_texts_do(spark):
+    """Postings are brought together by document, so the pairs of queries and documents are not shuffled."""
+    from tessella.operators import index
+
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} common common{i}") for i in range(30)] + [(99, None)], "doc_id int, text string")
+    queries = spark.createDataFrame([(1, "w1 common"), (2, "w2 w4 common7"), (3, "none")], "query_id int, query string")
+    fields, weights = {"body": F.col("text")}, {"body": (1.0, 0.4)}
+    stored = {k: v.cache() for k, v in index.build(docs, "doc_id", fields).items()}
+    found = index.bm25f_stored(stored, "doc_id", weights, queries)
+    rows = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9), r.matched) for r in df.collect())
+    assert rows(found) == rows(index.bm25f(docs, "doc_id", fields, weights, queries))
+    assert "Exchange hashpartitioning(query_id" not in found._jdf.queryExecution().toString()
