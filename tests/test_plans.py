@@ -44,3 +44,13 @@ def test_retrieval_reads_stored_postings_by_term(spark):
         plan = explained(registry.queries()[name](spark, SF))
         assert "In(term, [" in plan, name
         assert "documents.parquet" not in plan and "text:string" not in plan, name
+
+
+def test_ab_compare_expects_documents_in_other_case(spark, tmp_path):
+    from tessella.functions.text import ascii_tokens
+    from tessella.plans import quality
+
+    spark.createDataFrame([(0, "One two three four five six seven eight")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "x one, two THREE four five six y"), (2, "One two three four five six"), (3, "one two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.expected for r in quality._expected(spark, str(tmp_path), ascii_tokens).collect()) == [1, 2]
+    assert sorted(r.expected for r in quality._expected(spark, str(tmp_path)).collect()) == [2]
