@@ -150,7 +150,7 @@ def graph_lane(exact: DataFrame, tables: Mapping[str, DataFrame], limit: int = P
     far = shared.join(both.select(F.col("src").alias("via"), F.col("dst").alias("target"), "kind"), "via").filter("target like 'topic:%' and target <> src").select(near.columns)
     target = F.expr("substring(target, 7)")
     found = near.unionByName(far).dropDuplicates(["query_id", "seed", "target", "kind", "via"]).withColumn("doc_id", target)
-    found = found.join(seeds.select("query_id", F.col("seed").alias("doc_id")), ["query_id", "doc_id"], "left_anti").join(tables["documents"].select("doc_id"), "doc_id", "left_semi")
+    found = found.join(seeds.select("query_id", F.col("seed").alias("doc_id")), ["query_id", "doc_id"], "left_anti").join(tables["ids"], "doc_id", "left_semi")
     value = F.concat("seed", F.lit("->"), "doc_id", F.lit(" via "), "via")
     rows = found.select("query_id", "doc_id", (_pick(EDGES, 0, F.col("kind"), 0.5) / F.col("at")).alias("score"), F.array(F.concat(F.lit("graph:"), "kind")).alias("fields"), F.array("seed").alias("terms"), _evidence(F.col("kind"), value), _pick(EDGES, 1, F.col("kind"), 0.0).alias("strength"))
     return ranked(rows, "graph", limit)
