@@ -39,6 +39,9 @@ EDGES = {"wiki-link": (1.0, 1.0), "supersedes": (0.95, 0.95), "authority-doc": (
 PART_OF_QUERY = 0.25
 #: Fragments too common to match by.
 GENERIC_FRAGMENTS = ("file", "files", "lib", "script", "scripts", "source", "spec", "src", "test", "tests")
+#: Batches of up to this many distinct fragments are compared with every indexed one, in one pass and without their keys; more
+#: of them are looked up by keys. Both ways give the same rows.
+COMPARED = 64
 #: Similarity of trigrams, and shortest triggers that are looked for within a query (Han: characters).
 LEAST_DICE, LEAST_SHARED, SHORTEST_TRIGGER, SHORTEST_HAN = 0.45, 2, 4, 2
 
@@ -126,11 +129,14 @@ def ngram_lane(asks: DataFrame, tables: Mapping[str, DataFrame], limit: int = PE
 
 def fuzzy_lane(asks: DataFrame, tables: Mapping[str, DataFrame], limit: int = PER_LANE) -> DataFrame:
     some = _open(asks).filter(F.arrays_overlap("classes", F.array(F.lit("identifier"), F.lit("path"), F.lit("error"))))
-    words = some.select("query_id", F.explode(F.slice("fragments", 1, MOST_FRAGMENTS)).alias("word")).withColumn("k", edit_budget(F.col("word")))
-    words = keep(words, "words")
-    asked = words.select("word", F.explode(edit_lookups(F.col("word"))).alias("term")).distinct()
-    near = index.matching(tables["near"], asked).join(asked, "term").select("word", "fragment").distinct().withColumn("d", F.levenshtein("word", "fragment"))
-    found = words.join(near, "word").filter((F.col("d") > 0) & (F.col("d") <= F.col("k"))).join(tables["fuzzy"], "fragment")
+    words = keep(some.select("query_id", F.explode(F.slice("fragments", 1, MOST_FRAGMENTS)).alias("word")).withColumn("k", edit_budget(F.col("word"))), "words")
+    if words.select("word").distinct().limit(COMPARED + 1).count() <= COMPARED:
+        apart = F.levenshtein("word", "fragment", 2)  # two is the largest budget; -1 beyond it
+        found = tables["fuzzy"].join(F.broadcast(words), (apart > 0) & (apart <= F.col("k"))).withColumn("d", apart)
+    else:
+        asked = words.select("word", F.explode(edit_lookups(F.col("word"))).alias("term")).distinct()
+        near = index.matching(tables["near"], asked).join(asked, "term").select("word", "fragment").distinct().withColumn("d", F.levenshtein("word", "fragment"))
+        found = words.join(near, "word").filter((F.col("d") > 0) & (F.col("d") <= F.col("k"))).join(tables["fuzzy"], "fragment")
     alike = 1 - F.col("d") / F.greatest(F.length("word"), F.length("fragment"))
     rows = found.select("query_id", F.explode("documents").alias("doc_id"), (alike * _pick(KINDS, 0, F.col("kind"), 1)).alias("score"), F.array(_pick(KINDS, 1, F.col("kind"), "")).alias("fields"), F.array("word", "fragment").alias("terms"), _evidence("edit-distance", F.concat(F.col("word"), F.lit("~"), F.col("fragment"), F.lit(":"), F.col("d").cast("string"))), alike.alias("strength"))
     return ranked(rows, "fuzzy", limit)
