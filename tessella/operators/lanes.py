@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +56,68 @@ def fuzzy_matches(words: DataFrame, terms: DataFrame) -> DataFrame:
     return found.filter((F.col("distance") > 0) & (F.col("distance") <= edit_budget(F.col("word")))).select("word", "term", "distance")
 
 
-#: Characters of a query that are read at a time.
-CHUNK = 256
+#: So many triggers, of so many characters in all and so many of them without an ASCII letter or digit, travel to the queries
+#: at most.
+CARRIED, CARRIED_CHARACTERS, CARRIED_BARE = 100_000, 8_000_000, 256
 
 
 def delimited(queries: DataFrame, triggers: DataFrame, text: str = "normalized") -> DataFrame:
     """(query_id, text): triggers that a query holds between characters other than ASCII letters and digits.
 
+    Up to CARRIED triggers travel to the queries, and each query is searched where it is read; more of them meet the heads of
+    the queries' parts in a join. Both ways give the same rows; only so many triggers reach the driver. Empty triggers are never found."""
+    known = triggers.filter(F.length(text) > 0).select(text).distinct()
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text).cast("long")).alias("characters"), F.count_if(~F.col(text).rlike("[a-z0-9]")).alias("bare")).first()
+    if size["n"] > CARRIED or (size["characters"] or 0) > CARRIED_CHARACTERS or size["bare"] > CARRIED_BARE:
+        return delimited_by_heads(queries, triggers, text)
+    few = [r[0] for r in known.collect()]
+    rows = parallel(queries.filter(F.length(text) > 0)).select("query_id", text)
+    return rows.mapInArrow(lambda batches: _delimited_batches(batches, few), f"query_id {rows.schema['query_id'].dataType.simpleString()}, `{text}` string").distinct()
+
+
+def _delimited_batches(batches: Iterator[pa.RecordBatch], triggers: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of a key and a text to those of the key and each trigger that the text holds.
+
+    A run of ASCII letters and digits in a trigger is a whole run of any text that holds it, so a trigger is looked for where
+    all its runs are; it is found by its longest. Those without any are looked for in every text."""
+    runs, inner = re.compile("[a-z0-9]+"), re.compile("[a-z0-9]")
+    by_run: dict[str, list[tuple[str, frozenset[str]]]] = {}
+    bare = []
+    for t in triggers:
+        found = frozenset(runs.findall(t))
+        if found:
+            by_run.setdefault(max(found, key=lambda r: (len(r), r)), []).append((t, found))
+        else:
+            bare.append(t)
+
+    def holds(text: str, t: str) -> bool:
+        at = text.find(t)
+        while at >= 0:
+            end = at + len(t)
+            if not (at and inner.match(text, at - 1)) and not inner.match(text, end):
+                return True
+            at = text.find(t, at + 1)
+        return False
+
+    for batch in batches:
+        rows, out = [], []
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            held = set(runs.findall(text))
+            found = [t for t in bare if holds(text, t)]
+            for run in held & by_run.keys():
+                found += [t for t, needed in by_run[run] if needed <= held and holds(text, t)]
+            rows += [row] * len(found)
+            out += found
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.string())], batch.schema.names)
+
+
+#: Characters of a query that are read at a time.
+CHUNK = 256
+
+
+def delimited_by_heads(queries: DataFrame, triggers: DataFrame, text: str = "normalized") -> DataFrame:
+    """delimited() for any number of triggers.
+
     A trigger is keyed by its head, its first 1, 2, 4, 8... characters (the most that it has), and a query emits the heads
     of those lengths at each place where a delimited part may start: a row per place and length in use, however long
     triggers are. What follows the head is then compared. Empty triggers are never found."""

@@ -44,6 +44,24 @@ def test_delimited_rows_grow_with_the_query(spark):
     assert "CartesianProduct" not in plan._jdf.queryExecution().toString() and "BroadcastNestedLoopJoin" not in plan._jdf.queryExecution().toString()
 
 
+def test_delimited_triggers_are_looked_for_where_texts_are_read(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    alphabet = list("ab1 -.界é\n")
+    queries = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 60, 120)] + ["", "aab ab", "xab,ab1 ab", "ab"]
+    triggers = sorted({q[i : i + n] for q in queries[:60] for i, n in ((0, 2), (1, 5), (3, 12))} | {"", "ab", ".", "é", "ab1 ab"})
+    q = spark.createDataFrame([*enumerate(queries), (3, None), (4, queries[4])], "query_id int, normalized string")
+    t = spark.createDataFrame([(x,) for x in triggers], "normalized string")
+    carried = lanes.delimited(q, t)
+    plan = carried._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # no row per place of a text
+    rows = sorted(map(tuple, carried.collect()))
+    for bound in ("CARRIED", "CARRIED_CHARACTERS", "CARRIED_BARE"):
+        with monkeypatch.context() as m:
+            m.setattr(lanes, bound, 0)
+            assert sorted(map(tuple, lanes.delimited(q, t).collect())) == rows != []
+    assert lanes.delimited(q, t.limit(0)).count() == 0
+
+
 def words(seed, n):
     rng = np.random.default_rng(seed)
     base = ["".join(rng.choice(list("abc"), k)) for k in rng.integers(1, 40, n)]
