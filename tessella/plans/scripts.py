@@ -30,7 +30,8 @@ def script_tokens(spark, sf_dir):
     the sorted distinct tokens."""
     d = F.col("doc_id")
     rows = parallel(table(spark, sf_dir, "documents")).select(d, _written(F.col("text"), d).alias("t"))
-    return rows.select("doc_id", tokenizer.script(F.col("t")).alias("script"), F.explode(tokenizer.summaries(F.col("t"))).alias("x")).select("doc_id", "script", "x.*")
+    # Every text has a summary for each profile. An inner explode() would be filtered by its size first, and summarized twice.
+    return rows.select("doc_id", tokenizer.text_script(F.col("t")).alias("script"), tokenizer.summaries(F.col("t")).alias("x")).select("doc_id", "script", F.explode_outer("x").alias("x")).select("doc_id", "script", "x.*")
 
 
 QUERIES = {f.__name__: f for f in (script_tokens,)}

@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 from pyspark.sql import functions as F
 
 from tessella.functions import tokenizer as t
@@ -54,3 +57,30 @@ def test_words_have_the_graphemes_and_scripts_of_their_characters():
         parts = regex.findall(r"\X", word)
         assert t.graphemes(word, (2, 3)) == ["".join(parts[i : i + n]) for n in (2, 3) for i in range(len(parts) - n + 1)]
     assert [t.script_of(w) for w in ("aΩ", "漢か", "a漢", "ж", "9", "ᚠ")] == ["Greek", "Japanese", "Han", "Cyrillic", None, None]
+
+
+def test_summaries_look_at_no_word_by_itself(monkeypatch):
+    """A text of one script is cut into grams as a whole; its words are folded together."""
+    draw = random.Random(8)
+    texts = [" ".join("".join(draw.choices(letters, k=draw.randint(1, 9))) for _ in range(80)) for letters in ("καςσ", "ابىأـً", "אבךםףַ", "настрой", "กขค", "가나다", "कखगि", "ñéßabŋ", "漢字かな", "йךéka1")]
+    want = [[(p.name, t.tokenize(x, p)) for p in t.PROFILES.values()] for x in texts]
+    monkeypatch.setattr(t, "word_tokens", lambda *a: 1 / 0)
+    monkeypatch.setattr(t, "word_forms", lambda *a: 1 / 0)
+    for text, each in zip(texts, want):
+        got = t.summarize(text, list(t.PROFILES.values()))
+        assert [(g["profile"], g["tokens"], g["distinct_tokens"], g["digest"]) for g in got] == [(n, len(x), len(set(x)), hashlib.sha256(" ".join(sorted(set(x))).encode()).hexdigest()) for n, x in each], text
+
+
+def test_the_script_of_a_text_is_that_of_its_characters(spark):
+    texts = ["", "abc", "καλη ab", "漢字かな", "漢字", "123 .", "настрой abc", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    got = {r.i: r.s for r in rows.select("i", t.text_script(F.col("x")).alias("s")).collect()}
+    assert got == {i: None if x is None else t.script_of(x) for i, x in enumerate(texts)}
+    assert got == {r.i: r.s for r in rows.filter("x is not null").select("i", t.script(F.col("x")).alias("s")).collect()} | {7: None}
+
+
+def test_texts_are_summarized_once(spark):
+    from tessella.plans import scripts
+
+    plan = scripts.script_tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
