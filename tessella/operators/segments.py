@@ -17,9 +17,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import tokenizer
 from tessella.operators import index
-from tessella.scratch import keep, parallel, place
+from tessella.scratch import keep, place
+
+
+#: Tombstones up to this number travel to the rows that they may bury.
+CARRIED = 1_000_000
 
 
 class Conflict(RuntimeError):
@@ -29,7 +32,7 @@ class Conflict(RuntimeError):
 class SegmentedIndex:
     """Segments, tombstones and manifests below `root`, a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str, fields: Mapping[str, Column], tokenize=tokenizer.tokens, fanout: int = 8):
+    def __init__(self, spark: SparkSession, root: str, key: str, fields: Mapping[str, Column], tokenize=None, fanout: int = 8):
         if fanout < 2:
             raise ValueError("fanout must be at least 2")
         self.spark, self.root, self.key, self.fields, self.tokenize, self.fanout = spark, root.rstrip("/"), key, dict(fields), tokenize, fanout
@@ -94,11 +97,13 @@ class SegmentedIndex:
             return rows
         dead = self._read("tombstones", manifest["tombstones"], f"`{self.key}` {self._key_kind(manifest)}, dead long")
         dead = dead.groupBy(F.col(self.key).alias("_dead")).agg(F.max("dead").alias("_at"))
+        if sum(t["documents"] for t in manifest["tombstones"]) <= CARRIED:
+            dead = F.broadcast(dead)
         return rows.join(dead, (rows[self.key] == F.col("_dead")) & (F.col("seq") < F.col("_at")), "left_anti")
 
     def _rows(self, name: str, manifest: dict, segments: list[dict] | None = None) -> DataFrame:
         kind = self._key_kind(manifest)
-        schema = {"postings": f"term string, `{self.key}` {kind}, field string, len long, tf long, seq long", "documents": f"`{self.key}` {kind}, field string, len long, seq long"}[name]
+        schema = {"postings": f"term string, `{self.key}` {kind}, field string, len long, tf long, first boolean, seq long", "documents": f"`{self.key}` {kind}, field string, len long, seq long"}[name]
         return self._alive(self._read(name, manifest["segments"] if segments is None else segments, schema), manifest)
 
     def documents(self, version: int | None = None) -> DataFrame:
@@ -107,13 +112,15 @@ class SegmentedIndex:
 
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
         """postings, terms and fields as of index.build(). A filter on the term reaches the scans of all of them: terms
-        are counted from the postings, and grouping is by term."""
+        are counted from the postings, and grouping is by term. All live rows of a document are of one segment, so its first
+        field that holds a term is known there; segments of before this was noted have their documents told apart."""
         manifest = self.manifest(version)
         postings = self._rows("postings", manifest).drop("seq")
         n = manifest["documents"]
         lengths = [(f, n, manifest["lengths"][f] / n if n else 0.0) for f in self.fields]
         fields = self.spark.createDataFrame(lengths, "field string, n long, avg_len double")
-        df = postings.groupBy("term").agg(F.count_distinct(self.key).alias("df"))
+        noted = all(s.get("first") for s in manifest["segments"])
+        df = index.document_frequencies(postings) if noted else postings.groupBy("term").agg(F.count_distinct(self.key).alias("df"))
         return {"postings": postings, "terms": df.select("term", "df", index.idf(F.lit(n), F.col("df")).alias("idf")), "fields": fields}
 
     # Writing ------------------------------------------------------------------------------------------------------
@@ -122,7 +129,7 @@ class SegmentedIndex:
         """Add or replace documents (key and the columns of the fields), delete others (key); the new version's manifest.
 
         A key that is both changed and deleted is changed. Null keys are left out; of rows that share a key one is taken,
-        the first by its fields' texts. Deleting what is not there does nothing. The version appears in one step; a
+        the first by its fields' texts. `changed` is read more than once, so it must give the same rows each time. Deleting what is not there does nothing. The version appears in one step; a
         writer that dies before leaves files that no version names."""
         base = self.manifest()
         seq = base["version"] + 1
@@ -145,19 +152,22 @@ class SegmentedIndex:
     def _write_segment(self, changed: DataFrame, out: dict, seq: int) -> DataFrame:
         rows = changed.where(F.col(self.key).isNotNull()).select(self.key, *[c.cast("string").alias(f"_f{i}") for i, c in enumerate(self.fields.values())])
         texts = {f: F.col(f"_f{i}") for i, f in enumerate(self.fields)}
-        rows = rows.groupBy(self.key).agg(F.min(F.struct(*texts.values())).alias("_r")).select(self.key, "_r.*")
-        tokens = index.field_tokens(parallel(rows), self.key, texts, self.tokenize)
-        found = keep(tokens.select(self.key, "field", F.size("tokens").cast("long").alias("len"), F.explode_outer("tokens").alias("term")).groupBy("term", self.key, "field", "len").agg(F.count(F.lit(1)).alias("tf")), "segment")
-        name = uuid.uuid4().hex
-        postings = found.where("term is not null").withColumn("seq", F.lit(seq).cast("long"))
-        postings.repartitionByRange("term").sortWithinPartitions("term", self.key).write.parquet(f"{self.root}/postings/{name}")
-        lengths = found.groupBy(self.key, "field").agg(F.max("len").alias("len")).withColumn("seq", F.lit(seq).cast("long"))
-        lengths.repartitionByRange(self.key).sortWithinPartitions(self.key).write.parquet(f"{self.root}/documents/{name}")
+        twice = keep(rows.groupBy(self.key).count().where("count > 1").select(self.key), "twice")
+        if not twice.isEmpty():  # only texts that share their key are shuffled
+            one = rows.join(twice, self.key, "left_semi").groupBy(self.key).agg(F.min(F.struct(*texts.values())).alias("_r")).select(self.key, "_r.*")
+            rows = rows.join(twice, self.key, "left_anti").unionByName(one)
+        name, number = uuid.uuid4().hex, F.lit(seq).cast("long").alias("seq")
+        index.by_term(index.counted(rows, self.key, texts, self.tokenize)).select("*", number).write.parquet(f"{self.root}/postings/{name}")
+        found = self._read("postings", [{"id": name}], f"`{self.key}` {rows.schema[self.key].dataType.simpleString()}, field string, len long")
+        held = found.groupBy(self.key, "field").agg(F.max("len").alias("len"))
+        every = rows.select(self.key, F.explode(F.array(*map(F.lit, self.fields))).alias("field"))
+        lengths = every.join(held, [self.key, "field"], "left").select(self.key, "field", F.coalesce("len", F.lit(0)).alias("len"), number)
+        lengths.sortWithinPartitions(self.key).write.parquet(f"{self.root}/documents/{name}")
         added = self.spark.read.parquet(f"{self.root}/documents/{name}")
         sums = {r["field"]: r for r in added.groupBy("field").agg(F.sum("len").alias("len"), F.count(F.lit(1)).alias("n")).collect()}  # a row per field
         n = max((r["n"] for r in sums.values()), default=0)
         if n:
-            out["segments"].append({"id": name, "seq": seq, "documents": n})
+            out["segments"].append({"id": name, "seq": seq, "documents": n, "first": True})
         out["documents"] += n
         for f, r in sums.items():
             out["lengths"][f] += r["len"]
@@ -207,7 +217,7 @@ class SegmentedIndex:
             rows = self._rows(table, out, some).withColumn("seq", F.lit(seq).cast("long"))
             rows.repartitionByRange(order[0]).sortWithinPartitions(*order).write.parquet(f"{self.root}/{table}/{name}")
         n = self.spark.read.parquet(f"{self.root}/documents/{name}").select(self.key).distinct().count()
-        out["segments"] = [s for s in out["segments"] if s not in some] + ([{"id": name, "seq": seq, "documents": n}] if n else [])
+        out["segments"] = [s for s in out["segments"] if s not in some] + ([{"id": name, "seq": seq, "documents": n, "first": all(s.get("first") for s in some)}] if n else [])
 
     def compact(self) -> dict:
         """All segments in one, without tombstones, as a new version."""

@@ -101,3 +101,29 @@ def test_odd_changes(spark, tmp_path):
     assert one.manifest()["documents"] == 2
     one.apply(deleted=spark.createDataFrame([(2,), (3,), (3,)], "doc_id long"))
     assert one.manifest()["documents"] == 0 and one.tables()["terms"].count() == 0
+
+
+def test_segments_are_counted_where_texts_are_read(spark, tmp_path, monkeypatch):
+    """Default tokens: as a whole build after changes, of documents that share a key too; nothing but terms is shuffled to count
+    the documents that hold them, and segments without the mark are counted as before."""
+    from tessella.operators import segments
+
+    docs = {i: f"alpha word{i % 9} Ab-c\nbeta {'gamma ' * (i % 3)} été ab 漢字" for i in range(40)} | {90: "", 91: None}
+    one = SegmentedIndex(spark, f"file://{tmp_path}/i", "doc_id", fields(), fanout=3)
+    one.apply(spark.createDataFrame([*docs.items(), (5, "zz later"), (None, "lost")], "doc_id long, text string"))
+    for changed, gone in (({3: "changed text", 4: "gamma"}, [7, 1000]), ({3: "alpha alpha"}, [90])):
+        one.apply(frame(spark, changed), spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+        docs = {i: t for i, t in docs.items() if i not in gone} | changed
+        want = state(index.build(frame(spark, docs), "doc_id", fields()))
+        assert state(one.tables()) == want
+        assert {tuple(r) for r in one.documents().collect()} >= {(91, "title", 0), (91, "body", 0)}
+        with monkeypatch.context() as m:
+            m.setattr(segments, "CARRIED", 0)
+            assert state(one.tables()) == want
+    plan = one.tables()["terms"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(term") == 1 and "SortMergeJoin" not in plan and "distinct" not in plan
+    manifest = one.manifest()
+    for s in manifest["segments"]:
+        s.pop("first", None)
+    monkeypatch.setattr(one, "manifest", lambda version=None: manifest)
+    assert state(one.tables()) == want
